@@ -39,6 +39,8 @@ FAILED_WINDOWS = {"failed_txn_count_30min": 1800}
 AVG_WINDOW_SECONDS = 30 * 86400
 EARTH_RADIUS_KM = 6371.0088
 MAX_TRAVEL_KMH = 900.0
+EXACT_AMOUNT = "decimal(38,10)"
+ZERO = F.lit(0).cast(EXACT_AMOUNT)
 
 
 # ---------------------------------------------------------------------------
@@ -150,9 +152,11 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
                   strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
     """amount_vs_avg_ratio = amt / avg(amt over [t - window, t - 1]); 1.0 without history."""
     a = F.col(amt)
+    # exact decimal sums: prefix differences then equal a direct window sum
+    dec = a.cast(EXACT_AMOUNT)
     if strategy == "direct":
         w = Window.partitionBy(key).orderBy(dt).rangeBetween(-window_seconds, -1)
-        avg = F.avg(a).over(w)
+        avg = F.avg(dec).over(w).cast("double")
         return df.withColumn("card_avg_30d", avg).withColumn(
             "amount_vs_avg_ratio", F.coalesce(a / avg, F.lit(1.0)))
 
@@ -160,29 +164,29 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
     # window sum = S(t-1) - S(t-window-1).
     B = bucket_seconds
     data = df.select(F.col(key).alias("_k"), F.col(dt).alias("_x"), F.lit(0).alias("_kind"),
-                     F.col(id_col).alias("_id"), a.cast("double").alias("_a")) \
+                     F.col(id_col).alias("_id"), dec.alias("_a")) \
              .where(F.col("_k").isNotNull())
     probes = data.select("_k", "_id",
                          F.explode(F.array(
                              F.struct((F.col("_x") - 1).alias("_x"), F.lit(1).alias("_kind")),
                              F.struct((F.col("_x") - window_seconds - 1).alias("_x"),
                                       F.lit(2).alias("_kind")))).alias("p")) \
-                 .select("_k", "p._x", "p._kind", "_id", F.lit(None).cast("double").alias("_a"))
+                 .select("_k", "p._x", "p._kind", "_id", F.lit(None).cast(EXACT_AMOUNT).alias("_a"))
     ev = data.unionByName(probes).withColumn("_b", F.floor(F.col("_x") / B).cast("long"))
     is_data = (F.col("_kind") == 0)
     # per (card, bucket) totals, including empty buckets that only hold probes
     summ = (ev.groupBy("_k", "_b")
               .agg(F.sum(is_data.cast("long")).alias("_bn"),
-                   F.sum(F.when(is_data, F.col("_a")).otherwise(0.0)).alias("_bs")))
+                   F.sum(F.when(is_data, F.col("_a")).otherwise(ZERO)).alias("_bs")))
     prior = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select("_k", "_b",
                        F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_on"),
-                       F.coalesce(F.sum("_bs").over(prior), F.lit(0.0)).alias("_os"))
+                       F.coalesce(F.sum("_bs").over(prior), ZERO).alias("_os"))
     # inside the bucket: running totals of data rows up to and including x
     w = Window.partitionBy("_k", "_b").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
     ev = (ev.join(summ, ["_k", "_b"], "left")
             .withColumn("_C", F.sum(is_data.cast("long")).over(w) + F.col("_on"))
-            .withColumn("_S", F.sum(F.when(is_data, F.col("_a")).otherwise(0.0)).over(w)
+            .withColumn("_S", F.sum(F.when(is_data, F.col("_a")).otherwise(ZERO)).over(w)
                         + F.col("_os")))
     k1 = F.col("_kind") == 1          # each id has one probe of each kind
     got = (ev.where(~is_data)
@@ -190,7 +194,8 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
              .agg(F.sum(F.when(k1, F.col("_C")).otherwise(-F.col("_C"))).alias("_n"),
                   F.sum(F.when(k1, F.col("_S")).otherwise(-F.col("_S"))).alias("_s")))
     got = got.select(F.col("_id").alias(id_col),
-                     F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("card_avg_30d"))
+                     F.when(F.col("_n") > 0, (F.col("_s") / F.col("_n")).cast("double"))
+                      .alias("card_avg_30d"))
     out = df.join(got, id_col, "left")
     return out.withColumn("amount_vs_avg_ratio",
                           F.coalesce(a / F.col("card_avg_30d"), F.lit(1.0)))
