@@ -158,24 +158,47 @@ def predict_label(score: Column, threshold: float) -> Column:
 
 
 # D08 ------------------------------------------------------------------------
+def rule_inputs(df: DataFrame, strategy: str = "bucketed") -> DataFrame:
+    """W04-W06 computed for real (the rule file names them as inputs)."""
+    from fraudlens.operators import windows as W
+    out = W.velocity_counts(df, strategy=strategy)
+    if "TransactionAmt" in out.columns:
+        out = W.amount_vs_avg(out, strategy=strategy)
+    return out
+
+
+def scoring_features(txn: DataFrame, strategy: str = "bucketed") -> DataFrame:
+    """Only what the scorecard and the rules read: row features, card
+    statistics, sequence features and the rule-input windows."""
+    from fraudlens.operators import aggregations as A
+    from fraudlens.operators import pipeline as P
+    from fraudlens.operators import windows as W
+    df = P.row_features(txn)
+    df = A.with_card_aggregations(df)
+    df = W.sequence_features(df, strategy=strategy)
+    return rule_inputs(df, strategy)
+
+
 def scoring_frame(txn: DataFrame, rs: R.RuleSet | None = None, card: dict = SCORECARD,
                   block_t: float = DEFAULT_BLOCK_THRESHOLD,
                   review_t: float = DEFAULT_REVIEW_THRESHOLD,
-                  features: DataFrame | None = None, strategy: str = "bucketed") -> DataFrame:
+                  strategy: str = "bucketed", cards: DataFrame | None = None,
+                  identity: DataFrame | None = None) -> DataFrame:
     """Features -> scorecard -> rules -> decision, one row per transaction.
 
-    ``txn`` carries the raw transaction fields (plus any velocity / geography
-    columns already computed); ``features`` may pass a precomputed feature
-    frame keyed by TransactionID.
+    cards:    card1 -> home_country; with lat / lon / txn_country present on
+              ``txn`` the geography inputs (W07-W09) are computed.
+    identity: optional second table, left-joined on TransactionID (J01).
     """
-    from fraudlens.operators import pipeline
+    from fraudlens.operators import windows as W
     rs = rs or R.load_rules()
-    feats = features if features is not None else pipeline.score_features(txn, strategy=strategy)
-    scored = scorecard_score(feats, card)
-    # rule side: raw fields plus hour from the offset when missing
-    base = scored if "hour_rule" not in scored.columns else scored
-    base = base.withColumn("hour", fx.rule_hour("TransactionDT"))
-    ev = R.evaluate(base, rs)
+    df = txn if identity is None else txn.join(identity, "TransactionID", "left")
+    df = scoring_features(df, strategy)
+    if cards is not None and "lat" in df.columns:
+        df = W.geo_features(df, cards, strategy=strategy)
+    df = scorecard_score(df, card)
+    df = df.withColumn("hour", fx.rule_hour("TransactionDT"))     # F11
+    ev = R.evaluate(df, rs)
     return decide(ev, "fraud_score", "triggered_rules", block_t, review_t)
 
 

@@ -178,3 +178,66 @@ def sequence_sql(src: str, name: str) -> str:
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes)
+
+
+def loc_cols_sql() -> str:
+    n = V.N_COUNTRIES
+    return f"""CAST((card1 * 37 + C1 * 7) % 180 - 90 AS DOUBLE) AS lat,
+         CAST((card1 * 53 + C1 * 11) % 360 - 180 AS DOUBLE) AS lon,
+         CAST(card1 % {n} AS INTEGER) AS home_country,
+         CAST(CASE WHEN TransactionID % 10 = 0 THEN (card1 % {n} + 1) % {n}
+              ELSE card1 % {n} END AS INTEGER) AS txn_country"""
+
+
+def velocity_sql(src: str, name: str) -> str:
+    from fraudlens.operators import windows as W
+
+    def rng(n):
+        return (f"PARTITION BY card1 ORDER BY TransactionDT "
+                f"RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
+    return f"""
+{name}_a AS (
+  SELECT *,
+         count(*) OVER ({rng(60)}) AS card_txn_count_1min,
+         count(*) OVER ({rng(300)}) AS card_txn_count_5min,
+         count(*) OVER ({rng(3600)}) AS card_txn_count_1hour,
+         CAST(coalesce(sum(CAST(failed AS INTEGER)) OVER ({rng(1800)}), 0) AS BIGINT)
+           AS failed_txn_count_30min,
+         CAST(avg(CAST(TransactionAmt AS DECIMAL(38,10))) OVER (PARTITION BY card1
+              ORDER BY TransactionDT RANGE BETWEEN {W.AVG_WINDOW_SECONDS} PRECEDING
+              AND 1 PRECEDING) AS DOUBLE) AS card_avg_30d
+  FROM {src}),
+{name} AS (
+  SELECT *, coalesce(TransactionAmt / card_avg_30d, 1.0) AS amount_vs_avg_ratio FROM {name}_a)"""
+
+
+def geo_sql(src: str, name: str) -> str:
+    """W07-W09 over a frame that carries lat, lon, home_country, txn_country."""
+    from fraudlens.operators import windows as W
+    r = repr(math.pi / 180)
+    return f"""
+{name}_c AS (SELECT DISTINCT card1, home_country AS _home FROM {src}),
+{name}_g AS (
+  SELECT s.*, coalesce(s.txn_country <> c._home, false) AS country_mismatch
+  FROM {src} s LEFT JOIN {name}_c c ON s.card1 = c.card1),
+{name}_s AS (
+  SELECT *,
+         coalesce(sum(CAST(country_mismatch AS BIGINT)) OVER (PARTITION BY card1
+             ORDER BY TransactionDT, TransactionID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS _intl_before,
+         lag(lat) OVER _w AS prev_lat, lag(lon) OVER _w AS prev_lon, lag(TransactionDT) OVER _w AS prev_dt
+  FROM {name}_g WINDOW _w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)),
+{name}_k AS (
+  SELECT *, 2 * {W.EARTH_RADIUS_KM!r} * asin(least(1.0, sqrt(
+           pow(sin((lat - prev_lat) * {r} / 2), 2)
+           + cos(prev_lat * {r}) * cos(lat * {r}) * pow(sin((lon - prev_lon) * {r} / 2), 2))))
+           AS travel_km,
+         (TransactionDT - prev_dt) / 3600.0 AS _hours
+  FROM {name}_s),
+{name} AS (
+  SELECT * EXCLUDE (_intl_before, _hours),
+         country_mismatch AND _intl_before = 0 AS first_international,
+         coalesce(CASE WHEN _hours > 0 THEN travel_km / _hours WHEN travel_km > 0
+                       THEN 'inf'::DOUBLE ELSE 0.0 END > {W.MAX_TRAVEL_KMH!r}, false)
+           AS impossible_travel
+  FROM {name}_k)"""

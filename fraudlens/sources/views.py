@@ -126,15 +126,25 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.max(F.when(F.col("C1") < 90, F.col("event_id"))).alias("committed_offset")))
 
 
+def location_columns() -> dict[str, Column]:
+    """Coordinates, card home country and transaction country of an event row."""
+    home = (F.col("card1") % N_COUNTRIES).cast("int")
+    return {
+        "lat": ((F.col("card1") * 37 + F.col("C1") * 7) % 180 - 90).cast("double"),
+        "lon": ((F.col("card1") * 53 + F.col("C1") * 11) % 360 - 180).cast("double"),
+        "home_country": home,
+        "txn_country": F.when(F.col("TransactionID") % 10 == 0, (home + 1) % N_COUNTRIES)
+                        .otherwise(home).cast("int"),
+    }
+
+
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per transaction: coordinates, card home country and transaction country."""
     t = txn_events(spark, sf_dir)
-    home = (F.col("card1") % N_COUNTRIES).cast("int")
-    return t.select(
-        "TransactionID", "TransactionDT", "card1",
-        ((F.col("card1") * 37 + F.col("C1") * 7) % 180 - 90).cast("double").alias("lat"),
-        ((F.col("card1") * 53 + F.col("C1") * 11) % 360 - 180).cast("double").alias("lon"),
-        home.alias("home_country"),
-        F.when(F.col("TransactionID") % 10 == 0, (home + 1) % N_COUNTRIES)
-         .otherwise(home).alias("txn_country"),
-    )
+    return t.select("TransactionID", "TransactionDT", "card1",
+                    *[c.alias(n) for n, c in location_columns().items()])
+
+
+def card_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card -> issuing (home) country, one row per card."""
+    return locations(spark, sf_dir).select("card1", "home_country").distinct()
