@@ -167,35 +167,41 @@ def rule_inputs(df: DataFrame, strategy: str = "bucketed") -> DataFrame:
     return out
 
 
-def scoring_features(txn: DataFrame, strategy: str = "bucketed") -> DataFrame:
+def scoring_features(txn: DataFrame, strategy: str = "bucketed",
+                     cards: DataFrame | None = None, stages: bool = True) -> DataFrame:
     """Only what the scorecard and the rules read: row features, card
-    statistics, sequence features and the rule-input windows."""
+    statistics, sequence (+ geography) features and the rule-input windows.
+
+    With ``stages`` each window phase starts from a checkpointed frame, so
+    the plan stays linear instead of doubling at every phase."""
     from fraudlens.operators import aggregations as A
     from fraudlens.operators import pipeline as P
     from fraudlens.operators import windows as W
-    df = P.row_features(txn)
-    df = A.with_card_aggregations(df)
-    df = W.sequence_features(df, strategy=strategy)
-    return rule_inputs(df, strategy)
+    from fraudlens.session import materialize
+    df = A.with_card_aggregations(P.row_features(txn))
+    if cards is not None and "lat" in df.columns:
+        df = W.sequence_and_geo(materialize(df, stages), cards, strategy=strategy)
+    else:
+        df = W.sequence_features(materialize(df, stages), strategy=strategy)
+    df = W.velocity_counts(materialize(df, stages), strategy=strategy)
+    df = W.amount_vs_avg(materialize(df, stages), strategy=strategy)
+    return materialize(df, stages)
 
 
 def scoring_frame(txn: DataFrame, rs: R.RuleSet | None = None, card: dict = SCORECARD,
                   block_t: float = DEFAULT_BLOCK_THRESHOLD,
                   review_t: float = DEFAULT_REVIEW_THRESHOLD,
                   strategy: str = "bucketed", cards: DataFrame | None = None,
-                  identity: DataFrame | None = None) -> DataFrame:
+                  identity: DataFrame | None = None, stages: bool = True) -> DataFrame:
     """Features -> scorecard -> rules -> decision, one row per transaction.
 
     cards:    card1 -> home_country; with lat / lon / txn_country present on
               ``txn`` the geography inputs (W07-W09) are computed.
     identity: optional second table, left-joined on TransactionID (J01).
     """
-    from fraudlens.operators import windows as W
     rs = rs or R.load_rules()
     df = txn if identity is None else txn.join(identity, "TransactionID", "left")
-    df = scoring_features(df, strategy)
-    if cards is not None and "lat" in df.columns:
-        df = W.geo_features(df, cards, strategy=strategy)
+    df = scoring_features(df, strategy, cards=cards, stages=stages)
     df = scorecard_score(df, card)
     df = df.withColumn("hour", fx.rule_hour("TransactionDT"))     # F11
     ev = R.evaluate(df, rs)

@@ -40,7 +40,10 @@ AVG_WINDOW_SECONDS = 30 * 86400
 EARTH_RADIUS_KM = 6371.0088
 MAX_TRAVEL_KMH = 900.0
 EXACT_AMOUNT = "decimal(38,10)"
-ZERO = F.lit(0).cast(EXACT_AMOUNT)
+
+
+def _zero() -> Column:
+    return F.lit(0).cast(EXACT_AMOUNT)
 
 
 # ---------------------------------------------------------------------------
@@ -177,16 +180,16 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
     # per (card, bucket) totals, including empty buckets that only hold probes
     summ = (ev.groupBy("_k", "_b")
               .agg(F.sum(is_data.cast("long")).alias("_bn"),
-                   F.sum(F.when(is_data, F.col("_a")).otherwise(ZERO)).alias("_bs")))
+                   F.sum(F.when(is_data, F.col("_a")).otherwise(_zero())).alias("_bs")))
     prior = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select("_k", "_b",
                        F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_on"),
-                       F.coalesce(F.sum("_bs").over(prior), ZERO).alias("_os"))
+                       F.coalesce(F.sum("_bs").over(prior), _zero()).alias("_os"))
     # inside the bucket: running totals of data rows up to and including x
     w = Window.partitionBy("_k", "_b").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
     ev = (ev.join(summ, ["_k", "_b"], "left")
             .withColumn("_C", F.sum(is_data.cast("long")).over(w) + F.col("_on"))
-            .withColumn("_S", F.sum(F.when(is_data, F.col("_a")).otherwise(ZERO)).over(w)
+            .withColumn("_S", F.sum(F.when(is_data, F.col("_a")).otherwise(_zero())).over(w)
                         + F.col("_os")))
     k1 = F.col("_kind") == 1          # each id has one probe of each kind
     got = (ev.where(~is_data)
@@ -212,9 +215,18 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * F.lit(EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def sequence_and_geo(df: DataFrame, cards: DataFrame | None, key: str = KEY, dt: str = DT,
+                     id_col: str = ID, max_kmh: float = MAX_TRAVEL_KMH,
+                     strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
+    """W01-W03 and W07-W09 from one (card, bucket) shuffle."""
+    return geo_features(df, cards, key, dt, id_col, max_kmh, strategy, bucket_seconds,
+                        with_sequence=True)
+
+
 def geo_features(loc: DataFrame, cards: DataFrame | None = None, key: str = KEY,
                  dt: str = DT, id_col: str = ID, max_kmh: float = MAX_TRAVEL_KMH,
-                 strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
+                 strategy: str = "bucketed", bucket_seconds: int = 86400,
+                 with_sequence: bool = False) -> DataFrame:
     """loc: TransactionID, TransactionDT, card1, lat, lon, txn_country
     cards: card1, home_country (the card's issuing country); joined on card1.
 
@@ -232,12 +244,18 @@ def geo_features(loc: DataFrame, cards: DataFrame | None = None, key: str = KEY,
         out = loc.withColumns({
             "_intl_before": F.coalesce(F.sum(intl).over(before), F.lit(0)),
             "prev_lat": F.lag("lat").over(w), "prev_lon": F.lag("lon").over(w),
-            "prev_dt": F.lag(dt).over(w)})
+            "prev_dt": F.lag(dt).over(w), "_rank": F.row_number().over(w)})
     else:
         out = _bucketed_sequence(loc, key, dt, id_col, bucket_seconds,
                                  carry={"prev_lat": F.col("lat"), "prev_lon": F.col("lon"),
                                         "prev_dt": F.col(dt)},
-                                 running={"_intl_before": intl}).drop("_rank")
+                                 running={"_intl_before": intl})
+    if with_sequence:
+        gap = F.coalesce(F.col(dt) - F.col("prev_dt"), F.lit(-1))
+        out = out.withColumns({"card_txn_rank": F.col("_rank"), "card_prev_dt": F.col("prev_dt"),
+                               "time_since_last_txn": gap,
+                               "rapid_succession": ((gap > 0) & (gap < 60)).cast("int")})
+    out = out.drop("_rank")
     km = haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
     hours = (F.col(dt) - F.col("prev_dt")) / 3600.0
     speed = F.when(hours > 0, km / hours).when(km > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))

@@ -80,8 +80,9 @@ offsets AS (
 LOCATIONS = f"""
 locations AS (
   SELECT TransactionID, TransactionDT, card1,
-         CAST((card1 * 37 + C1 * 7) % 180 - 90 AS DOUBLE) AS lat,
-         CAST((card1 * 53 + C1 * 11) % 360 - 180 AS DOUBLE) AS lon,
+         CAST((card1 * 37) % 120 - 60 + (C1 % 10) * 0.01 AS DOUBLE) AS lat,
+         CAST((card1 * 53) % 300 - 150 + CASE WHEN TransactionID % 10 = 0 THEN 25 ELSE 0 END
+              + (C1 % 7) * 0.01 AS DOUBLE) AS lon,
          CAST(card1 % {V.N_COUNTRIES} AS INTEGER) AS home_country,
          CAST(CASE WHEN TransactionID % 10 = 0 THEN (card1 % {V.N_COUNTRIES} + 1) % {V.N_COUNTRIES}
               ELSE card1 % {V.N_COUNTRIES} END AS INTEGER) AS txn_country
@@ -182,8 +183,9 @@ def with_ctes(*ctes: str) -> str:
 
 def loc_cols_sql() -> str:
     n = V.N_COUNTRIES
-    return f"""CAST((card1 * 37 + C1 * 7) % 180 - 90 AS DOUBLE) AS lat,
-         CAST((card1 * 53 + C1 * 11) % 360 - 180 AS DOUBLE) AS lon,
+    return f"""CAST((card1 * 37) % 120 - 60 + (C1 % 10) * 0.01 AS DOUBLE) AS lat,
+         CAST((card1 * 53) % 300 - 150 + CASE WHEN TransactionID % 10 = 0 THEN 25 ELSE 0 END
+              + (C1 % 7) * 0.01 AS DOUBLE) AS lon,
          CAST(card1 % {n} AS INTEGER) AS home_country,
          CAST(CASE WHEN TransactionID % 10 = 0 THEN (card1 % {n} + 1) % {n}
               ELSE card1 % {n} END AS INTEGER) AS txn_country"""

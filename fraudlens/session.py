@@ -63,3 +63,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def materialize(df, enabled: bool = True):
+    """Cut the lineage of a multi-stage plan: a reliable checkpoint written to
+    the shared checkpoint folder (survives executor loss, unlike a local
+    checkpoint), so later stages neither re-plan nor recompute the branches
+    that a skew-safe window step duplicates."""
+    if not enabled:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -129,9 +129,11 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def location_columns() -> dict[str, Column]:
     """Coordinates, card home country and transaction country of an event row."""
     home = (F.col("card1") % N_COUNTRIES).cast("int")
+    abroad = F.col("TransactionID") % 10 == 0
     return {
-        "lat": ((F.col("card1") * 37 + F.col("C1") * 7) % 180 - 90).cast("double"),
-        "lon": ((F.col("card1") * 53 + F.col("C1") * 11) % 360 - 180).cast("double"),
+        "lat": ((F.col("card1") * 37) % 120 - 60 + (F.col("C1") % 10) * 0.01).cast("double"),
+        "lon": ((F.col("card1") * 53) % 300 - 150 + F.when(abroad, 25).otherwise(0)
+                + (F.col("C1") % 7) * 0.01).cast("double"),
         "home_country": home,
         "txn_country": F.when(F.col("TransactionID") % 10 == 0, (home + 1) % N_COUNTRIES)
                         .otherwise(home).cast("int"),
