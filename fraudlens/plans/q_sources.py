@@ -1 +1,167 @@
-"""Queries (filled in below)."""
+"""Queries for sources, sinks and blacklist joins (S01, S05, S07, S09, S11,
+J04, J05, F15)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fraudlens.functions import features as fx
+from fraudlens.operators import rules as R
+from fraudlens.operators import store as ST
+from fraudlens.plans import sql as S
+from fraudlens.plans.q_rules import RS, events_chain_sql, events_decided
+from fraudlens.plans.registry import query
+from fraudlens.session import scratch_path
+from fraudlens.sources import io as IO
+from fraudlens.sources import views as V
+
+TOPIC = "txn-events"
+EVENT_MESSAGE_SCHEMA = T.StructType([
+    T.StructField("TransactionID", T.LongType()),
+    T.StructField("TransactionDT", T.LongType()),
+    T.StructField("TransactionAmt", T.DoubleType()),
+    T.StructField("ProductCD", T.StringType()),
+    T.StructField("card1", T.LongType()),
+    T.StructField("P_emaildomain", T.StringType()),
+    T.StructField("R_emaildomain", T.StringType()),
+])
+
+
+@query("s01_csv_roundtrip", S.with_ctes(S.TXN_ORDERS) + """
+SELECT * FROM txn_orders""")
+def s01_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "csv-orders")
+    IO.write_csv(V.txn_orders(spark, sf), path)
+    return IO.read_transactions_csv(spark, path)
+
+
+@query("s05_json_codec", S.with_ctes(S.TXN_EVENTS) + """
+SELECT TransactionID, TransactionAmt, ProductCD, P_emaildomain, R_emaildomain FROM txn_events""")
+def s05_json_codec(spark, sf):
+    t = V.txn_events(spark, sf).select(*EVENT_MESSAGE_SCHEMA.fieldNames())
+    enc = IO.encode_json(t, out="value").select("value")
+    dec = IO.decode_json(enc, EVENT_MESSAGE_SCHEMA)
+    return dec.select(*[F.col(f"msg.{c}").alias(c) for c in
+                        ("TransactionID", "TransactionAmt", "ProductCD", "P_emaildomain",
+                         "R_emaildomain")])
+
+
+@query("s07_message_envelope")
+def s07_message_envelope(spark, sf):
+    t = V.txn_events(spark, sf).select(*EVENT_MESSAGE_SCHEMA.fieldNames())
+    msgs = IO.encode_json(t.withColumn("msg_key", F.col("TransactionID")),
+                          cols=EVENT_MESSAGE_SCHEMA.fieldNames())
+    return IO.envelope(msgs, key="msg_key")
+
+
+def _raw_topic(spark, sf):
+    """Messages on one topic: event transactions as JSON plus raw page bodies
+    that are not JSON at all (poison messages)."""
+    t = V.txn_events(spark, sf).select(*EVENT_MESSAGE_SCHEMA.fieldNames())
+    good = IO.encode_json(t, out="value").select("value")
+    poison = V.read(spark, sf, "pages").select(F.col("html").alias("value"))
+    return good.unionByName(poison)
+
+
+@query("s09_dead_letter", """
+SELECT 'txn-events' AS original_topic, html AS original_value, 'malformed_json' AS failure_reason
+FROM pages""")
+def s09_dead_letter(spark, sf):
+    _, dead = IO.route_messages(_raw_topic(spark, sf), EVENT_MESSAGE_SCHEMA, TOPIC)
+    return dead.drop("failed_at")
+
+
+@query("s09_valid_messages", S.with_ctes(S.TXN_EVENTS) + """
+SELECT TransactionID, TransactionAmt FROM txn_events""")
+def s09_valid_messages(spark, sf):
+    good, _ = IO.route_messages(_raw_topic(spark, sf), EVENT_MESSAGE_SCHEMA, TOPIC)
+    return good.select("TransactionID", "TransactionAmt")
+
+
+@query("s11_replay_fraud_only", S.with_ctes(S.TXN_EVENTS) + """
+SELECT CAST(TransactionID AS VARCHAR) AS key,
+       row_number() OVER (ORDER BY TransactionDT, TransactionID) - 1 AS _replay_index,
+       'replay' AS _source, TransactionAmt
+FROM txn_events WHERE isFraud = 1""")
+def s11_replay_fraud_only(spark, sf):
+    r = IO.replay(V.txn_events(spark, sf), fraud_only=True)
+    return r.select("key", "_replay_index", "_source",
+                    F.get_json_object("value", "$.TransactionAmt").cast("double")
+                     .alias("TransactionAmt"))
+
+
+@query("s11_replay_head", S.with_ctes(S.TXN_EVENTS) + """
+SELECT CAST(TransactionID AS VARCHAR) AS key,
+       row_number() OVER (ORDER BY TransactionDT, TransactionID) - 1 AS _replay_index,
+       R_emaildomain IS NULL AS r_omitted
+FROM txn_events ORDER BY TransactionDT, TransactionID LIMIT 100""")
+def s11_replay_head(spark, sf):
+    r = IO.replay(V.txn_events(spark, sf), max_records=100)
+    return r.select("key", "_replay_index",
+                    F.get_json_object("value", "$.R_emaildomain").isNull().alias("r_omitted"))
+
+
+# A blacklist table derived from the data ---------------------------
+MIN_FRAUD_FOR_BLACKLIST = 3
+
+
+def card_blacklist(spark, sf):
+    """Cards with at least three fraud transactions, as a blacklist table."""
+    t = V.txn_events(spark, sf)
+    return (t.groupBy("card1").agg(F.sum("isFraud").alias("n_fraud"))
+             .where(F.col("n_fraud") >= MIN_FRAUD_FOR_BLACKLIST)
+             .select(F.col("card1").alias("key")))
+
+
+BL_SQL = S.with_ctes(S.TXN_EVENTS) + f""",
+bl AS (SELECT CAST(card1 AS VARCHAR) AS key FROM txn_events GROUP BY card1
+       HAVING sum(isFraud) >= {MIN_FRAUD_FOR_BLACKLIST})"""
+
+
+@query("j04_blacklist_flags", BL_SQL + """
+SELECT TransactionID, CAST(card1 AS VARCHAR) IN (SELECT key FROM bl) AS card_blacklisted
+FROM txn_events""")
+def j04_blacklist_flags(spark, sf):
+    t = V.txn_events(spark, sf)
+    f = R.blacklist_flag(t, "card1", card_blacklist(spark, sf), "card_blacklisted")
+    return f.select("TransactionID", "card_blacklisted")
+
+
+@query("j05_blacklist_semi", BL_SQL + """
+SELECT TransactionID FROM txn_events WHERE CAST(card1 AS VARCHAR) IN (SELECT key FROM bl)""")
+def j05_blacklist_semi(spark, sf):
+    t = V.txn_events(spark, sf)
+    return R.blacklist_select(t, "card1", card_blacklist(spark, sf), keep=True) \
+            .select("TransactionID")
+
+
+@query("j05_blacklist_anti", BL_SQL + """
+SELECT TransactionID FROM txn_events WHERE CAST(card1 AS VARCHAR) NOT IN (SELECT key FROM bl)""")
+def j05_blacklist_anti(spark, sf):
+    t = V.txn_events(spark, sf)
+    return R.blacklist_select(t, "card1", card_blacklist(spark, sf), keep=False) \
+            .select("TransactionID")
+
+
+# F15 ------------------------------------------------------------------------
+@query("f15_alert_payload", events_chain_sql(RS) + f""",
+al AS (SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, fraud_score FROM decided
+       WHERE decision = 'BLOCK')
+SELECT transaction_id,
+       CASE WHEN fraud_score >= {fx.ALERT_BLOCK_SCORE!r} THEN '#ff0000'
+            WHEN fraud_score >= {fx.ALERT_REVIEW_SCORE!r} THEN '#ff9900' ELSE '#36a64f' END
+         AS slack_color,
+       CASE WHEN fraud_score >= {fx.ALERT_BLOCK_SCORE!r} THEN {0xFF0000}
+            WHEN fraud_score >= {fx.ALERT_REVIEW_SCORE!r} THEN {0xFF9900} ELSE {0x36A64F} END
+         AS discord_color,
+       CASE WHEN fraud_score >= {fx.ALERT_BLOCK_SCORE!r} THEN 'FF0000' ELSE 'FF9900' END
+         AS teams_color,
+       CAST(CAST(round_even(fraud_score * 10000, 0) AS BIGINT) // 10000 AS VARCHAR) || '.' ||
+         lpad(CAST(CAST(round_even(fraud_score * 10000, 0) AS BIGINT) % 10000 AS VARCHAR), 4, '0')
+         AS score_text
+FROM al""")
+def f15_alert_payload(spark, sf):
+    a = ST.alerts_table(events_decided(spark, sf))
+    s = F.col("fraud_score")
+    return a.select("transaction_id", *[c.alias(n) for n, c in fx.alert_colours(s).items()],
+                    fx.score_text(s).alias("score_text"))
