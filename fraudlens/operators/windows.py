@@ -197,7 +197,7 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
              .agg(F.sum(F.when(k1, F.col("_C")).otherwise(-F.col("_C"))).alias("_n"),
                   F.sum(F.when(k1, F.col("_S")).otherwise(-F.col("_S"))).alias("_s")))
     got = got.select(F.col("_id").alias(id_col),
-                     F.when(F.col("_n") > 0, (F.col("_s") / F.col("_n")).cast("double"))
+                     F.when(F.col("_n") > 0, F.col("_s").cast("double") / F.col("_n"))
                       .alias("card_avg_30d"))
     out = df.join(got, id_col, "left")
     return out.withColumn("amount_vs_avg_ratio",
