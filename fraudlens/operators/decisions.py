@@ -168,7 +168,7 @@ def rule_inputs(df: DataFrame, strategy: str = "bucketed") -> DataFrame:
 
 
 def scoring_features(txn: DataFrame, strategy: str = "bucketed",
-                     cards: DataFrame | None = None, stages: bool = True) -> DataFrame:
+                     cards: DataFrame | None = None, stages: bool | str = True) -> DataFrame:
     """Only what the scorecard and the rules read: row features, card
     statistics, sequence (+ geography) features and the rule-input windows.
 
@@ -179,11 +179,14 @@ def scoring_features(txn: DataFrame, strategy: str = "bucketed",
     from fraudlens.operators import windows as W
     from fraudlens.session import materialize
     df = A.with_card_aggregations(P.row_features(txn))
-    if cards is not None and "lat" in df.columns:
-        df = W.sequence_and_geo(materialize(df, stages), cards, strategy=strategy)
-    else:
-        df = W.sequence_features(materialize(df, stages), strategy=strategy)
-    df = W.velocity_counts(materialize(df, stages), strategy=strategy)
+    if strategy == "direct":
+        if cards is not None and "lat" in df.columns:
+            df = W.sequence_and_geo(df, cards, strategy=strategy)
+        else:
+            df = W.sequence_features(df, strategy=strategy)
+        df = W.velocity_counts(df, strategy=strategy)
+    else:   # one (card, hour) shuffle for sequence, geography and velocity
+        df = W.card_windows(materialize(df, stages), cards)
     df = W.amount_vs_avg(materialize(df, stages), strategy=strategy)
     return materialize(df, stages)
 
@@ -192,7 +195,7 @@ def scoring_frame(txn: DataFrame, rs: R.RuleSet | None = None, card: dict = SCOR
                   block_t: float = DEFAULT_BLOCK_THRESHOLD,
                   review_t: float = DEFAULT_REVIEW_THRESHOLD,
                   strategy: str = "bucketed", cards: DataFrame | None = None,
-                  identity: DataFrame | None = None, stages: bool = True) -> DataFrame:
+                  identity: DataFrame | None = None, stages: bool | str = True) -> DataFrame:
     """Features -> scorecard -> rules -> decision, one row per transaction.
 
     cards:    card1 -> home_country; with lat / lon / txn_country present on

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fraudlens.operators.rank import prefix_sums
+from fraudlens.session import materialize
 
 # Fixed grids (numpy.linspace values, written out by rule at import).
 F1_THRESHOLDS = [float(x) for x in np.linspace(0.1, 0.9, 81)]
@@ -31,7 +32,8 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p", keys: tuple[str, ...
 
 def _with_cum(df: DataFrame, y: str, p: str, keys: tuple[str, ...]) -> DataFrame:
     """Per distinct score: pos, neg, and counts strictly above / below it."""
-    g = score_counts(df, y, p, keys)
+    # one row per distinct score: small next to the rows, reused twice below
+    g = materialize(score_counts(df, y, p, keys))
     asc = prefix_sums(g, "p", ["pos", "neg"], keys)
     tot = g.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if keys:

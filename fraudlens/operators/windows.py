@@ -266,3 +266,85 @@ def geo_features(loc: DataFrame, cards: DataFrame | None = None, key: str = KEY,
                .withColumn("impossible_travel",
                            F.coalesce(F.col("travel_kmh") > max_kmh, F.lit(False)))
                .drop("_intl_before"))
+
+
+# ---------------------------------------------------------------------------
+# W01-W05 + W07-W09 in one shuffle
+# ---------------------------------------------------------------------------
+def card_windows(df: DataFrame, cards: DataFrame | None = None, key: str = KEY, dt: str = DT,
+                 id_col: str = ID, failed: str = "failed", bucket_seconds: int = 3600,
+                 max_kmh: float = MAX_TRAVEL_KMH) -> DataFrame:
+    """Sequence, velocity and geography features from a single (card, bucket)
+    partitioning: rows plus a halo copy of the previous bucket, one sort.
+
+    * sliding counts use the halo directly (windows up to one bucket wide);
+    * the previous row of the first row of a bucket is the last halo row, or,
+      when the previous bucket is empty, the carried last row of the nearest
+      earlier bucket (from the small per-bucket summary);
+    * running numbers and running sums add the summary's prior-bucket totals.
+    """
+    windows, fwin = VELOCITY_WINDOWS, (FAILED_WINDOWS if failed in df.columns else {})
+    if max([*windows.values(), *fwin.values()]) > bucket_seconds:
+        raise ValueError("bucket width must cover the longest window")
+    geo = cards is not None and "lat" in df.columns
+    if geo:
+        df = df.drop("home_country").join(cards, key, "left")
+        df = df.withColumn("country_mismatch",
+                           F.coalesce(F.col("txn_country") != F.col("home_country"), F.lit(False)))
+    carry = {"prev_dt": F.col(dt)}
+    running = {}
+    if geo:
+        carry.update({"prev_lat": F.col("lat"), "prev_lon": F.col("lon")})
+        running["_intl_before"] = F.col("country_mismatch").cast("long")
+    fcol = F.col(failed).cast("int") if failed in df.columns else F.lit(0)
+    b = F.floor(F.col(dt) / bucket_seconds).cast("long")
+    base = df.withColumns({"_b": b, "_f": fcol, "_h": F.lit(False),
+                           **{f"_cv_{n}": e for n, e in carry.items()},
+                           **{f"_rv_{n}": e for n, e in running.items()}})
+    last = F.max(F.struct(F.col(dt), F.col(id_col), *[F.col(f"_cv_{n}").alias(n) for n in carry]))
+    summ = (base.groupBy(key, "_b")
+                .agg(F.count(F.lit(1)).alias("_n"), last.alias("_last"),
+                     *[F.sum(f"_rv_{n}").alias(f"_rs_{n}") for n in running]))
+    ws = Window.partitionBy(key).orderBy("_b")
+    prior = ws.rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(key, "_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"),
+                       F.lag("_last").over(ws).alias("_prev_last"),
+                       *[F.coalesce(F.sum(f"_rs_{n}").over(prior), F.lit(0)).alias(f"_ro_{n}")
+                         for n in running])
+    halo = base.select(key, dt, id_col, "_f", *[f"_cv_{n}" for n in carry],
+                       *[f"_rv_{n}" for n in running], (F.col("_b") + 1).alias("_b"),
+                       F.lit(True).alias("_h"))
+    allr = base.unionByName(halo, allowMissingColumns=True).join(summ, [key, "_b"], "left")
+    part = [key, "_b"]
+    orig = (~F.col("_h")).cast("long")
+
+    def rng(n):
+        return Window.partitionBy(*part).orderBy(dt).rangeBetween(-(n - 1), 0)
+    wr = Window.partitionBy(*part).orderBy(dt, id_col)
+    upto = wr.rowsBetween(Window.unboundedPreceding, 0)
+    before = wr.rowsBetween(Window.unboundedPreceding, -1)
+    cols = {name: F.count(F.lit(1)).over(rng(n)) for name, n in windows.items()}
+    cols.update({name: F.coalesce(F.sum("_f").over(rng(n)), F.lit(0)).cast("long")
+                 for name, n in fwin.items()})
+    cols["card_txn_rank"] = F.sum(orig).over(upto) + F.col("_off")
+    for n in carry:
+        cols[n] = F.coalesce(F.lag(f"_cv_{n}").over(wr), F.col(f"_prev_last.{n}"))
+    for n in running:
+        cols[n] = (F.coalesce(F.sum(F.when(~F.col("_h"), F.col(f"_rv_{n}"))).over(before), F.lit(0))
+                   + F.col(f"_ro_{n}"))
+    out = allr.withColumns(cols).where(~F.col("_h"))
+    gap = F.coalesce(F.col(dt) - F.col("prev_dt"), F.lit(-1))
+    out = out.withColumns({"card_prev_dt": F.col("prev_dt"), "time_since_last_txn": gap,
+                           "rapid_succession": ((gap > 0) & (gap < 60)).cast("int")})
+    if geo:
+        km = haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
+        hours = (F.col(dt) - F.col("prev_dt")) / 3600.0
+        speed = F.when(hours > 0, km / hours).when(km > 0, F.lit(float("inf"))) \
+                 .otherwise(F.lit(0.0))
+        out = out.withColumns({
+            "first_international": F.col("country_mismatch") & (F.col("_intl_before") == 0),
+            "travel_km": km, "travel_kmh": speed,
+            "impossible_travel": F.coalesce(speed > max_kmh, F.lit(False))})
+    drop = ["_b", "_f", "_h", "_off", "_prev_last", "_n"] + [f"_cv_{n}" for n in carry] + \
+        [f"_rv_{n}" for n in running] + [f"_ro_{n}" for n in running] + list(running)
+    return out.drop(*[c for c in drop if c in out.columns])

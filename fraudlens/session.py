@@ -65,12 +65,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def materialize(df, enabled: bool = True):
-    """Cut the lineage of a multi-stage plan: a reliable checkpoint written to
-    the shared checkpoint folder (survives executor loss, unlike a local
-    checkpoint), so later stages neither re-plan nor recompute the branches
-    that a skew-safe window step duplicates."""
+_CACHED: list = []
+
+
+def release_cached() -> None:
+    """Unpersist the frames cached by ``materialize(..., "cache")``."""
+    while _CACHED:
+        _CACHED.pop().unpersist()
+
+
+def materialize(df, enabled: bool | str = True):
+    """Cut the lineage of a multi-stage plan so later stages neither re-plan
+    nor recompute the branches that a skew-safe window step duplicates.
+
+    True / "checkpoint": a reliable checkpoint written to the shared
+    checkpoint folder (survives executor loss, unlike a local checkpoint).
+    "cache": persist in memory and disk (short jobs such as one micro-batch;
+    a lost block is recomputed from lineage). False: keep the lineage."""
     if not enabled:
         return df
+    if enabled == "cache":
+        from pyspark import StorageLevel
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out.count()
+        _CACHED.append(out)
+        return out
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -108,7 +108,7 @@ def score_batch(batch: DataFrame, schema: T.StructType, rs: R.RuleSet, topic: st
     good, dead = IO.route_messages(batch, schema, topic)
     good = good.cache()
     try:
-        decided = D.scoring_frame(good, rs, card, stages=False)
+        decided = D.scoring_frame(good, rs, card, stages="cache")
         decided = decided.cache()
         part = f"batch_id={epoch_id}"
         D.scoring_record(decided).withColumn("value", F.to_json(F.struct("*"))) \
@@ -120,6 +120,8 @@ def score_batch(batch: DataFrame, schema: T.StructType, rs: R.RuleSet, topic: st
         dead.write.mode("overwrite").parquet(f"{out_dir}/dead_letter/{part}")
         return {"scored": decided.count()}
     finally:
+        from fraudlens.session import release_cached
+        release_cached()
         good.unpersist()
 
 

@@ -120,3 +120,14 @@ def test_global_index(spark):
            for r in RK.global_index(t, "TransactionDT", "TransactionID").collect()}
     exp = {r[1]: i for i, r in enumerate(sorted((r[1], r[0]) for r in t.collect()))}
     assert got == exp
+
+
+def test_card_windows_single_shuffle_equals_direct(spark):
+    t = V.txn_events(spark, SF_MED).withColumns(V.location_columns())
+    cards = V.card_countries(spark, SF_MED)
+    one = W.card_windows(t, cards, bucket_seconds=3600)
+    two = W.velocity_counts(W.sequence_and_geo(t, cards, strategy="direct"), strategy="direct")
+    cols = ["TransactionID", "card_txn_rank", "card_prev_dt", "rapid_succession",
+            "country_mismatch", "first_international", "impossible_travel",
+            *W.VELOCITY_WINDOWS, *W.FAILED_WINDOWS]
+    assert _rows(one, cols) == _rows(two, cols)
