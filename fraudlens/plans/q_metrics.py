@@ -310,3 +310,24 @@ def x01_global_index(spark, sf):
     t = V.txn_events(spark, sf).select("TransactionID", "TransactionDT")
     return RK.global_index(t, "TransactionDT", "TransactionID", "idx").select("TransactionID",
                                                                               "idx")
+
+
+# K04 ------------------------------------------------------------------------
+K04_VERSION = 1998
+
+
+@query("k04_model_metrics", SCORED + _cum_sql(keys="version") + f""",
+h AS (SELECT version, {AUC_EXPR} AS roc_auc, {AP_EXPR} AS pr_auc FROM cc GROUP BY version)
+SELECT version, metric, round(value, 6) AS value FROM (
+  SELECT version, 'roc_auc' AS metric, roc_auc AS value FROM h
+  UNION ALL SELECT version, 'pr_auc', pr_auc FROM h)
+WHERE version = {K04_VERSION} ORDER BY metric""")
+def k04_model_metrics(spark, sf):
+    """Stored metrics of one model version (the per-version history, M25)."""
+    h = M.metric_history(scored_orders(spark, sf), "version")
+    long = h.select("version", F.explode(F.array(
+        F.struct(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")),
+        F.struct(F.lit("pr_auc").alias("metric"), F.col("pr_auc").alias("value")))).alias("m"))
+    return (long.where(F.col("version") == K04_VERSION)
+                .select("version", "m.metric", r6(F.col("m.value")).alias("value"))
+                .orderBy("metric"))

@@ -144,3 +144,12 @@ def test_model_bundle_roundtrip_and_calibration(spark, tmpdir_path):
     assert len(ML.feature_importances(m, cols)) > 0
     with pytest.raises(FileNotFoundError):
         ML.load_bundle(os.path.join(tmpdir_path, "nope"), "random_forest")
+
+
+def test_eda_reports(spark, tmpdir_path):
+    from fraudlens.operators import eda
+    paths = eda.write_reports(V.txn_orders(spark, SF_SMALL), tmpdir_path)
+    assert {"summary", "fraud_rate", "class_counts", "missing_top20",
+            "log_amount_hist_80"} <= set(paths)
+    hist = spark.read.json(paths["log_amount_hist_80"])
+    assert hist.agg(F.sum("n")).first()[0] == V.txn_orders(spark, SF_SMALL).count()
