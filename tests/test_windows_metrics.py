@@ -131,3 +131,25 @@ def test_card_windows_single_shuffle_equals_direct(spark):
             "country_mismatch", "first_international", "impossible_travel",
             *W.VELOCITY_WINDOWS, *W.FAILED_WINDOWS]
     assert _rows(one, cols) == _rows(two, cols)
+
+
+def test_hot_card_is_split_and_exact(spark):
+    """A card holding a third of all rows: the bucketed plans still equal the
+    plain windows, and the card's rows spread over many (card, bucket) keys."""
+    t = V.txn_events(spark, SF_MED).withColumn(
+        "card1", F.when(F.col("TransactionID") % 3 == 0, F.lit(1)).otherwise(F.col("card1")))
+    t = t.withColumns(V.location_columns())
+    cards = t.select("card1", "home_country").groupBy("card1").agg(
+        F.min("home_country").alias("home_country"))
+    one = W.card_windows(t, cards, bucket_seconds=3600)
+    two = W.velocity_counts(W.sequence_and_geo(t, cards, strategy="direct"), strategy="direct")
+    cols = ["TransactionID", "card_txn_rank", "card_prev_dt", "first_international",
+            "impossible_travel", *W.VELOCITY_WINDOWS, *W.FAILED_WINDOWS]
+    assert _rows(one, cols) == _rows(two, cols)
+    hot_buckets = t.where("card1 = 1").select(F.floor(F.col("TransactionDT") / 3600)).distinct()
+    assert hot_buckets.count() > 100
+    a = W.amount_vs_avg(t, bucket_seconds=86400)
+    b = W.amount_vs_avg(t, strategy="direct")
+    ra = dict(a.select("TransactionID", "amount_vs_avg_ratio").collect())
+    rb = dict(b.select("TransactionID", "amount_vs_avg_ratio").collect())
+    assert all(abs(ra[k] - rb[k]) < 1e-9 for k in rb)
