@@ -21,27 +21,59 @@ def _median(c: Column, exact: bool) -> Column:
     return F.median(c) if exact else F.percentile_approx(c, 0.5, 10000).cast("double")
 
 
+def grouped_median(df: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
+    """Exact per-group median without holding a group in one task.
+
+    Counts per distinct (group, value) are reduced map-side; running counts
+    over the values of a group come from ``rank.prefix_sums`` partitioned by
+    (group, value range bin), so a group with a third of all rows is spread
+    over the bins. The median is the mean of the values at 0-based positions
+    (n - 1) div 2 and n div 2, as a linear-interpolated 0.5 percentile."""
+    from fraudlens.operators.rank import prefix_sums
+    g = (df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+           .groupBy(key, F.col(value).cast("double").alias("_v"))
+           .agg(F.count(F.lit(1)).alias("_c")))
+    ps = prefix_sums(g, "_v", ["_c"], keys=(key,))
+    tot = g.groupBy(key).agg(F.sum("_c").alias("_n"))
+    j = ps.join(tot, key)
+    k1 = F.floor((F.col("_n") - 1) / 2)
+    k2 = F.floor(F.col("_n") / 2)
+    hit1 = (F.col("_c_before") <= k1) & (k1 < F.col("_c_before") + F.col("_c"))
+    hit2 = (F.col("_c_before") <= k2) & (k2 < F.col("_c_before") + F.col("_c"))
+    m = (j.where(hit1 | hit2)
+          .groupBy(key)
+          .agg(F.max(F.when(hit1, F.col("_v"))).alias("_lo"),
+               F.max(F.when(hit2, F.col("_v"))).alias("_hi")))
+    return m.select(key, (F.lit(0.5) * F.col("_lo") + F.lit(0.5) * F.col("_hi")).alias(out))
+
+
 # A01 ------------------------------------------------------------------------
 def card_stats(df: DataFrame, key: str = "card1", amt: str = AMT,
-               exact_median: bool = True) -> DataFrame:
+               median: str = "distributed") -> DataFrame:
+    """median: "distributed" (exact, skew-safe, see grouped_median),
+    "percentile" (exact, one value map per group) or "approx" (sketch)."""
     a = F.col(amt)
-    return (df.where(F.col(key).isNotNull())
-              .groupBy(key)
-              .agg(F.count(a).alias(f"{key}_card_txn_count"),
-                   F.avg(a).alias(f"{key}_card_amt_mean"),
-                   F.stddev_samp(a).alias(f"{key}_card_amt_std"),
-                   F.min(a).alias(f"{key}_card_amt_min"),
-                   F.max(a).alias(f"{key}_card_amt_max"),
-                   _median(a, exact_median).alias(f"{key}_card_amt_median")))
+    aggs = [F.count(a).alias(f"{key}_card_txn_count"),
+            F.avg(a).alias(f"{key}_card_amt_mean"),
+            F.stddev_samp(a).alias(f"{key}_card_amt_std"),
+            F.min(a).alias(f"{key}_card_amt_min"),
+            F.max(a).alias(f"{key}_card_amt_max")]
+    if median != "distributed":
+        aggs.append(_median(a, median == "percentile").alias(f"{key}_card_amt_median"))
+    stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+    if median == "distributed":
+        med = grouped_median(df, key, amt, f"{key}_card_amt_median")
+        stats = stats.join(med, key, "left")
+    return stats
 
 
 # J02 + A02 ------------------------------------------------------------------
 def with_card_aggregations(df: DataFrame, key: str = "card1", amt: str = AMT,
                            stats: DataFrame | None = None,
-                           exact_median: bool = True) -> DataFrame:
+                           median: str = "distributed") -> DataFrame:
     if key not in df.columns:
         return df
-    stats = stats if stats is not None else card_stats(df, key, amt, exact_median)
+    stats = stats if stats is not None else card_stats(df, key, amt, median)
     j = df.join(stats, key, "left")
     std = F.coalesce(F.col(f"{key}_card_amt_std"), F.lit(0.0))
     return (j.withColumn(f"{key}_card_amt_std", std)

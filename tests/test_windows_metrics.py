@@ -153,3 +153,13 @@ def test_hot_card_is_split_and_exact(spark):
     ra = dict(a.select("TransactionID", "amount_vs_avg_ratio").collect())
     rb = dict(b.select("TransactionID", "amount_vs_avg_ratio").collect())
     assert all(abs(ra[k] - rb[k]) < 1e-9 for k in rb)
+
+
+def test_grouped_median_exact(spark):
+    from fraudlens.operators import aggregations as A
+    t = V.txn_orders(spark, SF_MED).withColumn(
+        "card1", F.when(F.col("TransactionID") % 3 == 0, F.lit(1)).otherwise(F.col("card1")))
+    got = dict(A.grouped_median(t, "card1", "TransactionAmt").collect())
+    exp = dict(t.groupBy("card1").agg(F.median("TransactionAmt")).collect())
+    assert got.keys() == exp.keys()
+    assert all(abs(got[k] - exp[k]) <= 1e-9 * max(1.0, abs(exp[k])) for k in exp)
