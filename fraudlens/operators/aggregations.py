@@ -51,14 +51,15 @@ def grouped_median(df: DataFrame, key: str, value: str, out: str = "median") ->
 def card_stats(df: DataFrame, key: str = "card1", amt: str = AMT,
                median: str = "distributed") -> DataFrame:
     """median: "distributed" (exact, skew-safe, see grouped_median),
-    "percentile" (exact, one value map per group) or "approx" (sketch)."""
+    "percentile" (exact, one value map per group), "approx" (sketch) or
+    "none" (not computed, for consumers that only read the moments)."""
     a = F.col(amt)
     aggs = [F.count(a).alias(f"{key}_card_txn_count"),
             F.avg(a).alias(f"{key}_card_amt_mean"),
             F.stddev_samp(a).alias(f"{key}_card_amt_std"),
             F.min(a).alias(f"{key}_card_amt_min"),
             F.max(a).alias(f"{key}_card_amt_max")]
-    if median != "distributed":
+    if median in ("percentile", "approx"):
         aggs.append(_median(a, median == "percentile").alias(f"{key}_card_amt_median"))
     stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
     if median == "distributed":

@@ -178,7 +178,8 @@ def scoring_features(txn: DataFrame, strategy: str = "bucketed",
     from fraudlens.operators import pipeline as P
     from fraudlens.operators import windows as W
     from fraudlens.session import materialize
-    df = A.with_card_aggregations(P.row_features(txn))
+    # the scorer reads mean / std / max only: no median pass here
+    df = A.with_card_aggregations(P.row_features(txn), median="none")
     if strategy == "direct":
         if cards is not None and "lat" in df.columns:
             df = W.sequence_and_geo(df, cards, strategy=strategy)

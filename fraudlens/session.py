@@ -21,6 +21,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     # Broadcast only what the planner can prove small; 32 MB cap.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
@@ -81,6 +82,8 @@ def materialize(df, enabled: bool | str = True):
 
     True / "checkpoint": a reliable checkpoint written to the shared
     checkpoint folder (survives executor loss, unlike a local checkpoint).
+    "table": the frame written as a Parquet table in the same folder and read
+    back (preferable for wide frames read by several later jobs).
     "cache": persist in memory and disk (short jobs such as one micro-batch;
     a lost block is recomputed from lineage). False: keep the lineage."""
     if not enabled:
@@ -91,5 +94,9 @@ def materialize(df, enabled: bool | str = True):
         out.count()
         _CACHED.append(out)
         return out
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if enabled in (True, "checkpoint"):
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
