@@ -223,3 +223,25 @@ def scoring_record(decided: DataFrame, card: dict = SCORECARD) -> DataFrame:
 
 def sigmoid(z: float) -> float:
     return 1.0 / (1.0 + math.exp(-z))
+
+
+# D07 ------------------------------------------------------------------------
+FALLBACK_SCORE = 0.5
+
+
+def score_with_fallback(txn: DataFrame, rs: R.RuleSet | None = None, card: dict = SCORECARD,
+                        **kw) -> DataFrame:
+    """Batch scoring where a row that cannot be scored (fails validation)
+    becomes REVIEW with score 0.5 and an error text; the rest is scored."""
+    from fraudlens.operators import validation as VAL
+    v = VAL.validate(txn)
+    good = v.where("is_valid").drop("violations", "is_valid")
+    bad = v.where(~F.col("is_valid"))
+    scored = scoring_record(scoring_frame(good, rs, card, **kw), card) \
+        .select("transaction_id", "fraud_score", "decision", F.lit(None).cast("string")
+                .alias("error"))
+    failed = bad.select(F.col("TransactionID").cast("string").alias("transaction_id"),
+                        F.lit(FALLBACK_SCORE).alias("fraud_score"), F.lit(REVIEW).alias("decision"),
+                        F.concat(F.lit("invalid: "), F.array_join("violations", ","))
+                        .alias("error"))
+    return scored.unionByName(failed)

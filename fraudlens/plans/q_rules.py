@@ -256,3 +256,22 @@ SELECT rule_id, {_rule_meta_sql(RS_LOW, 'category')} AS category,
 FROM (SELECT unnest(_ids) AS rule_id FROM decided) GROUP BY 1, 2, 3""")
 def a15_rule_hits(spark, sf):
     return A.rule_hits(events_decided(spark, sf, RS_LOW))
+
+
+@query("d07_batch_with_fallback", orders_chain_sql(RS) + """,
+v AS (SELECT TransactionID FROM txn_orders
+      WHERE NOT (TransactionDT >= 0 AND TransactionAmt > 0 AND TransactionAmt <= 1000000))
+SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, fraud_score, decision,
+       CAST(NULL AS VARCHAR) AS error FROM decided
+UNION ALL
+SELECT CAST(TransactionID AS VARCHAR), 0.5, 'REVIEW', 'invalid: TransactionAmt' FROM v""")
+def d07_batch_with_fallback(spark, sf):
+    return D.score_with_fallback(V.txn_orders(spark, sf), RS)
+
+
+@query("a16_score_histogram", events_chain_sql(RS) + ",\n" + __import__(
+    "fraudlens.plans.q_aggregates", fromlist=["_cum_hist_sql"])._cum_hist_sql(
+        "", "decided", "fraud_score", A.SCORE_BOUNDS).lstrip(",\n"))
+def a16_score_histogram(spark, sf):
+    h = A.cumulative_histogram(events_decided(spark, sf), "fraud_score", A.SCORE_BOUNDS)
+    return h.withColumn("sum", F.round("sum", 6))

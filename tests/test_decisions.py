@@ -58,3 +58,17 @@ def test_percent_text_matches_python(spark):
     df = spark.createDataFrame([(s,) for s in scores], "s double")
     got = [r[0] for r in df.select(D.percent_text(F.col("s"))).collect()]
     assert got == [f"{s * 100:.1f}%" for s in scores]
+
+
+def test_batch_fallback_for_invalid_rows(spark):
+    rows = [(1, 100, 50.0, "W", 7, "gmail.com"), (2, -5, 10.0, "W", 7, "gmail.com"),
+            (3, 200, 0.0, "W", 8, None), (4, 300, 2e6, "C", 9, "mailinator.com")]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, "
+                                     "TransactionAmt double, ProductCD string, card1 long, "
+                                     "P_emaildomain string")
+    out = {r["transaction_id"]: r for r in D.score_with_fallback(df, R.load_rules()).collect()}
+    assert out["1"]["error"] is None
+    assert out["2"]["decision"] == "REVIEW" and out["2"]["fraud_score"] == 0.5
+    assert out["2"]["error"] == "invalid: TransactionDT"
+    assert out["3"]["error"] == "invalid: TransactionAmt"
+    assert out["4"]["error"] == "invalid: TransactionAmt"
