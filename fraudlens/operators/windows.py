@@ -212,7 +212,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     dlat = (lat2 - lat1) * r
     dlon = (lon2 - lon1) * r
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(lat1 * r) * F.cos(lat2 * r) * F.pow(F.sin(dlon / 2), 2)
-    return 2 * F.lit(EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() skips nulls: keep the distance null when there is no previous point
+    return F.when(h.isNotNull(),
+                  2 * F.lit(EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def sequence_and_geo(df: DataFrame, cards: DataFrame | None, key: str = KEY, dt: str = DT,

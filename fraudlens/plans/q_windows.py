@@ -80,10 +80,10 @@ s AS (
          lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(TransactionDT) OVER w AS pdt
   FROM g WINDOW w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)),
 k AS (
-  SELECT *, 2 * {W.EARTH_RADIUS_KM!r} * asin(least(1.0, sqrt(
+  SELECT *, CASE WHEN plat IS NOT NULL THEN 2 * {W.EARTH_RADIUS_KM!r} * asin(least(1.0, sqrt(
            pow(sin((lat - plat) * {__import__('math').pi / 180!r} / 2), 2)
            + cos(plat * {__import__('math').pi / 180!r}) * cos(lat * {__import__('math').pi / 180!r})
-             * pow(sin((lon - plon) * {__import__('math').pi / 180!r} / 2), 2)))) AS km,
+             * pow(sin((lon - plon) * {__import__('math').pi / 180!r} / 2), 2)))) END AS km,
          (TransactionDT - pdt) / 3600.0 AS hours
   FROM s)
 SELECT TransactionID, country_mismatch,

@@ -230,10 +230,10 @@ def geo_sql(src: str, name: str) -> str:
          lag(lat) OVER _w AS prev_lat, lag(lon) OVER _w AS prev_lon, lag(TransactionDT) OVER _w AS prev_dt
   FROM {name}_g WINDOW _w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)),
 {name}_k AS (
-  SELECT *, 2 * {W.EARTH_RADIUS_KM!r} * asin(least(1.0, sqrt(
+  SELECT *, CASE WHEN prev_lat IS NOT NULL THEN 2 * {W.EARTH_RADIUS_KM!r} * asin(least(1.0, sqrt(
            pow(sin((lat - prev_lat) * {r} / 2), 2)
            + cos(prev_lat * {r}) * cos(lat * {r}) * pow(sin((lon - prev_lon) * {r} / 2), 2))))
-           AS travel_km,
+           END AS travel_km,
          (TransactionDT - prev_dt) / 3600.0 AS _hours
   FROM {name}_s),
 {name} AS (

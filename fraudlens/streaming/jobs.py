@@ -105,9 +105,11 @@ def card_velocity(events: DataFrame, key: str = "card1") -> DataFrame:
 def score_batch(batch: DataFrame, schema: T.StructType, rs: R.RuleSet, topic: str,
                 out_dir: str, epoch_id: int, card: dict = D.SCORECARD) -> dict:
     """Score one micro-batch and write its sinks under batch_id=<epoch>."""
-    good, dead = IO.route_messages(batch, schema, topic)
-    good = good.cache()
+    parsed = batch.persist()                       # the micro-batch is read once
+    good, dead = IO.route_messages(parsed, schema, topic)
     try:
+        # one micro-batch: phases are persisted (a lost cached block is
+        # recomputed from the batch), the decided frame feeds four sinks
         decided = D.scoring_frame(good, rs, card, stages="cache")
         decided = decided.cache()
         part = f"batch_id={epoch_id}"
@@ -122,7 +124,7 @@ def score_batch(batch: DataFrame, schema: T.StructType, rs: R.RuleSet, topic: st
     finally:
         from fraudlens.session import release_cached
         release_cached()
-        good.unpersist()
+        parsed.unpersist()
 
 
 def score_stream(raw: DataFrame, schema: T.StructType, out_dir: str, checkpoint: str,
@@ -140,3 +142,175 @@ def score_stream(raw: DataFrame, schema: T.StructType, out_dir: str, checkpoint:
 def block_share_stream(decided: DataFrame, ts: str = "ts",
                        watermark: str = MO.DEFAULT_WATERMARK) -> DataFrame:
     return MO.block_share(decided.withWatermark(ts, watermark), ts)
+
+
+# ---------------------------------------------------------------------------
+# T01 + T04: one stateful scoring query
+# ---------------------------------------------------------------------------
+DAY = 86400
+AVG_DAYS = 30
+
+CARD_STATE = T.StructType([
+    T.StructField("times", T.ArrayType(T.LongType())),
+    T.StructField("failed", T.ArrayType(T.IntegerType())),
+    T.StructField("n_seen", T.LongType()),
+    T.StructField("last_dt", T.LongType()),
+    T.StructField("last_lat", T.DoubleType()),
+    T.StructField("last_lon", T.DoubleType()),
+    T.StructField("intl_seen", T.LongType()),
+    T.StructField("day_keys", T.ArrayType(T.LongType())),
+    T.StructField("day_sums", T.ArrayType(T.DoubleType())),
+    T.StructField("day_counts", T.ArrayType(T.LongType())),
+])
+STATE_COLUMNS = [
+    ("card_txn_rank", T.LongType()), ("card_prev_dt", T.LongType()),
+    ("time_since_last_txn", T.LongType()), ("rapid_succession", T.IntegerType()),
+    *[(n, T.LongType()) for n in W.VELOCITY_WINDOWS],
+    *[(n, T.LongType()) for n in W.FAILED_WINDOWS],
+    ("amount_vs_avg_ratio", T.DoubleType()),
+    ("first_international", T.BooleanType()), ("impossible_travel", T.BooleanType()),
+]
+
+
+def _card_state_fn(has_geo: bool):
+    def fn(key, pdfs, state):
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        if batch.empty:
+            return
+        if state.exists:
+            (times, failed, n_seen, last_dt, last_lat, last_lon, intl_seen,
+             day_keys, day_sums, day_counts) = state.get
+        else:
+            times, failed, n_seen, last_dt, last_lat, last_lon, intl_seen = \
+                [], [], 0, None, None, None, 0
+            day_keys, day_sums, day_counts = [], [], []
+        batch = batch.sort_values(["TransactionDT", "TransactionID"], kind="stable") \
+                     .reset_index(drop=True)
+        bt = batch["TransactionDT"].to_numpy(dtype=np.int64)
+        bf = batch["failed"].fillna(False).astype(int).to_numpy(dtype=np.int64)
+        amt = batch["TransactionAmt"].astype(float).to_numpy()
+        m = len(batch)
+        # velocity: exact over the kept hour of history plus this batch
+        all_t = np.concatenate([np.asarray(times, dtype=np.int64), bt])
+        all_f = np.concatenate([np.asarray(failed, dtype=np.int64), bf])
+        order = np.argsort(all_t, kind="stable")
+        all_t, all_f = all_t[order], all_f[order]
+        cum_f = np.concatenate([[0], np.cumsum(all_f)])
+        hi = np.searchsorted(all_t, bt, side="right")
+        out = {}
+        for name, n in W.VELOCITY_WINDOWS.items():
+            out[name] = hi - np.searchsorted(all_t, bt - n, side="right")
+        for name, n in W.FAILED_WINDOWS.items():
+            lo = np.searchsorted(all_t, bt - n, side="right")
+            out[name] = cum_f[hi] - cum_f[lo]
+        # sequence: running number and previous event of the card
+        prev = np.concatenate([[last_dt if last_dt is not None else -1], bt[:-1]]).astype(np.int64)
+        has_prev = np.concatenate([[last_dt is not None], np.ones(m - 1, dtype=bool)])
+        gap = np.where(has_prev, bt - prev, -1)
+        out["card_txn_rank"] = n_seen + np.arange(1, m + 1)
+        out["card_prev_dt"] = pd.array(np.where(has_prev, prev, 0), dtype="Int64")
+        out["card_prev_dt"][~has_prev] = pd.NA
+        out["time_since_last_txn"] = gap
+        out["rapid_succession"] = ((gap > 0) & (gap < 60)).astype(np.int32)
+        # 30-day average: whole earlier days from daily buckets plus the
+        # earlier events of the same day (approximate at the far edge)
+        dk = dict(zip(day_keys, zip(day_sums, day_counts)))
+        days = bt // DAY
+        ratio = np.ones(m)
+        for i in range(m):
+            d = int(days[i])
+            s = c = 0.0
+            for dd in range(d - AVG_DAYS, d):
+                if dd in dk:
+                    s += dk[dd][0]
+                    c += dk[dd][1]
+            ts, tc = dk.get(d, (0.0, 0))
+            s += ts
+            c += tc
+            if c > 0 and s > 0:
+                ratio[i] = amt[i] / (s / c)
+            cs, cc = dk.get(d, (0.0, 0))
+            dk[d] = (cs + amt[i], cc + 1)
+        out["amount_vs_avg_ratio"] = ratio
+        # geography
+        if has_geo:
+            intl = (batch["txn_country"] != batch["home_country"]).fillna(False).to_numpy()
+            before = intl_seen + np.cumsum(intl) - intl
+            out["first_international"] = intl & (before == 0)
+            lat, lon = batch["lat"].to_numpy(float), batch["lon"].to_numpy(float)
+            plat = np.concatenate([[last_lat if last_lat is not None else np.nan], lat[:-1]])
+            plon = np.concatenate([[last_lon if last_lon is not None else np.nan], lon[:-1]])
+            r = np.pi / 180
+            h = np.sin((lat - plat) * r / 2) ** 2 + np.cos(plat * r) * np.cos(lat * r) * \
+                np.sin((lon - plon) * r / 2) ** 2
+            km = 2 * W.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+            hours = gap / 3600.0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                speed = np.where(hours > 0, km / hours, np.where(km > 0, np.inf, 0.0))
+            out["impossible_travel"] = np.nan_to_num(speed, nan=0.0) > W.MAX_TRAVEL_KMH
+            intl_seen = int(intl_seen + intl.sum())
+            last_lat, last_lon = float(lat[-1]), float(lon[-1])
+        else:
+            out["first_international"] = np.zeros(m, dtype=bool)
+            out["impossible_travel"] = np.zeros(m, dtype=bool)
+        keep = all_t > all_t.max() - STATE_HORIZON
+        horizon = int(days.max()) - AVG_DAYS
+        kept_days = sorted(k for k in dk if k >= horizon)
+        state.update((all_t[keep].tolist(), all_f[keep].astype(int).tolist(), int(n_seen + m),
+                      int(bt[-1]), last_lat, last_lon, intl_seen, kept_days,
+                      [float(dk[k][0]) for k in kept_days], [int(dk[k][1]) for k in kept_days]))
+        res = batch.copy()
+        for name, _ in STATE_COLUMNS:
+            res[name] = out[name]
+        yield res
+    return fn
+
+
+def stateful_features(events: DataFrame, card_stats: DataFrame | None = None,
+                      key: str = "card1") -> DataFrame:
+    """Row features, a stream-static join to fitted card statistics, and one
+    keyed state per card for every history-dependent input (T04)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    from fraudlens.operators import aggregations as A
+    from fraudlens.operators import pipeline as P
+    df = P.row_features(events)
+    if "failed" not in df.columns:
+        df = df.withColumn("failed", F.lit(False))
+    if card_stats is not None:
+        df = A.with_card_aggregations(df, key, stats=card_stats)
+    has_geo = all(c in df.columns for c in ("lat", "lon", "txn_country", "home_country"))
+    out_schema = T.StructType(list(df.schema.fields) +
+                              [T.StructField(n, t) for n, t in STATE_COLUMNS])
+    return df.groupBy(key).applyInPandasWithState(
+        _card_state_fn(has_geo), out_schema, CARD_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def decide_stream(events: DataFrame, rs: R.RuleSet, card_stats: DataFrame | None = None,
+                  card: dict = D.SCORECARD) -> DataFrame:
+    """T01 as one streaming plan: features + state -> scorecard -> rules ->
+    decision. Everything after the state operator is a projection."""
+    from fraudlens.functions import features as fx
+    f = stateful_features(events, card_stats)
+    f = D.scorecard_score(f, card).withColumn("hour", fx.rule_hour("TransactionDT"))
+    return D.decide(R.evaluate(f, rs))
+
+
+def write_decisions(decided: DataFrame, out_dir: str, checkpoint: str,
+                    card: dict = D.SCORECARD, available_now: bool = True):
+    """Fan-out sink: one cached micro-batch -> decisions, alerts, predictions,
+    each under batch_id=<epoch> (a replayed batch overwrites itself)."""
+    def run(batch_df: DataFrame, epoch_id: int):
+        b = batch_df.persist()
+        try:
+            part = f"batch_id={epoch_id}"
+            D.scoring_record(b, card).withColumn("value", F.to_json(F.struct("*"))) \
+                .select(F.col("transaction_id").alias("key"), "value") \
+                .write.mode("overwrite").parquet(f"{out_dir}/decisions/{part}")
+            ST.alerts_table(b).write.mode("overwrite").parquet(f"{out_dir}/alerts/{part}")
+            ST.predictions_table(b, card).write.mode("overwrite") \
+                .parquet(f"{out_dir}/predictions/{part}")
+        finally:
+            b.unpersist()
+    w = decided.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()

@@ -24,9 +24,13 @@ def _write_json_batches(df, out, n_files):
     rows = [json.dumps(r.asDict()) for r in df.orderBy("TransactionDT", "TransactionID").collect()]
     per = max(1, len(rows) // n_files + 1)
     os.makedirs(out, exist_ok=True)
-    for i in range(0, len(rows), per):
-        with open(os.path.join(out, f"part-{i:08d}.json"), "w") as fh:
+    base = 1_600_000_000
+    for n, i in enumerate(range(0, len(rows), per)):
+        path = os.path.join(out, f"part-{i:08d}.json")
+        with open(path, "w") as fh:
             fh.write("\n".join(rows[i:i + per]) + "\n")
+        # the file source orders files by modification time: make it strict
+        os.utime(path, (base + n, base + n))
 
 
 def test_stream_velocity_equals_batch(spark, tmpdir_path):
@@ -153,3 +157,35 @@ def test_eda_reports(spark, tmpdir_path):
             "log_amount_hist_80"} <= set(paths)
     hist = spark.read.json(paths["log_amount_hist_80"])
     assert hist.agg(F.sum("n")).first()[0] == V.txn_orders(spark, SF_SMALL).count()
+
+
+def test_stateful_scoring_stream_matches_batch_windows(spark, tmpdir_path):
+    from fraudlens.operators import aggregations as A
+    from fraudlens.operators import pipeline as P
+    t = V.txn_events(spark, SF_SMALL).withColumns(V.location_columns())
+    cols = ["TransactionID", "TransactionDT", "TransactionAmt", "ProductCD", "card1", "failed",
+            "P_emaildomain", "R_emaildomain", "lat", "lon", "home_country", "txn_country"]
+    src = os.path.join(tmpdir_path, "in")
+    _write_json_batches(t.select(*cols), src, 3)
+    schema = t.select(*cols).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+    stats = A.card_stats(P.row_features(t), median="none")
+    decided = J.decide_stream(stream, R.load_rules(), stats)
+    out = os.path.join(tmpdir_path, "out")
+    q = J.write_decisions(decided, out, os.path.join(tmpdir_path, "ck"))
+    q.awaitTermination(300)
+    got = spark.read.parquet(os.path.join(out, "predictions"))
+    assert got.count() == t.count()
+    # the state-derived inputs equal the batch windows on in-order data
+    q2 = (J.stateful_features(stream, stats).writeStream.format("memory")
+          .queryName("state_feats").option("checkpointLocation",
+                                            os.path.join(tmpdir_path, "ck2"))
+          .trigger(availableNow=True).start())
+    q2.awaitTermination(300)
+    names = ["TransactionID", "card_txn_rank", "card_prev_dt", *W.VELOCITY_WINDOWS,
+             *W.FAILED_WINDOWS, "first_international", "impossible_travel"]
+    s = sorted(tuple(r) for r in spark.sql("SELECT * FROM state_feats").select(*names).collect())
+    cards = V.card_countries(spark, SF_SMALL)
+    b = W.velocity_counts(W.sequence_and_geo(t, cards, strategy="direct"), strategy="direct")
+    e = sorted(tuple(r) for r in b.select(*names).collect())
+    assert s == e
