@@ -111,9 +111,7 @@ def fit_medians(df: DataFrame, cols: list[str] | None = None, exact: bool = True
 
 
 def fill_medians(df: DataFrame, medians: dict) -> DataFrame:
-    ints = {f.name for f in df.schema.fields
-            if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))}
-    vals = {c: (v if c not in ints else v) for c, v in medians.items() if c in df.columns}
+    vals = {c: v for c, v in medians.items() if c in df.columns}
     cols = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in vals.items()}
     return df.withColumns(cols) if cols else df
 

@@ -8,6 +8,7 @@ from fraudlens.operators import decisions as D
 from fraudlens.operators import rules as R
 from fraudlens.plans import sql as S
 from fraudlens.plans import sql_rules as SR
+from fraudlens.plans.q_aggregates import _cum_hist_sql
 from fraudlens.plans.registry import query
 from fraudlens.sources import views as V
 
@@ -269,8 +270,7 @@ def d07_batch_with_fallback(spark, sf):
     return D.score_with_fallback(V.txn_orders(spark, sf), RS)
 
 
-@query("a16_score_histogram", events_chain_sql(RS) + ",\n" + __import__(
-    "fraudlens.plans.q_aggregates", fromlist=["_cum_hist_sql"])._cum_hist_sql(
+@query("a16_score_histogram", events_chain_sql(RS) + ",\n" + _cum_hist_sql(
         "", "decided", "fraud_score", A.SCORE_BOUNDS).lstrip(",\n"))
 def a16_score_histogram(spark, sf):
     h = A.cumulative_histogram(events_decided(spark, sf), "fraud_score", A.SCORE_BOUNDS)

@@ -2,6 +2,8 @@
 skew-tolerant bucketed plans, the oracle the plain card-partitioned windows."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fraudlens.operators import windows as W
@@ -10,6 +12,8 @@ from fraudlens.plans.q_features import r6
 from fraudlens.plans.registry import query
 from fraudlens.sources import views as V
 
+DEG = math.pi / 180
+
 
 @query("w01_w03_card_sequence", S.with_ctes(S.TXN_ORDERS, S.sequence_sql("txn_orders", "seq"))
        + """
@@ -81,9 +85,9 @@ s AS (
   FROM g WINDOW w AS (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)),
 k AS (
   SELECT *, CASE WHEN plat IS NOT NULL THEN 2 * {W.EARTH_RADIUS_KM!r} * asin(least(1.0, sqrt(
-           pow(sin((lat - plat) * {__import__('math').pi / 180!r} / 2), 2)
-           + cos(plat * {__import__('math').pi / 180!r}) * cos(lat * {__import__('math').pi / 180!r})
-             * pow(sin((lon - plon) * {__import__('math').pi / 180!r} / 2), 2)))) END AS km,
+           pow(sin((lat - plat) * {DEG!r} / 2), 2)
+           + cos(plat * {DEG!r}) * cos(lat * {DEG!r})
+             * pow(sin((lon - plon) * {DEG!r} / 2), 2)))) END AS km,
          (TransactionDT - pdt) / 3600.0 AS hours
   FROM s)
 SELECT TransactionID, country_mismatch,
