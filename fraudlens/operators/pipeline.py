@@ -61,20 +61,36 @@ def _cat_text(c: str) -> F.Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
 
 
-def fit_category_codes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def fit_category_codes(df: DataFrame, cols: list[str] | None = None,
+                       n_parts: int | None = None) -> DataFrame:
     """(column, value, code): sorted distinct values numbered from 0.
 
-    Built from one distinct pass over a stacked (column, value) frame; the
-    numbering window runs per column over distinct values only.
+    The distinct (column, value) pairs are range-partitioned on (column,
+    value), so a column with very many values spreads over many tasks; each
+    range partition numbers its rows locally and adds the count of the same
+    column's values in earlier partitions (a table of partitions x columns).
     """
+    from fraudlens.session import materialize
     cols = [c for c in (cols or CATEGORICAL_COLS) if c in df.columns]
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], "column string, value string, code int")
+        return spark.createDataFrame([], "column string, value string, code int")
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), _cat_text(c).alias("value")) for c in cols]))
         .alias("s")).select("s.column", "s.value").distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return stacked.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(stacked.repartitionByRange(n, "column", "value")
+                                .withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy("_pid", "column").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("column").orderBy("_pid") \
+                   .rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", "column",
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid", "column").orderBy("value")
+    # offsets: one row per (partition, column), bounded by partitions x columns
+    return (ranged.join(F.broadcast(offs), ["_pid", "column"])
+                  .select("column", "value",
+                          (F.row_number().over(w) - 1 + F.col("_off")).cast("int").alias("code")))
 
 
 def apply_category_codes(df: DataFrame, codes: DataFrame, cols: list[str] | None = None

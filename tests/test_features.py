@@ -56,3 +56,15 @@ def test_alignment_fills_missing_and_drops_extras(spark):
     out = P.align_features(df, ["a", "b"], keep=("TransactionID",))
     assert out.columns == ["TransactionID", "a", "b"]
     assert out.first()["b"] == 0.0
+
+
+def test_category_codes_spread_over_partitions(spark):
+    from pyspark.sql.window import Window
+    t = V.txn_orders(spark, SF_MED).withColumn("card4", F.concat("card4", F.col("card1") % 97))
+    got = {(r[0], r[1]): r[2] for r in
+           P.fit_category_codes(t, ["card4", "ProductCD"], n_parts=16).collect()}
+    d = t.select(F.lit("card4").alias("column"), F.col("card4").alias("value")).union(
+        t.select(F.lit("ProductCD"), F.col("ProductCD"))).distinct()
+    exp = {(r[0], r[1]): r[2] for r in d.withColumn(
+        "code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).collect()}
+    assert got == exp
