@@ -27,7 +27,8 @@ ZSCORE_CARD = {"intercept": 0.0, "coefficients": {"card_amt_zscore": 1.0}}
 def scored_orders(spark, sf):
     """txn_orders -> features -> pinned scorecards: TransactionID, TransactionDT,
     version (order year), y, p, p_amount, p_zscore."""
-    f = W.sequence_features(A.with_card_aggregations(P.row_features(V.txn_orders(spark, sf))))
+    f = W.sequence_features(A.with_card_aggregations(P.row_features(V.txn_orders(spark, sf)),
+                                                     median="none"))
     f = D.scorecard_score(f, ORDER_CARD, "p")
     f = D.scorecard_score(f, AMOUNT_CARD, "p_amount")
     f = D.scorecard_score(f, ZSCORE_CARD, "p_zscore")
