@@ -248,3 +248,20 @@ def test_tree_shap_additive_and_exact(spark, kind):
             assert abs(bf[f] - phi[i, f]) < 1e-9
     ex = TS.explain(m, ML.prepare(X, cols), cols, top_n=5)
     assert ex.where("rank = 1").count() == X.count()
+
+
+def test_stream_dedup_within_watermark(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "dup")
+    os.makedirs(src)
+    rows = [{"TransactionID": 1, "ts": "2024-01-01T00:00:00Z", "v": "a"},
+            {"TransactionID": 1, "ts": "2024-01-01T00:00:05Z", "v": "b"},
+            {"TransactionID": 2, "ts": "2024-01-01T00:00:07Z", "v": "c"}]
+    with open(os.path.join(src, "part-0.json"), "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    s = spark.readStream.schema("TransactionID long, ts timestamp, v string").json(src)
+    q = (MO.dedup_transactions(s).writeStream.format("memory").queryName("dedup_out")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted(r[0] for r in spark.sql("SELECT TransactionID FROM dedup_out").collect())
+    assert got == [1, 2]
