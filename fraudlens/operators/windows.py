@@ -10,9 +10,10 @@ default strategy here partitions by (card, time bucket):
 * running numbers and "previous row" values (W01, W02, W07, W08) combine an
   in-bucket window with a small per-(card, bucket) summary table that carries
   the counts and last row of earlier buckets;
-* the 30-day average (W06) uses prefix sums: a per-(card, day) summary gives
-  whole earlier days, and probe rows inserted into the (card, day) partitions
-  give the partial days at both ends of the window.
+* the 30-day average (W06) uses exact decimal prefix sums: a per-(card, day)
+  summary gives whole earlier days, each row adds the earlier rows of its own
+  day, and one probe row inserted into the (card, day) partition of the far
+  edge of the window subtracts everything before the window.
 
 ``strategy="direct"`` is the plain card-partitioned window, kept as the
 readable definition and used by the tests as a second implementation.
@@ -163,19 +164,17 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
         return df.withColumn("card_avg_30d", avg).withColumn(
             "amount_vs_avg_ratio", F.coalesce(a / avg, F.lit(1.0)))
 
-    # prefix sums C(x), S(x) = count / sum of the card's rows with dt <= x.
-    # window sum = S(t-1) - S(t-window-1).
+    # prefix sums C(x), S(x) = count / sum of the card's rows with dt <= x;
+    # window totals = C(t - 1) - C(t - window - 1). Each row computes its own
+    # C(t - 1) in its (card, day) partition; one probe row per transaction,
+    # placed in the partition of day(t - window - 1), returns C there.
     B = bucket_seconds
-    data = df.select(F.col(key).alias("_k"), F.col(dt).alias("_x"), F.lit(0).alias("_kind"),
-                     F.col(id_col).alias("_id"), dec.alias("_a")) \
-             .where(F.col("_k").isNotNull())
-    probes = data.select("_k", "_id",
-                         F.explode(F.array(
-                             F.struct((F.col("_x") - 1).alias("_x"), F.lit(1).alias("_kind")),
-                             F.struct((F.col("_x") - window_seconds - 1).alias("_x"),
-                                      F.lit(2).alias("_kind")))).alias("p")) \
-                 .select("_k", "p._x", "p._kind", "_id", F.lit(None).cast(EXACT_AMOUNT).alias("_a"))
-    ev = data.unionByName(probes).withColumn("_b", F.floor(F.col("_x") / B).cast("long"))
+    data = df.withColumns({"_k": F.col(key), "_x": F.col(dt), "_kind": F.lit(0),
+                           "_id": F.col(id_col), "_a": dec})
+    probes = data.select("_k", (F.col("_x") - window_seconds - 1).alias("_x"),
+                         F.lit(2).alias("_kind"), "_id", F.lit(None).cast(EXACT_AMOUNT).alias("_a"))
+    ev = data.unionByName(probes, allowMissingColumns=True) \
+             .withColumn("_b", F.floor(F.col("_x") / B).cast("long"))
     is_data = (F.col("_kind") == 0)
     # per (card, bucket) totals, including empty buckets that only hold probes
     summ = (ev.groupBy("_k", "_b")
@@ -185,21 +184,22 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
     summ = summ.select("_k", "_b",
                        F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_on"),
                        F.coalesce(F.sum("_bs").over(prior), _zero()).alias("_os"))
-    # inside the bucket: running totals of data rows up to and including x
-    w = Window.partitionBy("_k", "_b").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
-    ev = (ev.join(summ, ["_k", "_b"], "left")
-            .withColumn("_C", F.sum(is_data.cast("long")).over(w) + F.col("_on"))
-            .withColumn("_S", F.sum(F.when(is_data, F.col("_a")).otherwise(_zero())).over(w)
-                        + F.col("_os")))
-    k1 = F.col("_kind") == 1          # each id has one probe of each kind
-    got = (ev.where(~is_data)
-             .groupBy("_id")
-             .agg(F.sum(F.when(k1, F.col("_C")).otherwise(-F.col("_C"))).alias("_n"),
-                  F.sum(F.when(k1, F.col("_S")).otherwise(-F.col("_S"))).alias("_s")))
-    got = got.select(F.col("_id").alias(id_col),
-                     F.when(F.col("_n") > 0, F.col("_s").cast("double") / F.col("_n"))
-                      .alias("card_avg_30d"))
-    out = df.join(got, id_col, "left")
+    wo = Window.partitionBy("_k", "_b").orderBy("_x")
+    upto = wo.rangeBetween(Window.unboundedPreceding, 0)      # dt <= x (probes)
+    below = wo.rangeBetween(Window.unboundedPreceding, -1)    # dt <= t - 1 (rows)
+    n_d, s_d = is_data.cast("long"), F.when(is_data, F.col("_a")).otherwise(_zero())
+    ev = ev.join(summ, ["_k", "_b"], "left")
+    ev = ev.withColumns({
+        "_C": F.when(is_data, F.coalesce(F.sum(n_d).over(below), F.lit(0)))
+               .otherwise(F.sum(n_d).over(upto)) + F.col("_on"),
+        "_S": F.when(is_data, F.coalesce(F.sum(s_d).over(below), _zero()))
+               .otherwise(F.sum(s_d).over(upto)) + F.col("_os")})
+    far = ev.where(~is_data).select("_id", F.col("_C").alias("_C0"), F.col("_S").alias("_S0"))
+    rows = ev.where(is_data).join(far, "_id", "left")
+    n = F.col("_C") - F.col("_C0")
+    avg = F.when(n > 0, (F.col("_S") - F.col("_S0")).cast("double") / n)
+    out = rows.withColumn("card_avg_30d", avg) \
+              .drop("_k", "_x", "_kind", "_id", "_a", "_b", "_on", "_os", "_C", "_S", "_C0", "_S0")
     return out.withColumn("amount_vs_avg_ratio",
                           F.coalesce(a / F.col("card_avg_30d"), F.lit(1.0)))
 
