@@ -214,24 +214,38 @@ def _card_state_fn(has_geo: bool):
         out["rapid_succession"] = ((gap > 0) & (gap < 60)).astype(np.int32)
         # 30-day average: whole earlier days from daily buckets plus the
         # earlier events of the same day (approximate at the far edge)
-        dk = dict(zip(day_keys, zip(day_sums, day_counts)))
         days = bt // DAY
-        ratio = np.ones(m)
-        for i in range(m):
-            d = int(days[i])
-            s = c = 0.0
-            for dd in range(d - AVG_DAYS, d):
-                if dd in dk:
-                    s += dk[dd][0]
-                    c += dk[dd][1]
-            ts, tc = dk.get(d, (0.0, 0))
-            s += ts
-            c += tc
-            if c > 0 and s > 0:
-                ratio[i] = amt[i] / (s / c)
-            cs, cc = dk.get(d, (0.0, 0))
-            dk[d] = (cs + amt[i], cc + 1)
+        sk = np.asarray(day_keys, dtype=np.int64)
+        ss = np.asarray(day_sums, dtype=float)
+        sc = np.asarray(day_counts, dtype=float)
+        ud, inv = np.unique(days, return_inverse=True)
+        keys = np.union1d(sk, ud)
+        tot_s = np.zeros(len(keys))
+        tot_c = np.zeros(len(keys))
+        np.add.at(tot_s, np.searchsorted(keys, sk), ss)
+        np.add.at(tot_c, np.searchsorted(keys, sk), sc)
+        np.add.at(tot_s, np.searchsorted(keys, days), amt)
+        np.add.at(tot_c, np.searchsorted(keys, days), 1.0)
+        cs = np.concatenate([[0.0], np.cumsum(tot_s)])
+        cc = np.concatenate([[0.0], np.cumsum(tot_c)])
+
+        def before_day(d):             # totals of all days < d
+            i = np.searchsorted(keys, d, side="left")
+            return cs[i], cc[i]
+        s_hi, c_hi = before_day(days)
+        s_lo, c_lo = before_day(days - AVG_DAYS)
+        # same day: state bucket of that day plus earlier rows of this batch
+        st_day = dict(zip(sk.tolist(), zip(ss.tolist(), sc.tolist())))
+        today_s = np.array([st_day.get(int(d), (0.0, 0.0))[0] for d in days])
+        today_c = np.array([st_day.get(int(d), (0.0, 0.0))[1] for d in days])
+        run_s = pd.Series(amt).groupby(inv).cumsum().to_numpy() - amt
+        run_c = pd.Series(np.ones(m)).groupby(inv).cumsum().to_numpy() - 1.0
+        s_win = (s_hi - s_lo) + today_s + run_s
+        c_win = (c_hi - c_lo) + today_c + run_c
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where((c_win > 0) & (s_win > 0), amt / (s_win / c_win), 1.0)
         out["amount_vs_avg_ratio"] = ratio
+        dk = {int(k): (float(a_), int(c_)) for k, a_, c_ in zip(keys, tot_s, tot_c)}
         # geography
         if has_geo:
             intl = (batch["txn_country"] != batch["home_country"]).fillna(False).to_numpy()
