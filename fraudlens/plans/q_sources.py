@@ -165,3 +165,53 @@ def f15_alert_payload(spark, sf):
     s = F.col("fraud_score")
     return a.select("transaction_id", *[c.alias(n) for n, c in fx.alert_colours(s).items()],
                     fx.score_text(s).alias("score_text"))
+
+
+# S02 / S03 / S13 round trips --------------------------------------------------
+IDENTITY_SCHEMA = T.StructType([T.StructField("TransactionID", T.LongType()),
+                                T.StructField("id_01", T.DoubleType()),
+                                T.StructField("id_02", T.DoubleType()),
+                                T.StructField("DeviceType", T.StringType())])
+
+
+@query("s02_optional_identity_csv", S.with_ctes(S.TXN_EVENTS, S.IDENTITY) + """
+SELECT t.TransactionID, i.id_01, i.DeviceType
+FROM txn_events t LEFT JOIN identity i ON t.TransactionID = i.TransactionID""")
+def s02_optional_identity_csv(spark, sf):
+    """The identity table exported as CSV, read back only if present, left-joined."""
+    from fraudlens.operators.pipeline import merge_identity
+    path = scratch_path(spark, "identity-csv")
+    IO.write_csv(V.identity(spark, sf), path)
+    idn = IO.read_optional_csv(spark, path, IDENTITY_SCHEMA)
+    if IO.read_optional_csv(spark, path + "-absent", IDENTITY_SCHEMA) is not None:
+        raise RuntimeError("an absent optional table must read as None")
+    j = merge_identity(V.txn_events(spark, sf), idn)
+    return j.select("TransactionID", "id_01", "DeviceType")
+
+
+@query("s03_split_parquet", S.with_ctes(S.TXN_ORDERS) + """
+SELECT TransactionID,
+       CASE WHEN row_number() OVER (ORDER BY TransactionDT, TransactionID)
+                 <= (SELECT CAST(floor(count(*) * (1 - 0.2)) AS BIGINT) FROM txn_orders)
+            THEN 'train' ELSE 'val' END AS split
+FROM txn_orders""")
+def s03_split_parquet(spark, sf):
+    """Time split written as two Parquet tables and read back."""
+    from fraudlens.operators import rank as RK
+    t = V.txn_orders(spark, sf).select("TransactionID", "TransactionDT")
+    tr, va = RK.time_split(t, 0.2)
+    paths = IO.write_splits(tr, va, scratch_path(spark, "splits"))
+    return (spark.read.parquet(paths["train"]).select("TransactionID", F.lit("train").alias("split"))
+            .unionByName(spark.read.parquet(paths["val"])
+                         .select("TransactionID", F.lit("val").alias("split"))))
+
+
+@query("s13_report_roundtrip", S.with_ctes(S.TXN_ORDERS) + """
+SELECT isFraud, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+FROM txn_orders GROUP BY isFraud""")
+def s13_report_roundtrip(spark, sf):
+    """Report tables written as JSON; the class-count table read back."""
+    from fraudlens.operators import eda
+    paths = eda.write_reports(V.txn_orders(spark, sf), scratch_path(spark, "reports"))
+    back = spark.read.schema("isFraud int, n long, pct double").json(paths["class_counts"])
+    return back.select("isFraud", "n", F.round("pct", 6).alias("pct"))
