@@ -169,7 +169,9 @@ STATE_COLUMNS = [
     *[(n, T.LongType()) for n in W.FAILED_WINDOWS],
     ("amount_vs_avg_ratio", T.DoubleType()),
     ("first_international", T.BooleanType()), ("impossible_travel", T.BooleanType()),
+    ("is_late", T.BooleanType()),
 ]
+LATE_SECONDS = 600      # default lateness allowance (10 minutes)
 
 
 def _card_state_fn(has_geo: bool):
@@ -203,6 +205,10 @@ def _card_state_fn(has_geo: bool):
         for name, n in W.FAILED_WINDOWS.items():
             lo = np.searchsorted(all_t, bt - n, side="right")
             out[name] = cum_f[hi] - cum_f[lo]
+        # late rows are still scored, and flagged when older than the card's
+        # latest event of earlier batches minus the lateness allowance
+        out["is_late"] = (bt < (last_dt - LATE_SECONDS)) if last_dt is not None \
+            else np.zeros(m, dtype=bool)
         # sequence: running number and previous event of the card
         prev = np.concatenate([[last_dt if last_dt is not None else -1], bt[:-1]]).astype(np.int64)
         has_prev = np.concatenate([[last_dt is not None], np.ones(m - 1, dtype=bool)])

@@ -265,3 +265,25 @@ def test_stream_dedup_within_watermark(spark, tmpdir_path):
     q.awaitTermination(120)
     got = sorted(r[0] for r in spark.sql("SELECT TransactionID FROM dedup_out").collect())
     assert got == [1, 2]
+
+
+def test_late_rows_flagged(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "late")
+    os.makedirs(src)
+    batches = [[(1, 5000, 10.0), (2, 6000, 11.0)], [(3, 5200, 12.0), (4, 6500, 9.0)]]
+    for n, b in enumerate(batches):
+        path = os.path.join(src, f"part-{n}.json")
+        with open(path, "w") as fh:
+            fh.write("\n".join(json.dumps({"TransactionID": i, "TransactionDT": t,
+                                           "TransactionAmt": a, "card1": 7, "failed": False})
+                               for i, t, a in b) + "\n")
+        os.utime(path, (1_600_000_000 + n, 1_600_000_000 + n))
+    schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, " \
+             "failed boolean"
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+    q = (J.stateful_features(s).writeStream.format("memory").queryName("late_out")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    late = {r[0]: r[1] for r in spark.sql("SELECT TransactionID, is_late FROM late_out").collect()}
+    assert late == {1: False, 2: False, 3: True, 4: False}
