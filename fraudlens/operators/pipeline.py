@@ -111,16 +111,24 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
 
 
-def fit_medians(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> dict:
+WIDE_MEDIAN_COLUMNS = 64     # above this many columns the fill medians are sketched
+
+
+def fit_medians(df: DataFrame, cols: list[str] | None = None, exact: bool | None = None
+                ) -> dict:
     """One aggregation pass for the medians of all numeric columns.
 
-    The result is one value per column (bounded by the column count), so it
-    is fetched to the driver and applied as literals by ``fillna``.
+    Exact (value maps merged map-side) up to WIDE_MEDIAN_COLUMNS columns,
+    a bounded-memory sketch beyond, unless ``exact`` says otherwise. The
+    result is one value per column, fetched to the driver and applied as
+    literals.
     """
     cols = cols or [c for c in numeric_columns(df)
                     if not isinstance(df.schema[c].dataType, T.BooleanType)]
     if not cols:
         return {}
+    if exact is None:
+        exact = len(cols) <= WIDE_MEDIAN_COLUMNS
     med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
     row = df.agg(*[med(F.col(c)).cast("double").alias(c) for c in cols]).first()
     return {c: row[c] for c in cols if row[c] is not None}
