@@ -68,3 +68,12 @@ def test_category_codes_spread_over_partitions(spark):
     exp = {(r[0], r[1]): r[2] for r in d.withColumn(
         "code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).collect()}
     assert got == exp
+
+
+def test_fill_medians_exact_and_sketched(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0), (4, 10.0)], "i long, x double")
+    exact = P.fit_medians(df, ["x"])
+    approx = P.fit_medians(df, ["x"], exact=False)
+    assert exact["x"] == 3.0 and approx["x"] in (1.0, 3.0, 10.0)
+    filled = P.fill_medians(df, exact).where("i = 2").first()["x"]
+    assert filled == 3.0
