@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fraudlens.session import scratch_path
 
+LEAST_ID = -(2 ** 63)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -40,6 +41,18 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), SPACE_CLASS + "+", -1), "")
 
 
+def identity(id_col: str, text_col: str) -> list[Column]:
+    """A document's order ``d`` (a null id comes first) and, to tell repeated
+    ids with other texts, the hash ``th`` of its text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("d"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")]
+
+
+def lines(text: Column) -> Column:
+    """Lines split at line feeds; a null or empty text is one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, however often the body
     (also inside its own lambdas) refers to it."""

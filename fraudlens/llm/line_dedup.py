@@ -23,25 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fraudlens.llm.common import SPACES, let, lower_ascii, written
+from fraudlens.llm.common import SPACES, identity, let, lines, lower_ascii, written
 
 MAX_HOT = 4096
-LEAST_ID = -(2 ** 63)
-
-
-def lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-
-def _identity(id_col: str, text_col: str) -> list[Column]:
-    """A document's order and, for repeated ids with other texts, its text."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("d"),
-            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")]
 
 
 def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     key = F.btrim(F.col("line"), F.lit(SPACES))
-    return (docs.select(*_identity(id_col, text_col),
+    return (docs.select(*identity(id_col, text_col),
                         F.posexplode(lines(lower_ascii(F.col(text_col)))).alias("at", "line"))
             .select("d", "th", "at", key.alias("key"))
             .where(F.char_length("key") >= min_chars)
@@ -111,6 +100,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        lambda n, x: n + F.lit(64).cast("long") - F.bit_count(x["bits"]))
     report = F.struct(F.size(lines(text)).cast("long").alias("n_lines"), gone.alias("n_dropped"),
                       kept_text(text, F.col("keep")).alias("text"))
-    return (docs.select(row, *_identity(id_col, text_col)).join(marks, ["d", "th"], "left")
+    return (docs.select(row, *identity(id_col, text_col)).join(marks, ["d", "th"], "left")
             .select(*[F.col("row")[c].alias(c) for c in docs.columns],
                     report.alias("line_report")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlens.llm import line_dedup, sharding, url_lists, warc
+from fraudlens.llm import line_dedup, quality, sharding, url_lists, warc
 from fraudlens.llm.common import load
 
 QUERIES = {}
@@ -53,6 +53,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---------------------------------------------------------- 4 quality rules
+@register("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, load(spark, sf_dir, "labels"))
+    out = quality.judge(docs, model)
+    return out.select("doc_id", "quality.*")
+
+
 # ------------------------------------------------------------ 9 URL filters
 def dated_captures(pages: DataFrame) -> DataFrame:
     """Pages with a fetch day (0 to 364), as the tables have none."""
