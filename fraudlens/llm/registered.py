@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlens.llm import line_dedup, quality, sharding, url_lists, warc
+from fraudlens.llm import line_dedup, near_dedup, quality, sharding, url_lists, warc
 from fraudlens.llm.common import load
 
 QUERIES = {}
@@ -24,6 +24,12 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+# ------------------------------------------------------ 1 MinHash near-dedup
+@register("op1_minhash_near_dedup")
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), num=85, den=100, width=3)
+
+
 # ------------------------------------------------------------- 2 line dedup
 @register("op2_line_dedup", r"""
 WITH lines AS (
