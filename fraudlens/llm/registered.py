@@ -8,13 +8,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlens.llm import line_dedup, near_dedup, quality, sharding, url_lists, warc
+from fraudlens.llm import line_dedup, near_dedup, packing, quality, sharding, url_lists, warc
 from fraudlens.llm.common import load
 
 QUERIES = {}
 ORACLES = {}
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; installed alike on the driver and executors."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def token_pattern() -> str:
+    import public_tokenizers
+    return public_tokenizers.PATTERN
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -68,6 +79,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality.*")
 
 
+# ---------------------------------------------------------------- 5 packing
+@register("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                  token_pattern())
+
+
 # ------------------------------------------------------------ 9 URL filters
 def dated_captures(pages: DataFrame) -> DataFrame:
     """Pages with a fetch day (0 to 364), as the tables have none."""
