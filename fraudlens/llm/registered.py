@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlens.llm import line_dedup, near_dedup, packing, quality, sharding, url_lists, warc
+from fraudlens.llm import fingerprint, line_dedup, near_dedup, packing, quality, sharding, url_lists, warc
 from fraudlens.llm.common import load
 
 QUERIES = {}
@@ -86,6 +86,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   token_pattern())
 
 
+# ----------------------------------------------------------- 7 fingerprints
+@register("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.next_likeness(load(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------ 9 URL filters
 def dated_captures(pages: DataFrame) -> DataFrame:
     """Pages with a fetch day (0 to 364), as the tables have none."""
