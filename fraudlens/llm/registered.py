@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlens.llm import fingerprint, line_dedup, near_dedup, packing, quality, sharding, url_lists, warc
+from fraudlens.llm import fingerprint, line_dedup, near_dedup, packing, pii, quality, sharding, url_lists, warc
 from fraudlens.llm.common import load
 
 QUERIES = {}
@@ -92,6 +92,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.next_likeness(load(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------- 8 personal data
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return out.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+                      F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                      pii.listed(F.col("spans")).alias("spans"))
+
+
 # ------------------------------------------------------------ 9 URL filters
 def dated_captures(pages: DataFrame) -> DataFrame:
     """Pages with a fetch day (0 to 364), as the tables have none."""
