@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudlens.llm.common import LEAST_ID, UPPER, ship, written
+from fraudlens.llm.common import LEAST_ID, UPPER, identity, ship, written
 
 ship(__name__)
 
@@ -94,21 +94,23 @@ def digest(items: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles) and signature."""
+    """doc_id, th, n_shingles, node (null without shingles) and signature."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, nodes, signs = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 items = shingles(text.as_py(), width)
                 counts.append(len(items))
                 nodes.append(digest(items) if len(items) else None)
                 signs.append(signature(items).tolist() if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
-                 pa.array(signs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "sign"])
+                [*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
+                 pa.array(signs, pa.list_(pa.int32()))],
+                ["doc_id", "th", "n_shingles", "node", "sign"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node binary, sign array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), identity(id_col, text_col)[1],
+                       F.col(text_col).alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, th long, n_shingles long, node binary, sign array<int>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -215,8 +217,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row; documents are linked
-    if their shingle sets' similarity is at least num / den."""
+    """doc_id, th (hash of the text), n_shingles, component_id, kept and group
+    per row; documents are linked if their shingle sets' similarity is at
+    least num / den. ``group`` numbers the components (null: no shingles), also
+    where repeated ids make component ids equal."""
     matches = least_matches(num / den)
     signed = written(signatures(docs, id_col, text_col, width), "signatures")
     nodes = (signed.where(F.col("node").isNotNull()).groupBy("node")
@@ -239,11 +243,31 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
     named = roots.join(nodes.select("nid", "first_id"), "nid")
     component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_node = (nodes.select("node", "nid", "first_id")
-               .join(roots.join(component, "root").select("nid", "component_id"), "nid", "left")
-               .select("node", F.coalesce("component_id", "first_id").alias("component_id")))
-    linked = (signed.where(F.col("node").isNotNull()).drop("sign").join(by_node, "node")
-              .select("doc_id", "n_shingles", "component_id"))
+               .join(roots.join(component, "root"), "nid", "left")
+               .select("node", F.coalesce("component_id", "first_id").alias("component_id"),
+                       F.coalesce("root", "nid").alias("group")))
+    columns = ["doc_id", "th", "n_shingles", "component_id", "group"]
+    linked = signed.where(F.col("node").isNotNull()).drop("sign").join(by_node, "node").select(*columns)
     alone = (signed.where(F.col("node").isNull())
-             .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+             .select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"),
+                     F.lit(None).cast("long").alias("group")))
     return linked.unionByName(alone).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's columns and one row of each component, of the least id (null
+    ids last); rows without shingles all stay."""
+    found = near_duplicates(docs, num, den, width, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    chosen = (found.where(F.col("group").isNotNull()).groupBy("group")
+              .agg(F.min(order).alias("x"))
+              .select(F.coalesce("x.doc_id", F.lit(LEAST_ID)).alias("d"), "x.th"))
+    alone = (found.where(F.col("group").isNull())
+             .select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("d"), "th").distinct())
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    keyed = docs.select(row, *identity(id_col, text_col))
+    one = keyed.join(chosen, ["d", "th"], "left_semi").dropDuplicates(["d", "th"])
+    return (one.unionByName(keyed.join(alone, ["d", "th"], "left_semi"))
+            .select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlens.llm import fingerprint, line_dedup, near_dedup, packing, pii, quality, sharding, url_lists, warc
+from fraudlens.llm import bpe, fingerprint, line_dedup, near_dedup, packing, pii, quality, sharding, url_lists, warc
 from fraudlens.llm.common import load
 
 QUERIES = {}
@@ -38,7 +38,8 @@ def register(name: str, oracle: str | None = None):
 # ------------------------------------------------------ 1 MinHash near-dedup
 @register("op1_minhash_near_dedup")
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), num=85, den=100, width=3)
+    out = near_dedup.near_duplicates(load(spark, sf_dir, "documents"), num=85, den=100, width=3)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 # ------------------------------------------------------------- 2 line dedup
@@ -86,6 +87,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   token_pattern())
 
 
+# -------------------------------------------------------- 6 byte-level BPE
+@register("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_documents(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
+                                 token_pattern(), with_ids=False).drop("ids")
+
+
 # ----------------------------------------------------------- 7 fingerprints
 @register("op7_fingerprints")
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
