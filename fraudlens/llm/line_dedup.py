@@ -92,14 +92,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 **how) -> DataFrame:
     """The input's rows and columns plus ``line_report``: n_lines, n_dropped
     and the remaining text."""
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    marks = keep_bitmaps(docs, id_col, text_col, **how)
-    text = F.col("row")[text_col]
-    gone = F.aggregate(F.coalesce(F.col("keep"), F.array().cast("array<struct<word:int,bits:bigint>>")),
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    marks = keep_bitmaps(docs, id_col, text_col, **how).withColumnRenamed("keep", "__keep")
+    text = F.col("__row")[text_col]
+    gone = F.aggregate(F.coalesce(F.col("__keep"), F.array().cast("array<struct<word:int,bits:bigint>>")),
                        F.lit(0).cast("long"),
                        lambda n, x: n + F.lit(64).cast("long") - F.bit_count(x["bits"]))
     report = F.struct(F.size(lines(text)).cast("long").alias("n_lines"), gone.alias("n_dropped"),
-                      kept_text(text, F.col("keep")).alias("text"))
+                      kept_text(text, F.col("__keep")).alias("text"))
     return (docs.select(row, *identity(id_col, text_col)).join(marks, ["d", "th"], "left")
-            .select(*[F.col("row")[c].alias(c) for c in docs.columns],
+            .select(*[F.col("__row")[c].alias(c) for c in docs.columns],
                     report.alias("line_report")))

@@ -148,9 +148,13 @@ def groups(nodes: DataFrame, matches: int) -> DataFrame:
 
 def cells(members: DataFrame) -> DataFrame:
     """(grp, lo, hi, blk, nid): members dealt to pairs of blocks."""
-    blocks = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # groups of more than one block: a table of its own, so that the join below
+    # is broadcast if it is small and can be split at a hot group if it is not
+    many = written(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+                   .select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("many")), "blocks")
     own = F.pmod(F.xxhash64("nid", "grp"), F.col("blocks")).cast("int")
-    return (members.join(blocks, "grp").select("grp", "nid", own.alias("blk"), "blocks")
+    return (members.join(many, "grp", "left").withColumn("blocks", F.coalesce("many", F.lit(1)))
+            .select("grp", "nid", own.alias("blk"), "blocks")
             .select("grp", "nid", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             .select("grp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
                     "blk", "nid"))
@@ -266,8 +270,8 @@ def keep_one(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
               .select(F.coalesce("x.doc_id", F.lit(LEAST_ID)).alias("d"), "x.th"))
     alone = (found.where(F.col("group").isNull())
              .select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("d"), "th").distinct())
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     keyed = docs.select(row, *identity(id_col, text_col))
     one = keyed.join(chosen, ["d", "th"], "left_semi").dropDuplicates(["d", "th"])
     return (one.unionByName(keyed.join(alone, ["d", "th"], "left_semi"))
-            .select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+            .select(*[F.col("__row")[c].alias(c) for c in docs.columns]))

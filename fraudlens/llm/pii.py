@@ -227,9 +227,9 @@ def masked(text: Column, spans: Column) -> Column:
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, with the personal data of the texts masked."""
     spans = (find(docs, id_col, text_col).where(F.size("spans") > 0)
-             .select("d", "th", "spans").dropDuplicates(["d", "th"]))
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    text = F.col("row")[text_col]
-    new = F.when(F.col("spans").isNull(), text).otherwise(masked(text, F.col("spans")))
+             .select("d", "th", F.col("spans").alias("__spans")).dropDuplicates(["d", "th"]))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    text = F.col("__row")[text_col]
+    new = F.when(F.col("__spans").isNull(), text).otherwise(masked(text, F.col("__spans")))
     return (docs.select(row, *identity(id_col, text_col)).join(spans, ["d", "th"], "left")
-            .select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]))
+            .select(*[(new if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns]))

@@ -75,8 +75,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
     span = captures.agg(F.min(day_col), F.max(day_col)).first()
     first, last = (span[0], span[1]) if span[0] is not None else (0, 0)
     valid = intervals(entries)
-    out = captures.select(F.struct(*[F.col(c) for c in captures.columns]).alias("row"))
-    url, day = F.col("row")[url_col], F.col("row")[day_col].cast("int")
+    out = captures.select(F.struct(*[F.col(c) for c in captures.columns]).alias("__row"))
+    url, day = F.col("__row")[url_col], F.col("__row")[day_col].cast("int")
     keys = {"url": url, "host": host(url), "domain": domain(host(url))}
     for scope in SCOPES:
         out = as_of(out, valid, scope, F.nullif(keys[scope], F.lit("")), day, period_days,
@@ -87,8 +87,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
         found = F.when(entry.isNotNull(), F.struct(
             F.lit(scope).alias("scope"), keys[scope].alias("key"),
             entry["action"].alias("action"), entry["start_day"].alias("start_day"))).otherwise(found)
-    return (out.withColumn("found", found).select(
-        *[F.col("row")[c].alias(c) for c in captures.columns],
-        F.struct(F.coalesce(F.col("found.action") == "block", F.lit(False)).alias("blocked"),
-                 F.col("found.scope").alias("scope"), F.col("found.key").alias("key"),
-                 F.col("found.start_day").alias("entry_day")).alias("url_decision")))
+    return (out.withColumn("__found", found).select(
+        *[F.col("__row")[c].alias(c) for c in captures.columns],
+        F.struct(F.coalesce(F.col("__found.action") == "block", F.lit(False)).alias("blocked"),
+                 F.col("__found.scope").alias("scope"), F.col("__found.key").alias("key"),
+                 F.col("__found.start_day").alias("entry_day")).alias("url_decision")))
