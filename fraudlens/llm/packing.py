@@ -98,24 +98,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         left, rank = histogram[length], 0
         while left:
             room = next((r for r in range(length, capacity) if free[r]), None)
-            if room is not None:
-                first, n = free[room].pop()
-                m = min(n, left)
-                if m < n:
-                    free[room].append((first + m, n - m))
-                slots.append((length, rank, m, first, capacity - room))
-                free[room - length].append((first, m))
-                left, rank = left - m, rank + m
-                continue
-            each = capacity // length                 # nothing has room: new sequences
-            for n, depth in ((left // each, each), (1, left % each)):
-                if n and depth:
+            fresh = room is None                      # nothing has room: new sequences
+            first, n = (made, left) if fresh else free[room].pop()
+            room = capacity if fresh else room
+            deep = room // length                     # a sequence is filled before the next is begun
+            full = min(n, left // deep)
+            used = 0
+            for count, depth in ((full, deep), (1, left - full * deep if full < n else 0)):
+                if count and 0 < depth <= deep:
                     for k in range(depth):
-                        slots.append((length, rank, n, made, k * length))
-                        rank += n
-                    free[capacity - depth * length].append((made, n))
-                    made += n
-            left = 0
+                        slots.append((length, rank, count, first + used, capacity - room + k * length))
+                        rank += count
+                    free[room - depth * length].append((first + used, count))
+                    used += count
+                    left -= count * depth
+            if fresh:
+                made += used
+            elif used < n:
+                free[room].append((first + used, n - used))
     return slots
 
 
