@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fraudlens.operators.rank import grouped_quantiles
+from fraudlens.session import join_small
+
 AMT = "TransactionAmt"
 EPS = 1e-8
 
@@ -22,29 +25,15 @@ def _median(c: Column, exact: bool) -> Column:
 
 
 def grouped_median(df: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
-    """Exact per-group median without holding a group in one task.
-
-    Counts per distinct (group, value) are reduced map-side; running counts
-    over the values of a group come from ``rank.prefix_sums`` partitioned by
-    (group, value range bin), so a group with a third of all rows is spread
-    over the bins. The median is the mean of the values at 0-based positions
-    (n - 1) div 2 and n div 2, as a linear-interpolated 0.5 percentile."""
-    from fraudlens.operators.rank import prefix_sums
-    g = (df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-           .groupBy(key, F.col(value).cast("double").alias("_v"))
-           .agg(F.count(F.lit(1)).alias("_c")))
-    ps = prefix_sums(g, "_v", ["_c"], keys=(key,))
-    tot = g.groupBy(key).agg(F.sum("_c").alias("_n"))
-    j = ps.join(tot, key)
-    k1 = F.floor((F.col("_n") - 1) / 2)
-    k2 = F.floor(F.col("_n") / 2)
-    hit1 = (F.col("_c_before") <= k1) & (k1 < F.col("_c_before") + F.col("_c"))
-    hit2 = (F.col("_c_before") <= k2) & (k2 < F.col("_c_before") + F.col("_c"))
-    m = (j.where(hit1 | hit2)
-          .groupBy(key)
-          .agg(F.max(F.when(hit1, F.col("_v"))).alias("_lo"),
-               F.max(F.when(hit2, F.col("_v"))).alias("_hi")))
-    return m.select(key, (F.lit(0.5) * F.col("_lo") + F.lit(0.5) * F.col("_hi")).alias(out))
+    """Exact per-group median without holding a group in one task."""
+    known = df.where(F.col(key).isNotNull())
+    return grouped_quantiles(known, (key,), value, [0.5]).withColumnRenamed("q0", out)
+
+
+def _join_groups(left: DataFrame, right: DataFrame, label: str) -> DataFrame:
+    """Joins two tables of one row per group, a null group included."""
+    r = right.withColumnRenamed(label, "_label")
+    return left.join(r, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 # A01 ------------------------------------------------------------------------
@@ -101,7 +90,8 @@ def with_product_aggregations(df: DataFrame, key: str = "ProductCD",
     if key not in df.columns:
         return df
     stats = stats if stats is not None else product_stats(df, key)
-    return df.join(stats, key, "left")
+    out = [*df.columns, *[c for c in stats.columns if c != key]]
+    return join_small(df, stats, [key]).select(*out)
 
 
 # A04 ------------------------------------------------------------------------
@@ -132,28 +122,25 @@ def class_counts(df: DataFrame, label: str = "isFraud") -> DataFrame:
 # A07 ------------------------------------------------------------------------
 def describe_by_class(df: DataFrame, value: str = AMT, label: str = "isFraud") -> DataFrame:
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (df.groupBy(label)
-              .agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
-                   F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-                   q.alias("_q"), F.max(v).alias("max"))
-              .select(label, "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                      F.col("_q")[2].alias("p75"), "max"))
+    moments = df.groupBy(label).agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
+                                    F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+                                    F.max(v).alias("max"))
+    # both sides have one row per class
+    return (_join_groups(moments, grouped_quantiles(df, (label,), value, [0.25, 0.5, 0.75]), label)
+            .select(label, "count", "mean", "std", "min", F.col("q0").alias("p25"),
+                    F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max"))
 
 
 # A08 ------------------------------------------------------------------------
 def box_summary(df: DataFrame, value: str = AMT, label: str = "isFraud") -> DataFrame:
     v = F.col(value)
-    quart = (df.groupBy(label)
-               .agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-               .select(label, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                       F.col("_q")[2].alias("q3")))
+    quart = (grouped_quantiles(df, (label,), value, [0.25, 0.5, 0.75])
+             .select(label, F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                     F.col("q2").alias("q3")))
     quart = quart.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
-    # one row per class value: broadcast is bounded by the label cardinality
-    j = df.select(label, value).join(F.broadcast(quart), label)
+    j = join_small(df.select(label, value), quart, [label], "inner")
     return (j.groupBy(label, "q1", "median", "q3", "iqr")
               .agg(F.min(F.when(v >= lo, v)).alias("whisker_low"),
                    F.max(F.when(v <= hi, v)).alias("whisker_high"),
@@ -180,7 +167,8 @@ def equal_width_histogram(df: DataFrame, value: Column | str, n_bins: int,
                       .otherwise(F.col("_mn")).alias("lo"),
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5)
                       .otherwise(F.col("_mx")).alias("hi"))
-    j = base.join(rng, jkeys) if keys else base.join(F.broadcast(rng), jkeys)
+    # the ranges: one row without groups, else as many as a counted check allows
+    j = join_small(base, rng, jkeys, "inner") if keys else base.join(F.broadcast(rng), jkeys)
     idx = F.least(F.floor((F.col("_v") - F.col("lo")) * n_bins / (F.col("hi") - F.col("lo"))),
                   F.lit(n_bins - 1)).cast("int")
     out = (j.groupBy(*keys, idx.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n")))

@@ -180,16 +180,19 @@ def scoring_features(txn: DataFrame, strategy: str = "bucketed",
     from fraudlens.session import materialize
     # the scorer reads mean / std / max only: no median pass here
     df = A.with_card_aggregations(P.row_features(txn), median="none")
+    # rows without a card take no part in any window; they rejoin at the end
+    rows = df.where(F.col(W.KEY).isNull())
+    df = df.where(F.col(W.KEY).isNotNull())
     if strategy == "direct":
         if cards is not None and "lat" in df.columns:
-            df = W.sequence_and_geo(df, cards, strategy=strategy)
+            df = W.geo_features.known(df, cards, strategy=strategy, with_sequence=True)
         else:
-            df = W.sequence_features(df, strategy=strategy)
-        df = W.velocity_counts(df, strategy=strategy)
+            df = W.sequence_features.known(df, strategy=strategy)
+        df = W.velocity_counts.known(df, strategy=strategy)
     else:   # one (card, hour) shuffle for sequence, geography and velocity
-        df = W.card_windows(materialize(df, stages), cards)
-    df = W.amount_vs_avg(materialize(df, stages), strategy=strategy)
-    return materialize(df, stages)
+        df = W.card_windows.known(materialize(df, stages), cards)
+    df = W.amount_vs_avg.known(materialize(df, stages), strategy=strategy)
+    return W.with_anonymous(materialize(df, stages), rows)
 
 
 def scoring_frame(txn: DataFrame, rs: R.RuleSet | None = None, card: dict = SCORECARD,

@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from fraudlens.functions import features as fx
 from fraudlens.operators import aggregations as A
 from fraudlens.operators import windows as W
+from fraudlens.operators.rank import grouped_quantiles
+from fraudlens.session import join_small
 
 # Fixed category columns of the transaction schema (encoded when present).
 CATEGORICAL_COLS = ["ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain",
@@ -95,14 +97,19 @@ def fit_category_codes(df: DataFrame, cols: list[str] | None = None,
 
 def apply_category_codes(df: DataFrame, codes: DataFrame, cols: list[str] | None = None
                          ) -> DataFrame:
+    """Codes of all columns; a column of few values is joined by broadcast
+    after its values are counted, one of many by salted keys."""
     cols = [c for c in (cols or CATEGORICAL_COLS) if c in df.columns]
+    sizes = {r["column"]: r["n"] for r in
+             codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cols:
-        m = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"),
-                                                     F.col("code").alias(f"_c_{c}"))
-        out = (out.join(m, _cat_text(c) == F.col(f"_v_{c}"), "left")
-                  .withColumn(c, F.coalesce(F.col(f"_c_{c}"), F.lit(-1)).cast("int"))
-                  .drop(f"_v_{c}", f"_c_{c}"))
+        m = codes.where(F.col("column") == c).select(F.col("value").alias("_value"),
+                                                     F.col("code").alias("_code"))
+        out = (join_small(out.withColumn("_value", _cat_text(c)), m, ["_value"],
+                          rows=sizes.get(c, 0))
+               .withColumn(c, F.coalesce(F.col("_code"), F.lit(-1)).cast("int"))
+               .drop("_value", "_code").select(*df.columns))
     return out
 
 
@@ -111,27 +118,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
 
 
-WIDE_MEDIAN_COLUMNS = 64     # above this many columns the fill medians are sketched
-
-
-def fit_medians(df: DataFrame, cols: list[str] | None = None, exact: bool | None = None
-                ) -> dict:
-    """One aggregation pass for the medians of all numeric columns.
-
-    Exact (value maps merged map-side) up to WIDE_MEDIAN_COLUMNS columns,
-    a bounded-memory sketch beyond, unless ``exact`` says otherwise. The
-    result is one value per column, fetched to the driver and applied as
-    literals.
-    """
+def fit_medians(df: DataFrame, cols: list[str] | None = None) -> dict:
+    """Exact medians of all numeric columns in one pass, however many columns
+    and rows there are: (column, value) pairs are counted map-side and the
+    middle ones found in range partitions. The result is one value per column,
+    fetched to the driver and applied as literals."""
     cols = cols or [c for c in numeric_columns(df)
                     if not isinstance(df.schema[c].dataType, T.BooleanType)]
     if not cols:
         return {}
-    if exact is None:
-        exact = len(cols) <= WIDE_MEDIAN_COLUMNS
-    med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
-    row = df.agg(*[med(F.col(c)).cast("double").alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols if row[c] is not None}
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+        for i, c in enumerate(cols)])).alias("s")).select("s.c", "s.v")
+    return {cols[r["c"]]: r["q0"] for r in grouped_quantiles(stacked, ("c",), "v", [0.5]).collect()}
 
 
 def fill_medians(df: DataFrame, medians: dict) -> DataFrame:

@@ -47,9 +47,54 @@ def _zero() -> Column:
     return F.lit(0).cast(EXACT_AMOUNT)
 
 
+# Rows without a card -----------------------------------------------------
+def _own_row_only(df: DataFrame, failed: str = "failed") -> dict[str, Column]:
+    """What a row that belongs to no card sees: itself and nothing earlier."""
+    none = F.lit(None)
+    has_failed = F.coalesce(F.col(failed).cast("long"), F.lit(0)) if failed in df.columns else F.lit(0)
+    country = F.col("txn_country") if "txn_country" in df.columns else none
+    mismatch = F.coalesce(country != F.col("home_country"), F.lit(False)) \
+        if "home_country" in df.columns else F.lit(False)
+    return {"card_txn_rank": F.lit(1), "card_prev_dt": none, "time_since_last_txn": F.lit(-1),
+            "rapid_succession": F.lit(0), **{n: F.lit(1) for n in VELOCITY_WINDOWS},
+            **{n: has_failed for n in FAILED_WINDOWS}, "card_avg_30d": none,
+            "amount_vs_avg_ratio": F.lit(1.0), "country_mismatch": mismatch,
+            "first_international": mismatch, "prev_lat": none, "prev_lon": none, "prev_dt": none,
+            "travel_km": none, "travel_kmh": F.lit(0.0), "impossible_travel": F.lit(False)}
+
+
+def with_anonymous(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """``known`` (windows of the rows that have a card) and the ``rows`` that
+    have none, with neutral values: they are nobody's history, and they are
+    not one hot group."""
+    neutral = _own_row_only(rows)
+    cols = []
+    for f in known.schema.fields:
+        value = neutral[f.name] if f.name in neutral else \
+            F.col(f.name) if f.name in rows.columns else F.lit(None)
+        cols.append(value.cast(f.dataType).alias(f.name))
+    return known.unionByName(rows.select(*cols))
+
+
+def per_card(fn):
+    """Lets a per-card window function see only rows that have a card; rows
+    without one are added afterwards. ``fn.known`` is the function itself."""
+    def run(df: DataFrame, *args, **kw) -> DataFrame:
+        key = kw.get("key", KEY)
+        names = {**VELOCITY_WINDOWS, **kw.get("windows", {})} if kw.get("windows") else {}
+        known = fn(df.where(F.col(key).isNotNull()), *args, **kw)
+        rows = df.where(F.col(key).isNull())
+        for n in names:
+            rows = rows.withColumn(n, F.lit(1))
+        return with_anonymous(known, rows)
+    run.known, run.__doc__, run.__name__ = fn, fn.__doc__, fn.__name__
+    return run
+
+
 # ---------------------------------------------------------------------------
 # Running number, gap to previous, rapid succession
 # ---------------------------------------------------------------------------
+@per_card
 def sequence_features(df: DataFrame, key: str = KEY, dt: str = DT, id_col: str = ID,
                       strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
     """Adds card_txn_rank, card_prev_dt, time_since_last_txn, rapid_succession."""
@@ -116,6 +161,7 @@ def _bucketed_sequence(df: DataFrame, key: str, dt: str, id_col: str, bucket_sec
 # ---------------------------------------------------------------------------
 # Sliding counts with a halo
 # ---------------------------------------------------------------------------
+@per_card
 def velocity_counts(df: DataFrame, key: str = KEY, dt: str = DT, failed: str = "failed",
                     windows: dict[str, int] | None = None,
                     failed_windows: dict[str, int] | None = None,
@@ -151,6 +197,7 @@ def velocity_counts(df: DataFrame, key: str = KEY, dt: str = DT, failed: str = "
 # ---------------------------------------------------------------------------
 # Amount relative to the card's 30-day average (earlier rows only)
 # ---------------------------------------------------------------------------
+@per_card
 def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "TransactionAmt",
                   id_col: str = ID, window_seconds: int = AVG_WINDOW_SECONDS,
                   strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
@@ -169,10 +216,10 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
     # C(t - 1) in its (card, day) partition; one probe row per transaction,
     # placed in the partition of day(t - window - 1), returns C there.
     B = bucket_seconds
-    data = df.withColumns({"_k": F.col(key), "_x": F.col(dt), "_kind": F.lit(0),
-                           "_id": F.col(id_col), "_a": dec})
-    probes = data.select("_k", (F.col("_x") - window_seconds - 1).alias("_x"),
-                         F.lit(2).alias("_kind"), "_id", F.lit(None).cast(EXACT_AMOUNT).alias("_a"))
+    data = df.withColumns({"_k": F.col(key), "_x": F.col(dt), "_kind": F.lit(0), "_a": dec})
+    # one probe per distinct (card, time): repeated ids share its answer
+    probes = (data.select("_k", (F.col("_x") - window_seconds - 1).alias("_x")).distinct()
+              .select("_k", "_x", F.lit(2).alias("_kind"), F.lit(None).cast(EXACT_AMOUNT).alias("_a")))
     ev = data.unionByName(probes, allowMissingColumns=True) \
              .withColumn("_b", F.floor(F.col("_x") / B).cast("long"))
     is_data = (F.col("_kind") == 0)
@@ -194,12 +241,13 @@ def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "Trans
                .otherwise(F.sum(n_d).over(upto)) + F.col("_on"),
         "_S": F.when(is_data, F.coalesce(F.sum(s_d).over(below), _zero()))
                .otherwise(F.sum(s_d).over(upto)) + F.col("_os")})
-    far = ev.where(~is_data).select("_id", F.col("_C").alias("_C0"), F.col("_S").alias("_S0"))
-    rows = ev.where(is_data).join(far, "_id", "left")
+    far = ev.where(~is_data).select("_k", (F.col("_x") + window_seconds + 1).alias("_x"),
+                                    F.col("_C").alias("_C0"), F.col("_S").alias("_S0"))
+    rows = ev.where(is_data).join(far, ["_k", "_x"], "left")
     n = F.col("_C") - F.col("_C0")
     avg = F.when(n > 0, (F.col("_S") - F.col("_S0")).cast("double") / n)
     out = rows.withColumn("card_avg_30d", avg) \
-              .drop("_k", "_x", "_kind", "_id", "_a", "_b", "_on", "_os", "_C", "_S", "_C0", "_S0")
+              .drop("_k", "_x", "_kind", "_a", "_b", "_on", "_os", "_C", "_S", "_C0", "_S0")
     return out.withColumn("amount_vs_avg_ratio",
                           F.coalesce(a / F.col("card_avg_30d"), F.lit(1.0)))
 
@@ -221,10 +269,11 @@ def sequence_and_geo(df: DataFrame, cards: DataFrame | None, key: str = KEY, dt:
                      id_col: str = ID, max_kmh: float = MAX_TRAVEL_KMH,
                      strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
     """W01-W03 and W07-W09 from one (card, bucket) shuffle."""
-    return geo_features(df, cards, key, dt, id_col, max_kmh, strategy, bucket_seconds,
-                        with_sequence=True)
+    return geo_features(df, cards, key=key, dt=dt, id_col=id_col, max_kmh=max_kmh,
+                        strategy=strategy, bucket_seconds=bucket_seconds, with_sequence=True)
 
 
+@per_card
 def geo_features(loc: DataFrame, cards: DataFrame | None = None, key: str = KEY,
                  dt: str = DT, id_col: str = ID, max_kmh: float = MAX_TRAVEL_KMH,
                  strategy: str = "bucketed", bucket_seconds: int = 86400,
@@ -273,6 +322,7 @@ def geo_features(loc: DataFrame, cards: DataFrame | None = None, key: str = KEY,
 # ---------------------------------------------------------------------------
 # W01-W05 + W07-W09 in one shuffle
 # ---------------------------------------------------------------------------
+@per_card
 def card_windows(df: DataFrame, cards: DataFrame | None = None, key: str = KEY, dt: str = DT,
                  id_col: str = ID, failed: str = "failed", bucket_seconds: int = 3600,
                  max_kmh: float = MAX_TRAVEL_KMH) -> DataFrame:

@@ -105,3 +105,55 @@ def w07_w09_geography(spark, sf):
     g = W.geo_features(loc, cards)
     return g.select("TransactionID", "country_mismatch", "first_international",
                     r6(F.col("travel_km")).alias("travel_km"), "impossible_travel")
+
+
+# Rows without a card and repeated transaction ids ----------------------------
+MESSY = """,
+messy AS (
+  SELECT TransactionID, TransactionDT, TransactionAmt, failed,
+         CASE WHEN TransactionID % 10 = 0 THEN NULL ELSE card1 END AS card1
+  FROM txn_events
+  UNION ALL
+  SELECT TransactionID, TransactionDT, TransactionAmt, failed,
+         CASE WHEN TransactionID % 10 = 0 THEN NULL ELSE card1 END
+  FROM txn_events WHERE TransactionID % 25 IN (5, 7))"""
+
+
+def _messy(spark, sf):
+    t = V.txn_events(spark, sf).select(
+        "TransactionID", "TransactionDT", "TransactionAmt", "failed",
+        F.when(F.col("TransactionID") % 10 != 0, F.col("card1")).alias("card1"))
+    return t.unionByName(t.where((F.col("TransactionID") % 25).isin(5, 7)))
+
+
+@query("w01_w05_null_cards_repeated_ids", S.with_ctes(S.TXN_EVENTS) + MESSY + f"""
+SELECT TransactionID,
+       CASE WHEN card1 IS NULL THEN 1
+            ELSE row_number() OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID)
+            END AS card_txn_rank,
+       CASE WHEN card1 IS NULL THEN -1 ELSE coalesce(TransactionDT - lag(TransactionDT) OVER (
+            PARTITION BY card1 ORDER BY TransactionDT, TransactionID), -1) END AS time_since_last_txn,
+       CASE WHEN card1 IS NULL THEN 1 ELSE count(*) OVER ({_range(60)}) END AS card_txn_count_1min,
+       CASE WHEN card1 IS NULL THEN 1 ELSE count(*) OVER ({_range(3600)}) END AS card_txn_count_1hour,
+       CASE WHEN card1 IS NULL THEN CAST(failed AS BIGINT)
+            ELSE CAST(sum(CAST(failed AS INTEGER)) OVER ({_range(1800)}) AS BIGINT)
+            END AS failed_txn_count_30min
+FROM messy""")
+def w01_w05_null_cards_repeated_ids(spark, sf):
+    v = W.card_windows(_messy(spark, sf))
+    return v.select("TransactionID", F.col("card_txn_rank").cast("long").alias("card_txn_rank"),
+                    "time_since_last_txn", "card_txn_count_1min", "card_txn_count_1hour",
+                    "failed_txn_count_30min")
+
+
+@query("w06_null_cards_repeated_ids", S.with_ctes(S.TXN_EVENTS) + MESSY + f"""
+SELECT TransactionID, round(avg30, 6) AS card_avg_30d,
+       round(coalesce(TransactionAmt / avg30, 1.0), 6) AS amount_vs_avg_ratio
+FROM (SELECT *, CASE WHEN card1 IS NOT NULL THEN CAST(avg(CAST(TransactionAmt AS DECIMAL(38,10))) OVER (
+             PARTITION BY card1 ORDER BY TransactionDT
+             RANGE BETWEEN {W.AVG_WINDOW_SECONDS} PRECEDING AND 1 PRECEDING) AS DOUBLE) END AS avg30
+      FROM messy)""")
+def w06_null_cards_repeated_ids(spark, sf):
+    v = W.amount_vs_avg(_messy(spark, sf))
+    return v.select("TransactionID", r6(F.col("card_avg_30d")).alias("card_avg_30d"),
+                    r6(F.col("amount_vs_avg_ratio")).alias("amount_vs_avg_ratio"))

@@ -72,6 +72,29 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+#: Rows of a statistics or mapping table up to which it is broadcast.
+SMALL_ROWS = 100_000
+SALTS = 64
+
+
+def join_small(df, small, keys: list[str], how: str = "left", rows: int | None = None):
+    """Joins ``small`` (one row per key) to ``df`` on few and possibly hot keys.
+
+    The table is written and counted; up to ``SMALL_ROWS`` rows it is
+    broadcast, so ``df`` is not shuffled. A larger one is repeated once per
+    salt and ``df``'s rows of a key are dealt over the salts. ``rows`` is the
+    count where the caller knows it."""
+    from pyspark.sql import functions as F
+    if rows is None:
+        small = materialize(small, "table")
+        rows = small.count()
+    if rows <= SMALL_ROWS:
+        return df.join(F.broadcast(small), keys, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    return df.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 _CACHED: list = []
 
 

@@ -70,10 +70,18 @@ def test_category_codes_spread_over_partitions(spark):
     assert got == exp
 
 
-def test_fill_medians_exact_and_sketched(spark):
+def test_fill_medians(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0), (4, 10.0)], "i long, x double")
-    exact = P.fit_medians(df, ["x"])
-    approx = P.fit_medians(df, ["x"], exact=False)
-    assert exact["x"] == 3.0 and approx["x"] in (1.0, 3.0, 10.0)
-    filled = P.fill_medians(df, exact).where("i = 2").first()["x"]
-    assert filled == 3.0
+    medians = P.fit_medians(df, ["x"])
+    assert medians == {"x": 3.0}
+    assert P.fill_medians(df, medians).where("i = 2").first()["x"] == 3.0
+
+
+def test_medians_of_many_columns_are_exact(spark):
+    cols = [f"c{i}" for i in range(80)]
+    df = spark.range(101).select(*[
+        F.when((F.col("id") + i) % 7 > 0, (F.col("id") * (i + 1)) % 97 / 3.0).alias(c)
+        for i, c in enumerate(cols)])
+    want = df.agg(*[F.median(c).alias(c) for c in cols]).first().asDict()
+    got = P.fit_medians(df, cols)
+    assert all(abs(got[c] - want[c]) < 1e-12 for c in cols)

@@ -114,6 +114,40 @@ def test_kth_and_time_split(spark):
     assert va.count() == len(rows) - cut
 
 
+def test_selection_with_outliers_and_large_ids(spark):
+    values = [10.0 ** e for e in range(-300, 301)]
+    df = spark.createDataFrame([(v,) for v in reversed(values)], "x double")
+    assert RK.kth_smallest(df, "x", 50) == (values[49], 49)
+    big = spark.createDataFrame([(2 ** 60 + i, 5) for i in range(10)],
+                                "TransactionID long, TransactionDT long")
+    tr, va = RK.time_split(big, 0.2)
+    assert sorted(r[0] for r in tr.collect()) == [2 ** 60 + i for i in range(8)]
+    assert va.count() == 2
+
+
+def test_range_partitions_are_even_under_an_outlier(spark):
+    """200,000 scores near zero and one far away: no partition has twice the mean."""
+    df = spark.range(200_000).select((F.col("id") % 1999 / 1e7 + F.col("id") / 1e12).alias("x")) \
+              .union(spark.range(1).select(F.lit(0.99)))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in RK._ranged(df, "x").groupBy("_part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_quantiles_equal_percentile(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 11 > 0, F.col("id") % 2).alias("g"),
+                                  F.when(F.col("id") % 5 > 0, (F.col("id") * 37) % 1013 / 7.0).alias("v"))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = {r[0]: r[1] for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs]))).collect()}
+    for r in RK.grouped_quantiles(df, ("g",), "v", probs).collect():
+        assert all(abs(a - b) < 1e-9 for a, b in zip(r[1:], want[r["g"]]))
+
+
 def test_global_index(spark):
     t = V.txn_events(spark, SF_MED).select("TransactionID", "TransactionDT")
     got = {r["TransactionID"]: r["_index"]
