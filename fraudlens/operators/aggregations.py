@@ -58,6 +58,13 @@ def card_stats(df: DataFrame, key: str = "card1", amt: str = AMT,
 
 
 # J02 + A02 ------------------------------------------------------------------
+def no_card_stats(spark, key: str = "card1") -> DataFrame:
+    """The statistics table of ``card_stats`` (without median) with no cards."""
+    own = f"{key} long, {key}_card_txn_count long"
+    return spark.createDataFrame([], own + "".join(
+        f", {key}_card_amt_{c} double" for c in ("mean", "std", "min", "max")))
+
+
 def with_card_aggregations(df: DataFrame, key: str = "card1", amt: str = AMT,
                            stats: DataFrame | None = None,
                            median: str = "distributed") -> DataFrame:

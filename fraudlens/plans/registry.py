@@ -27,4 +27,5 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     # import for the registration side effect
     from fraudlens.plans import (q_features, q_aggregates, q_windows,  # noqa: F401
-                                 q_rules, q_store, q_metrics, q_monitoring, q_sources, q_ml)
+                                 q_rules, q_store, q_metrics, q_monitoring, q_sources, q_ml,
+                                 q_streams)

@@ -1,22 +1,30 @@
 """Structured Streaming jobs.
 
 * ``transaction_source``: JSON messages from Kafka (when the connector is on
-  the classpath) or from a file directory (tests), parsed permissively.
-* ``card_velocity``: keyed state per card (T04) with
-  ``applyInPandasWithState``: the recent event times of the card (one hour),
-  so the 1-minute / 5-minute / 1-hour counts and the 30-minute failure count
-  equal the batch windows (W04 / W05) on in-order data.
-* ``score_batches``: ``foreachBatch`` sink (T01/T02) that scores one cached
-  micro-batch and writes decisions, alerts, predictions and dead letters,
-  each to a path keyed by the batch id so a replayed batch overwrites
-  itself (idempotent, exactly-once with the checkpoint).
+  the classpath) or from a file directory (tests).
+* ``score_stream``: one streaming plan: messages are parsed and validated
+  (T02), repeats of an id are dropped, every history-dependent input comes
+  from one keyed state per card (T04), and a ``foreachBatch`` sink evaluates
+  the rules as they are at that moment (R11) and writes decisions, alerts,
+  predictions and dead letters. Decisions do not depend on how messages fall
+  into batches. Each sink is keyed by the batch id, so a replayed batch
+  overwrites itself.
 * ``block_share_stream``: the 5-minute sliding BLOCK share with a watermark
   (T05); the batch twin is ``monitoring.block_share``.
+
+State of a card: the events of its last hour (ids, times, failures, places),
+the latest event, and daily amount sums of 30 days. Events are placed in time
+order among what the state holds, so a late event gets its true predecessor
+and never moves the card's latest event back. A lone time stamp far in the
+future does not age the others out: the hour is counted from the latest event
+that has another within the hour. A continuous stream forgets cards after
+``EXPIRY_MS`` without a message. Rows without a card pass beside the state.
+
+A card's messages of one micro-batch are sorted together in one task; the
+trigger's limit (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``) bounds them.
 """
 from __future__ import annotations
 
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,137 +38,41 @@ from fraudlens.operators import store as ST
 from fraudlens.operators import windows as W
 from fraudlens.sources import io as IO
 
-MAX_OFFSETS_PER_TRIGGER = 50
 STATE_HORIZON = max([*W.VELOCITY_WINDOWS.values(), *W.FAILED_WINDOWS.values()])
+DAY = 86400
+AVG_DAYS = 30
+LATE_SECONDS = 600      # default lateness allowance (10 minutes)
+EXPIRY_MS = 31 * DAY * 1000
 
 
 # S04 ------------------------------------------------------------------------
 def transaction_source(spark: SparkSession, schema: T.StructType, path: str | None = None,
-                       kafka: dict | None = None, topic: str = "txn-events") -> DataFrame:
-    """Raw messages as (key string, value string)."""
+                       kafka: dict | None = None, topic: str = "txn-events",
+                       max_offsets: int | None = None, max_files: int | None = 1) -> DataFrame:
+    """Raw messages as (key string, value string). ``max_offsets`` and
+    ``max_files`` limit one micro-batch; None reads all that is there."""
     if kafka is not None:
-        return (spark.readStream.format("kafka")
-                .option("subscribe", topic).option("startingOffsets", "earliest")
-                .option("maxOffsetsPerTrigger", MAX_OFFSETS_PER_TRIGGER)
-                .options(**kafka).load()
+        options = {"subscribe": topic, "startingOffsets": "earliest", **kafka}
+        if max_offsets is not None:
+            options["maxOffsetsPerTrigger"] = max_offsets
+        return (spark.readStream.format("kafka").options(**options).load()
                 .select(F.col("key").cast("string"), F.col("value").cast("string")))
-    return (spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(path)
-            .select(F.lit(None).cast("string").alias("key"), F.col("value")))
-
-
-# T04 ------------------------------------------------------------------------
-VELOCITY_OUT = T.StructType([
-    T.StructField("TransactionID", T.LongType()),
-    *[T.StructField(n, T.LongType()) for n in W.VELOCITY_WINDOWS],
-    *[T.StructField(n, T.LongType()) for n in W.FAILED_WINDOWS],
-])
-VELOCITY_STATE = T.StructType([T.StructField("times", T.ArrayType(T.LongType())),
-                               T.StructField("failed", T.ArrayType(T.IntegerType()))])
-
-
-def _velocity_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    if state.exists:
-        times, failed = state.get
-        times = np.asarray(times, dtype=np.int64)
-        failed = np.asarray(failed, dtype=np.int64)
-    else:
-        times = np.zeros(0, dtype=np.int64)
-        failed = np.zeros(0, dtype=np.int64)
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    if batch.empty:
-        return
-    batch = batch.sort_values(["TransactionDT", "TransactionID"], kind="stable")
-    bt = batch["TransactionDT"].to_numpy(dtype=np.int64)
-    bf = batch["failed"].fillna(False).astype(int).to_numpy(dtype=np.int64)
-    all_t = np.concatenate([times, bt])
-    all_f = np.concatenate([failed, bf])
-    order = np.argsort(all_t, kind="stable")
-    all_t, all_f = all_t[order], all_f[order]
-    cum_f = np.concatenate([[0], np.cumsum(all_f)])
-    out = {"TransactionID": batch["TransactionID"].to_numpy(dtype=np.int64)}
-    hi = np.searchsorted(all_t, bt, side="right")          # ties of t included
-    for name, n in W.VELOCITY_WINDOWS.items():
-        lo = np.searchsorted(all_t, bt - n, side="right")  # window (t - n, t]
-        out[name] = (hi - lo).astype(np.int64)
-    for name, n in W.FAILED_WINDOWS.items():
-        lo = np.searchsorted(all_t, bt - n, side="right")
-        out[name] = (cum_f[hi] - cum_f[lo]).astype(np.int64)
-    keep = all_t > all_t.max() - STATE_HORIZON
-    state.update((all_t[keep].tolist(), all_f[keep].astype(int).tolist()))
-    yield pd.DataFrame(out)
-
-
-def card_velocity(events: DataFrame, key: str = "card1") -> DataFrame:
-    """Streaming (or batch) per-card velocity counts from keyed state."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    ev = events.select("TransactionID", key, "TransactionDT",
-                       F.coalesce(F.col("failed"), F.lit(False)).alias("failed")) \
-        if "failed" in events.columns else \
-        events.select("TransactionID", key, "TransactionDT", F.lit(False).alias("failed"))
-    return ev.groupBy(key).applyInPandasWithState(
-        _velocity_fn, VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-# T01 / T02 ------------------------------------------------------------------
-def score_batch(batch: DataFrame, schema: T.StructType, rs: R.RuleSet, topic: str,
-                out_dir: str, epoch_id: int, card: dict = D.SCORECARD) -> dict:
-    """Score one micro-batch and write its sinks under batch_id=<epoch>."""
-    parsed = batch.persist()                       # the micro-batch is read once
-    good, dead = IO.route_messages(parsed, schema, topic)
-    try:
-        # one micro-batch: phases are persisted (a lost cached block is
-        # recomputed from the batch), the decided frame feeds four sinks
-        decided = D.scoring_frame(good, rs, card, stages="cache")
-        decided = decided.cache()
-        part = f"batch_id={epoch_id}"
-        D.scoring_record(decided).withColumn("value", F.to_json(F.struct("*"))) \
-            .select(F.col("transaction_id").alias("key"), "value") \
-            .write.mode("overwrite").parquet(f"{out_dir}/decisions/{part}")
-        ST.alerts_table(decided).write.mode("overwrite").parquet(f"{out_dir}/alerts/{part}")
-        ST.predictions_table(decided, card).write.mode("overwrite") \
-            .parquet(f"{out_dir}/predictions/{part}")
-        dead.write.mode("overwrite").parquet(f"{out_dir}/dead_letter/{part}")
-        return {"scored": decided.count()}
-    finally:
-        from fraudlens.session import release_cached
-        release_cached()
-        parsed.unpersist()
-
-
-def score_stream(raw: DataFrame, schema: T.StructType, out_dir: str, checkpoint: str,
-                 rs: R.RuleSet | None = None, topic: str = "txn-events",
-                 available_now: bool = True):
-    """Start the scoring query; the rule file is re-read per batch."""
-    def run(batch_df: DataFrame, epoch_id: int):
-        score_batch(batch_df, schema, rs or R.load_rules(), topic, out_dir, epoch_id)
-    w = raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    return w.start()
-
-
-# T05 ------------------------------------------------------------------------
-def block_share_stream(decided: DataFrame, ts: str = "ts",
-                       watermark: str = MO.DEFAULT_WATERMARK) -> DataFrame:
-    return MO.block_share(decided.withWatermark(ts, watermark), ts)
-
+    reader = spark.readStream.format("text")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(path).select(F.lit(None).cast("string").alias("key"), F.col("value"))
 
-# ---------------------------------------------------------------------------
-# T01 + T04: one stateful scoring query
-# ---------------------------------------------------------------------------
-DAY = 86400
-AVG_DAYS = 30
 
+# Keyed state ------------------------------------------------------------
+_LONGS, _DOUBLES = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
 CARD_STATE = T.StructType([
-    T.StructField("times", T.ArrayType(T.LongType())),
-    T.StructField("failed", T.ArrayType(T.IntegerType())),
-    T.StructField("n_seen", T.LongType()),
-    T.StructField("last_dt", T.LongType()),
-    T.StructField("last_lat", T.DoubleType()),
+    T.StructField("ids", _LONGS), T.StructField("times", _LONGS), T.StructField("failed", _LONGS),
+    T.StructField("lats", _DOUBLES), T.StructField("lons", _DOUBLES),
+    T.StructField("n_seen", T.LongType()), T.StructField("intl_seen", T.LongType()),
+    T.StructField("last_dt", T.LongType()), T.StructField("last_lat", T.DoubleType()),
     T.StructField("last_lon", T.DoubleType()),
-    T.StructField("intl_seen", T.LongType()),
-    T.StructField("day_keys", T.ArrayType(T.LongType())),
-    T.StructField("day_sums", T.ArrayType(T.DoubleType())),
-    T.StructField("day_counts", T.ArrayType(T.LongType())),
+    T.StructField("day_keys", _LONGS), T.StructField("day_sums", _DOUBLES),
+    T.StructField("day_counts", _LONGS),
 ])
 STATE_COLUMNS = [
     ("card_txn_rank", T.LongType()), ("card_prev_dt", T.LongType()),
@@ -171,166 +83,247 @@ STATE_COLUMNS = [
     ("first_international", T.BooleanType()), ("impossible_travel", T.BooleanType()),
     ("is_late", T.BooleanType()),
 ]
-LATE_SECONDS = 600      # default lateness allowance (10 minutes)
 
 
-def _card_state_fn(has_geo: bool):
+def _place(v) -> float:
+    return np.nan if v is None else float(v)
+
+
+def _confirmed(times: np.ndarray) -> int:
+    """The latest time that has another within the hour, or the latest."""
+    near = np.flatnonzero(np.diff(times) < STATE_HORIZON)
+    return int(times[near[-1] + 1] if len(near) else times[-1])
+
+
+def _daily_average(days, amounts, keys0, sums0, counts0):
+    """Mean amount over the 30 days before each row (earlier rows of its own
+    day included) and the updated daily totals. Rows are in time order."""
+    own, at = np.unique(days, return_inverse=True)
+    keys = np.union1d(keys0, own).astype(np.int64)
+    start_s, start_n = np.zeros(len(keys)), np.zeros(len(keys))
+    np.add.at(start_s, np.searchsorted(keys, keys0), sums0)
+    np.add.at(start_n, np.searchsorted(keys, keys0), counts0)
+    sums, counts = start_s.copy(), start_n.copy()
+    row = np.searchsorted(keys, days)
+    np.add.at(sums, row, amounts)
+    np.add.at(counts, row, 1.0)
+    cs, cn = np.concatenate([[0.0], np.cumsum(sums)]), np.concatenate([[0.0], np.cumsum(counts)])
+    lo, hi = np.searchsorted(keys, days - AVG_DAYS), np.searchsorted(keys, days)
+    earlier_s = pd.Series(amounts).groupby(at).cumsum().to_numpy() - amounts
+    earlier_n = pd.Series(np.ones(len(days))).groupby(at).cumsum().to_numpy() - 1.0
+    s = cs[hi] - cs[lo] + start_s[row] + earlier_s
+    n = cn[hi] - cn[lo] + start_n[row] + earlier_n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where((n > 0) & (s > 0), s / n, np.nan)
+    return mean, keys, sums, counts
+
+
+def _card_state_fn(names: dict[str, bool], late_seconds: int, expiry_ms: int | None):
+    """``names``: which optional columns the rows have."""
     def fn(key, pdfs, state):
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if batch.empty:
+        if state.hasTimedOut:
+            state.remove()
             return
+        batch = pd.concat(list(pdfs), ignore_index=True)
         if state.exists:
-            (times, failed, n_seen, last_dt, last_lat, last_lon, intl_seen,
+            (ids, times, failed, lats, lons, n_seen, intl_seen, last_dt, last_lat, last_lon,
              day_keys, day_sums, day_counts) = state.get
         else:
-            times, failed, n_seen, last_dt, last_lat, last_lon, intl_seen = \
-                [], [], 0, None, None, None, 0
+            ids, times, failed, lats, lons, n_seen, intl_seen = [], [], [], [], [], 0, 0
+            last_dt = last_lat = last_lon = None
             day_keys, day_sums, day_counts = [], [], []
+        # an id that the state holds, or a second one in the batch, is a repeat
         batch = batch.sort_values(["TransactionDT", "TransactionID"], kind="stable") \
-                     .reset_index(drop=True)
-        bt = batch["TransactionDT"].to_numpy(dtype=np.int64)
-        bf = batch["failed"].fillna(False).astype(int).to_numpy(dtype=np.int64)
-        amt = batch["TransactionAmt"].astype(float).to_numpy()
+                     .drop_duplicates("TransactionID")
+        batch = batch[~batch["TransactionID"].isin(ids)].reset_index(drop=True)
         m = len(batch)
-        # velocity: exact over the kept hour of history plus this batch
-        all_t = np.concatenate([np.asarray(times, dtype=np.int64), bt])
-        all_f = np.concatenate([np.asarray(failed, dtype=np.int64), bf])
+        if not m:
+            if state.exists and expiry_ms is not None:
+                state.setTimeoutDuration(expiry_ms)
+            return
+        bt = batch["TransactionDT"].to_numpy(dtype=np.int64)
+        column = lambda c: batch[c].to_numpy(dtype=float) if names[c] else np.full(m, np.nan)
+        bf = batch["failed"].fillna(False).to_numpy(dtype=np.int64)
+        all_t = np.concatenate([np.asarray(times, np.int64), bt])
         order = np.argsort(all_t, kind="stable")
-        all_t, all_f = all_t[order], all_f[order]
-        cum_f = np.concatenate([[0], np.cumsum(all_f)])
-        hi = np.searchsorted(all_t, bt, side="right")
+        take = lambda old, new, kind: np.concatenate([np.asarray(old, kind), new])[order]
+        all_i = take(ids, batch["TransactionID"].to_numpy(dtype=np.int64), np.int64)
+        all_f = take(failed, bf, np.int64)
+        all_lat = take([_place(v) for v in lats], column("lat"), float)
+        all_lon = take([_place(v) for v in lons], column("lon"), float)
+        all_t = all_t[order]
+        spot = np.empty(len(order), np.int64)
+        spot[order] = np.arange(len(order))
+        spot = spot[len(times):]                              # place of each batch row
         out = {}
+        hi = np.searchsorted(all_t, bt, side="right")
+        cum_f = np.concatenate([[0], np.cumsum(all_f)])
         for name, n in W.VELOCITY_WINDOWS.items():
             out[name] = hi - np.searchsorted(all_t, bt - n, side="right")
         for name, n in W.FAILED_WINDOWS.items():
-            lo = np.searchsorted(all_t, bt - n, side="right")
-            out[name] = cum_f[hi] - cum_f[lo]
-        # late rows are still scored, and flagged when older than the card's
-        # latest event of earlier batches minus the lateness allowance
-        out["is_late"] = (bt < (last_dt - LATE_SECONDS)) if last_dt is not None \
-            else np.zeros(m, dtype=bool)
-        # sequence: running number and previous event of the card
-        prev = np.concatenate([[last_dt if last_dt is not None else -1], bt[:-1]]).astype(np.int64)
-        has_prev = np.concatenate([[last_dt is not None], np.ones(m - 1, dtype=bool)])
+            out[name] = cum_f[hi] - cum_f[np.searchsorted(all_t, bt - n, side="right")]
+        out["is_late"] = bt < last_dt - late_seconds if last_dt is not None else np.zeros(m, bool)
+        # previous event: the one before in time; else the card's latest, if earlier
+        inside = spot > 0
+        before = np.maximum(spot - 1, 0)
+        older = ~inside & (last_dt is not None and last_dt <= bt)
+        has_prev = inside | older
+        prev = np.where(inside, all_t[before], last_dt if last_dt is not None else 0)
         gap = np.where(has_prev, bt - prev, -1)
         out["card_txn_rank"] = n_seen + np.arange(1, m + 1)
-        out["card_prev_dt"] = pd.array(np.where(has_prev, prev, 0), dtype="Int64")
+        out["card_prev_dt"] = pd.array(prev, dtype="Int64")
         out["card_prev_dt"][~has_prev] = pd.NA
         out["time_since_last_txn"] = gap
         out["rapid_succession"] = ((gap > 0) & (gap < 60)).astype(np.int32)
-        # 30-day average: whole earlier days from daily buckets plus the
-        # earlier events of the same day (approximate at the far edge)
-        days = bt // DAY
-        sk = np.asarray(day_keys, dtype=np.int64)
-        ss = np.asarray(day_sums, dtype=float)
-        sc = np.asarray(day_counts, dtype=float)
-        ud, inv = np.unique(days, return_inverse=True)
-        keys = np.union1d(sk, ud)
-        tot_s = np.zeros(len(keys))
-        tot_c = np.zeros(len(keys))
-        np.add.at(tot_s, np.searchsorted(keys, sk), ss)
-        np.add.at(tot_c, np.searchsorted(keys, sk), sc)
-        np.add.at(tot_s, np.searchsorted(keys, days), amt)
-        np.add.at(tot_c, np.searchsorted(keys, days), 1.0)
-        cs = np.concatenate([[0.0], np.cumsum(tot_s)])
-        cc = np.concatenate([[0.0], np.cumsum(tot_c)])
-
-        def before_day(d):             # totals of all days < d
-            i = np.searchsorted(keys, d, side="left")
-            return cs[i], cc[i]
-        s_hi, c_hi = before_day(days)
-        s_lo, c_lo = before_day(days - AVG_DAYS)
-        # same day: state bucket of that day plus earlier rows of this batch
-        st_day = dict(zip(sk.tolist(), zip(ss.tolist(), sc.tolist())))
-        today_s = np.array([st_day.get(int(d), (0.0, 0.0))[0] for d in days])
-        today_c = np.array([st_day.get(int(d), (0.0, 0.0))[1] for d in days])
-        run_s = pd.Series(amt).groupby(inv).cumsum().to_numpy() - amt
-        run_c = pd.Series(np.ones(m)).groupby(inv).cumsum().to_numpy() - 1.0
-        s_win = (s_hi - s_lo) + today_s + run_s
-        c_win = (c_hi - c_lo) + today_c + run_c
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where((c_win > 0) & (s_win > 0), amt / (s_win / c_win), 1.0)
-        out["amount_vs_avg_ratio"] = ratio
-        dk = {int(k): (float(a_), int(c_)) for k, a_, c_ in zip(keys, tot_s, tot_c)}
-        # geography
-        if has_geo:
+        mean, keys, sums, counts = _daily_average(
+            bt // DAY, batch["TransactionAmt"].to_numpy(dtype=float) if names["TransactionAmt"]
+            else np.zeros(m), np.asarray(day_keys, np.int64), day_sums, day_counts)
+        if names["TransactionAmt"]:
+            with np.errstate(invalid="ignore"):
+                out["amount_vs_avg_ratio"] = np.where(
+                    np.isnan(mean), 1.0, batch["TransactionAmt"].to_numpy(dtype=float) / mean)
+        else:
+            out["amount_vs_avg_ratio"] = np.ones(m)
+        out["first_international"] = out["impossible_travel"] = np.zeros(m, bool)
+        if names["txn_country"] and names["home_country"]:
             intl = (batch["txn_country"] != batch["home_country"]).fillna(False).to_numpy()
-            before = intl_seen + np.cumsum(intl) - intl
-            out["first_international"] = intl & (before == 0)
-            lat, lon = batch["lat"].to_numpy(float), batch["lon"].to_numpy(float)
-            plat = np.concatenate([[last_lat if last_lat is not None else np.nan], lat[:-1]])
-            plon = np.concatenate([[last_lon if last_lon is not None else np.nan], lon[:-1]])
+            out["first_international"] = intl & (intl_seen + np.cumsum(intl) - intl == 0)
+            intl_seen = int(intl_seen + intl.sum())
+        if names["lat"] and names["lon"]:
+            plat = np.where(inside, all_lat[before], _place(last_lat))
+            plon = np.where(inside, all_lon[before], _place(last_lon))
             r = np.pi / 180
-            h = np.sin((lat - plat) * r / 2) ** 2 + np.cos(plat * r) * np.cos(lat * r) * \
-                np.sin((lon - plon) * r / 2) ** 2
-            km = 2 * W.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
-            hours = gap / 3600.0
+            h = np.sin((column("lat") - plat) * r / 2) ** 2 + np.cos(plat * r) \
+                * np.cos(column("lat") * r) * np.sin((column("lon") - plon) * r / 2) ** 2
             with np.errstate(divide="ignore", invalid="ignore"):
-                speed = np.where(hours > 0, km / hours, np.where(km > 0, np.inf, 0.0))
-            out["impossible_travel"] = np.nan_to_num(speed, nan=0.0) > W.MAX_TRAVEL_KMH
-            intl_seen = int(intl_seen + intl.sum())
-            last_lat, last_lon = float(lat[-1]), float(lon[-1])
-        else:
-            out["first_international"] = np.zeros(m, dtype=bool)
-            out["impossible_travel"] = np.zeros(m, dtype=bool)
-        keep = all_t > all_t.max() - STATE_HORIZON
-        horizon = int(days.max()) - AVG_DAYS
-        kept_days = sorted(k for k in dk if k >= horizon)
-        state.update((all_t[keep].tolist(), all_f[keep].astype(int).tolist(), int(n_seen + m),
-                      int(bt[-1]), last_lat, last_lon, intl_seen, kept_days,
-                      [float(dk[k][0]) for k in kept_days], [int(dk[k][1]) for k in kept_days]))
-        res = batch.copy()
-        for name, _ in STATE_COLUMNS:
-            res[name] = out[name]
-        yield res
+                km = 2 * W.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+                speed = np.where(gap > 0, km / (gap / 3600.0), np.where(km > 0, np.inf, 0.0))
+            out["impossible_travel"] = has_prev & (np.nan_to_num(speed, nan=0.0) > W.MAX_TRAVEL_KMH)
+        if last_dt is None or all_t[-1] >= last_dt:
+            last_dt, last_lat, last_lon = int(all_t[-1]), float(all_lat[-1]), float(all_lon[-1])
+        anchor = _confirmed(all_t)
+        keep = all_t > anchor - STATE_HORIZON
+        kept = keys >= anchor // DAY - AVG_DAYS
+        state.update((all_i[keep].tolist(), all_t[keep].tolist(), all_f[keep].tolist(),
+                      all_lat[keep].tolist(), all_lon[keep].tolist(), int(n_seen + m), intl_seen,
+                      last_dt, last_lat, last_lon, keys[kept].tolist(), sums[kept].tolist(),
+                      counts[kept].astype(int).tolist()))
+        if expiry_ms is not None:
+            state.setTimeoutDuration(expiry_ms)
+        yield batch.assign(**{name: out[name] for name, _ in STATE_COLUMNS})
     return fn
 
 
-def stateful_features(events: DataFrame, card_stats: DataFrame | None = None,
-                      key: str = "card1") -> DataFrame:
-    """Row features, a stream-static join to fitted card statistics, and one
-    keyed state per card for every history-dependent input (T04)."""
+def with_card_state(events: DataFrame, key: str = "card1", late_seconds: int = LATE_SECONDS,
+                    expiry_ms: int | None = None) -> DataFrame:
+    """Streaming (or batch) rows with ``STATE_COLUMNS`` from keyed state; rows
+    without a card get neutral values beside it. ``expiry_ms`` forgets idle
+    cards; it suits streams that run on, since Spark then never runs out of
+    batches and an available-now trigger would not end."""
     from pyspark.sql.streaming.state import GroupStateTimeout
+    if "failed" not in events.columns:
+        events = events.withColumn("failed", F.lit(False))
+    names = {c: c in events.columns for c in ("lat", "lon", "txn_country", "home_country",
+                                              "TransactionAmt")}
+    schema = T.StructType(list(events.schema.fields) + [T.StructField(n, t) for n, t in STATE_COLUMNS])
+    known = (events.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(
+        _card_state_fn(names, late_seconds, expiry_ms), schema, CARD_STATE, "append",
+        GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.ProcessingTimeTimeout))
+    rows = events.where(F.col(key).isNull()).withColumn("is_late", F.lit(False))
+    return W.with_anonymous(known, rows)
+
+
+def card_velocity(events: DataFrame, key: str = "card1") -> DataFrame:
+    """Per-card velocity counts from keyed state."""
+    cols = ["TransactionID", key, "TransactionDT", *[c for c in ("failed",) if c in events.columns]]
+    return with_card_state(events.select(*cols), key).select(
+        "TransactionID", *W.VELOCITY_WINDOWS, *W.FAILED_WINDOWS)
+
+
+# T01 + T04: one stateful scoring query -----------------------------------------
+def stateful_features(events: DataFrame, card_stats: DataFrame | None = None,
+                      key: str = "card1", expiry_ms: int | None = None) -> DataFrame:
+    """Row features, a stream-static join to fitted card statistics, and the
+    card's state for every history-dependent input (T04)."""
     from fraudlens.operators import aggregations as A
     from fraudlens.operators import pipeline as P
     df = P.row_features(events)
-    if "failed" not in df.columns:
-        df = df.withColumn("failed", F.lit(False))
     if card_stats is not None:
         df = A.with_card_aggregations(df, key, stats=card_stats)
-    has_geo = all(c in df.columns for c in ("lat", "lon", "txn_country", "home_country"))
-    out_schema = T.StructType(list(df.schema.fields) +
-                              [T.StructField(n, t) for n, t in STATE_COLUMNS])
-    return df.groupBy(key).applyInPandasWithState(
-        _card_state_fn(has_geo), out_schema, CARD_STATE, "append", GroupStateTimeout.NoTimeout)
+    return with_card_state(df, key, expiry_ms=expiry_ms)
+
+
+def scored_stream(events: DataFrame, card_stats: DataFrame | None = None,
+                  card: dict = D.SCORECARD, expiry_ms: int | None = None) -> DataFrame:
+    """Everything before the rules: features, state and score. Without fitted
+    statistics every card is one that they do not know."""
+    from fraudlens.functions import features as fx
+    from fraudlens.operators import aggregations as A
+    if card_stats is None:
+        card_stats = A.no_card_stats(events.sparkSession)
+    f = stateful_features(events, card_stats, expiry_ms=expiry_ms)
+    return D.scorecard_score(f, card).withColumn("hour", fx.rule_hour("TransactionDT"))
 
 
 def decide_stream(events: DataFrame, rs: R.RuleSet, card_stats: DataFrame | None = None,
                   card: dict = D.SCORECARD) -> DataFrame:
-    """T01 as one streaming plan: features + state -> scorecard -> rules ->
-    decision. Everything after the state operator is a projection."""
-    from fraudlens.functions import features as fx
-    f = stateful_features(events, card_stats)
-    f = D.scorecard_score(f, card).withColumn("hour", fx.rule_hour("TransactionDT"))
-    return D.decide(R.evaluate(f, rs))
+    """T01 as a plan with a fixed rule set."""
+    return D.decide(R.evaluate(scored_stream(events, card_stats, card), rs))
+
+
+def _write_sinks(decided: DataFrame, out_dir: str, epoch_id: int, card: dict) -> None:
+    part = f"batch_id={epoch_id}"
+    D.scoring_record(decided, card).withColumn("value", F.to_json(F.struct("*"))) \
+        .select(F.col("transaction_id").alias("key"), "value") \
+        .write.mode("overwrite").parquet(f"{out_dir}/decisions/{part}")
+    ST.alerts_table(decided).write.mode("overwrite").parquet(f"{out_dir}/alerts/{part}")
+    ST.predictions_table(decided, card).write.mode("overwrite") \
+        .parquet(f"{out_dir}/predictions/{part}")
+
+
+def _start(frame: DataFrame, run, checkpoint: str, available_now: bool):
+    w = frame.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()
+
+
+def score_stream(raw: DataFrame, schema: T.StructType, out_dir: str, checkpoint: str,
+                 rules=R.load_rules, topic: str = "txn-events", card_stats: DataFrame | None = None,
+                 card: dict = D.SCORECARD, available_now: bool = True):
+    """Messages to all four sinks. ``rules`` is called for every
+    micro-batch, so an edited rule file holds from the next one on (R11)."""
+    good, dead = IO.route_messages(raw, schema, topic)
+    scored = scored_stream(good, card_stats, card, None if available_now else EXPIRY_MS)
+    letter = F.struct(*dead.columns)
+    both = scored.withColumn("_dead", F.lit(None).cast(dead.select(letter.alias("x")).schema["x"].dataType)) \
+        .unionByName(dead.select(letter.alias("_dead")), allowMissingColumns=True)
+
+    def run(batch: DataFrame, epoch_id: int):
+        rows = batch.persist()             # read by four sinks; lost blocks are recomputed
+        try:
+            live = rows.where(F.col("_dead").isNull()).drop("_dead")
+            decided = D.decide(R.evaluate(live, rules()))
+            _write_sinks(decided, out_dir, epoch_id, card)
+            rows.where(F.col("_dead").isNotNull()).select("_dead.*") \
+                .write.mode("overwrite").parquet(f"{out_dir}/dead_letter/batch_id={epoch_id}")
+        finally:
+            rows.unpersist()
+    return _start(both, run, checkpoint, available_now)
 
 
 def write_decisions(decided: DataFrame, out_dir: str, checkpoint: str,
                     card: dict = D.SCORECARD, available_now: bool = True):
-    """Fan-out sink: one cached micro-batch -> decisions, alerts, predictions,
-    each under batch_id=<epoch> (a replayed batch overwrites itself)."""
-    def run(batch_df: DataFrame, epoch_id: int):
-        b = batch_df.persist()
+    """Sinks of an already decided stream (see ``decide_stream``)."""
+    def run(batch: DataFrame, epoch_id: int):
+        rows = batch.persist()
         try:
-            part = f"batch_id={epoch_id}"
-            D.scoring_record(b, card).withColumn("value", F.to_json(F.struct("*"))) \
-                .select(F.col("transaction_id").alias("key"), "value") \
-                .write.mode("overwrite").parquet(f"{out_dir}/decisions/{part}")
-            ST.alerts_table(b).write.mode("overwrite").parquet(f"{out_dir}/alerts/{part}")
-            ST.predictions_table(b, card).write.mode("overwrite") \
-                .parquet(f"{out_dir}/predictions/{part}")
+            _write_sinks(rows, out_dir, epoch_id, card)
         finally:
-            b.unpersist()
-    w = decided.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    return w.start()
+            rows.unpersist()
+    return _start(decided, run, checkpoint, available_now)
+
+
+# T05 ------------------------------------------------------------------------
+def block_share_stream(decided: DataFrame, ts: str = "ts",
+                       watermark: str = MO.DEFAULT_WATERMARK) -> DataFrame:
+    return MO.block_share(decided.withWatermark(ts, watermark), ts)

@@ -287,3 +287,77 @@ def test_late_rows_flagged(spark, tmpdir_path):
     q.awaitTermination(120)
     late = {r[0]: r[1] for r in spark.sql("SELECT TransactionID, is_late FROM late_out").collect()}
     assert late == {1: False, 2: False, 3: True, 4: False}
+
+
+SIMPLE = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, failed boolean"
+
+
+def _messages(path, batches):
+    os.makedirs(path)
+    for n, batch in enumerate(batches):
+        file = os.path.join(path, f"part-{n}.json")
+        with open(file, "w") as fh:
+            for i, dt, amt, card in batch:
+                row = {"TransactionID": i, "TransactionDT": dt, "TransactionAmt": amt, "ProductCD": "W"}
+                fh.write(json.dumps(row | ({} if card is None else {"card1": card})) + "\n")
+        os.utime(file, (1_600_000_000 + n, 1_600_000_000 + n))
+
+
+def _run_scored(spark, folder, batches):
+    _messages(os.path.join(folder, "in"), batches)
+    raw = J.transaction_source(spark, EVENT_MESSAGE_SCHEMA, path=os.path.join(folder, "in"))
+    J.score_stream(raw, EVENT_MESSAGE_SCHEMA, os.path.join(folder, "out"),
+                   os.path.join(folder, "ck")).awaitTermination(300)
+    rows = spark.read.parquet(os.path.join(folder, "out", "decisions")).collect()
+    return {r["key"]: {k: v for k, v in json.loads(r["value"]).items()} for r in rows}
+
+
+def test_decisions_do_not_depend_on_batches(spark, tmpdir_path):
+    """A burst of one card and rows without a card, in one, two and four batches,
+    with a repeated id: the same decisions, and rows without a card are no burst."""
+    rows = [(i, 1000 + 5 * i, 20.0 + i, 7) for i in range(12)]
+    rows += [(100 + i, 1000 + 5 * i, 30.0, None) for i in range(12)]
+    rows.sort(key=lambda r: r[1])
+    outs = []
+    for n in (1, 2, 4):
+        per = len(rows) // n
+        batches = [rows[k:k + per] for k in range(0, len(rows), per)]
+        batches[-1] = batches[-1] + [rows[0], rows[-2]]
+        outs.append(_run_scored(spark, os.path.join(tmpdir_path, f"n{n}"), batches))
+    assert outs[0] == outs[1] == outs[2] and len(outs[0]) == 24
+    hits = {k: v["triggered_rules"] for k, v in outs[0].items()}
+    assert hits["11"] and not any(v for k, v in hits.items() if int(k) >= 100)
+
+
+def _state_rows(spark, folder, batches, name):
+    _messages(os.path.join(folder, "in"), batches)
+    s = spark.readStream.schema(SIMPLE).option("maxFilesPerTrigger", 1).json(os.path.join(folder, "in"))
+    (J.with_card_state(s).writeStream.format("memory").queryName(name)
+     .option("checkpointLocation", os.path.join(folder, "ck")).trigger(availableNow=True).start()
+     .awaitTermination(120))
+    return {r["TransactionID"]: r for r in spark.sql(f"SELECT * FROM {name}").collect()}
+
+
+def test_late_and_far_future_events_keep_the_state(spark, tmpdir_path):
+    late = _state_rows(spark, os.path.join(tmpdir_path, "a"), [
+        [(1, 10_000, 1.0, 7)], [(2, 5_000, 1.0, 7)], [(3, 10_010, 1.0, 7)]], "late_state")
+    assert [late[i]["time_since_last_txn"] for i in (1, 2, 3)] == [-1, -1, 10]
+    assert late[3]["card_txn_count_1min"] == 2
+    far = _state_rows(spark, os.path.join(tmpdir_path, "b"), [
+        [(1, 10_000, 1.0, 7), (2, 10_010, 1.0, 7)], [(3, 10 ** 9, 1.0, 7)],
+        [(4, 10_020, 1.0, 7)], [(5, 10_030, 1.0, 7)]], "far_state")
+    assert [far[i]["card_txn_count_1min"] for i in (1, 2, 3, 4, 5)] == [1, 2, 1, 3, 4]
+    assert [far[i]["time_since_last_txn"] for i in (4, 5)] == [10, 10]
+
+
+def test_rules_are_read_for_every_batch(spark, tmpdir_path):
+    calls = []
+
+    def rules():
+        calls.append(1)
+        return R.load_rules()
+    _messages(os.path.join(tmpdir_path, "in"), [[(1, 10, 5.0, 1)], [(2, 20, 5.0, 1)]])
+    raw = J.transaction_source(spark, EVENT_MESSAGE_SCHEMA, path=os.path.join(tmpdir_path, "in"))
+    J.score_stream(raw, EVENT_MESSAGE_SCHEMA, os.path.join(tmpdir_path, "out"),
+                   os.path.join(tmpdir_path, "ck"), rules=rules).awaitTermination(120)
+    assert len(calls) == 2
