@@ -174,5 +174,46 @@ def score_text(score: Column, places: int = 4) -> Column:
                     F.lpad((n % scale).cast("string"), places, "0"))
 
 
-def with_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    return df.withColumns(cols)
+PRODUCT = "fraudlens"
+SYSTEM_SCORE_CRITICAL, SYSTEM_SCORE = 1.0, 0.8
+
+
+def system_alert_score(severity: Column) -> Column:
+    """Score of an alert that belongs to no transaction."""
+    return F.when(severity == "CRITICAL", SYSTEM_SCORE_CRITICAL).otherwise(SYSTEM_SCORE)
+
+
+def alert_payloads(alert_type: Column, message: Column, score: Column, transaction_id: Column,
+                   at: Column) -> dict[str, Column]:
+    """JSON bodies of the three chat formats and the generic webhook. The
+    field layout is the chat services' own; ``at`` is the time as text."""
+    colour = alert_colours(score)
+    title = F.concat(F.lit("Fraud alert: "), alert_type)
+    facts = [("Transaction ID", transaction_id), ("Fraud Score", score_text(score)), ("Time", at)]
+
+    def obj(**fields):
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    def pairs(name: str, flag: str | None = None, wide: str | None = None):
+        out = []
+        for label, value in facts:
+            item = {name: F.lit(label), "value": value}
+            if flag:
+                item[flag] = F.lit(label != wide)
+            out.append(obj(**item))
+        return F.array(*out)
+    slack = obj(attachments=F.array(obj(
+        color=colour["slack_color"], title=title, text=message, fields=pairs("title", "short"),
+        footer=F.lit(PRODUCT))))
+    discord = obj(embeds=F.array(obj(
+        title=title, description=message, color=colour["discord_color"],
+        fields=pairs("name", "inline", wide="Time"), footer=obj(text=F.lit(PRODUCT)))))
+    teams = F.struct(
+        F.lit("MessageCard").alias("@type"), F.lit("http://schema.org/extensions").alias("@context"),
+        colour["teams_color"].alias("themeColor"), title.alias("summary"),
+        F.array(obj(activityTitle=title, activitySubtitle=F.lit(PRODUCT), text=message,
+                    facts=pairs("name"))).alias("sections"))
+    generic = obj(source=F.lit(PRODUCT), alert_type=alert_type, message=message, fraud_score=score,
+                  transaction_id=transaction_id, timestamp=at)
+    return {"slack": F.to_json(slack), "discord": F.to_json(discord), "teams": F.to_json(teams),
+            "webhook": F.to_json(generic)}

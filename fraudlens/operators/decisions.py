@@ -6,7 +6,6 @@ triggered-rule array; explanation text is assembled with ``transform`` /
 """
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,9 +198,12 @@ def scoring_frame(txn: DataFrame, rs: R.RuleSet | None = None, card: dict = SCOR
                   block_t: float = DEFAULT_BLOCK_THRESHOLD,
                   review_t: float = DEFAULT_REVIEW_THRESHOLD,
                   strategy: str = "bucketed", cards: DataFrame | None = None,
-                  identity: DataFrame | None = None, stages: bool | str = True) -> DataFrame:
+                  identity: DataFrame | None = None, stages: bool | str = False) -> DataFrame:
     """Features -> scorecard -> rules -> decision, one row per transaction.
 
+    One lazy plan by default; ``stages`` cuts it between the window phases
+    (see ``session.materialize``) where recomputing them costs more.
+
     cards:    card1 -> home_country; with lat / lon / txn_country present on
               ``txn`` the geography inputs (W07-W09) are computed.
     identity: optional second table, left-joined on TransactionID (J01).
@@ -224,10 +226,6 @@ def scoring_record(decided: DataFrame, card: dict = SCORECARD) -> DataFrame:
                  F.lit(float(card["threshold"])).alias("threshold")).alias("model_info"))
 
 
-def sigmoid(z: float) -> float:
-    return 1.0 / (1.0 + math.exp(-z))
-
-
 # D07 ------------------------------------------------------------------------
 FALLBACK_SCORE = 0.5
 

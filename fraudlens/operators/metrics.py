@@ -68,6 +68,18 @@ def average_precision(df: DataFrame, y: str = "y", p: str = "p", keys: tuple[str
              .select(*keys, (F.col("_s") / F.col("n_pos")).alias("pr_auc")))
 
 
+def curve_metrics(df: DataFrame, y: str = "y", p: str = "p", keys: tuple[str, ...] = ()
+                  ) -> DataFrame:
+    """(keys, roc_auc, pr_auc) from one table of running counts."""
+    c = _with_cum(df, y, p, keys)
+    area = F.sum(2 * F.col("pos") * F.col("neg_before") + F.col("pos") * F.col("neg"))
+    term = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return (c.groupBy(*keys).agg(area.alias("_a"), term.alias("_s"), F.first("n_pos").alias("n_pos"),
+                                 F.first("n_neg").alias("n_neg"))
+             .select(*keys, (F.col("_a") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"),
+                     (F.col("_s") / F.col("n_pos")).alias("pr_auc")))
+
+
 # M16 / M17 ------------------------------------------------------------------
 def roc_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     c = _with_cum(df, y, p, ())
@@ -96,21 +108,24 @@ def _count_leq(p: Column, grid: list[float]) -> Column:
     return g
 
 
-def f1_optimal(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Best F1 over the 81 thresholds; first (lowest) threshold wins ties;
-    threshold 0.5 and F1 0 when F1 is never positive; zero division is 0."""
-    spark = df.sparkSession
+def f1_optimal(df: DataFrame, y: str = "y", p: str = "p", keys: tuple[str, ...] = ()
+               ) -> DataFrame:
+    """Best F1 over the 81 thresholds, per group; first (lowest) threshold wins
+    ties; threshold 0.5 and F1 0 when F1 is never positive; zero division is 0."""
     n = len(F1_THRESHOLDS)
     yy = F.col(y).cast("long")
-    counts = (df.groupBy(_count_leq(F.col(p), F1_THRESHOLDS).alias("g"))
+    counts = (df.groupBy(*keys, _count_leq(F.col(p), F1_THRESHOLDS).alias("g"))
                 .agg(F.sum(yy).alias("pos"), F.sum(1 - yy).alias("neg")))
-    # dense 0..n grid of bucket numbers (n + 1 rows) joined to the counts
-    grid = spark.range(n + 1).select(F.col("id").cast("int").alias("g"))
-    dense = grid.join(F.broadcast(counts), "g", "left").na.fill(0, ["pos", "neg"])
-    suffix = Window.partitionBy(F.lit(0)).orderBy(F.desc("g")) \
-                   .rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(F.lit(0))
-    t = dense.select("g", F.sum("pos").over(suffix).alias("tp"),
+    # a dense 0..n grid of bucket numbers per group: zero rows fill the gaps
+    groups = counts.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    grid = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("g"),
+                         F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
+    dense = counts.unionByName(grid).groupBy(*keys, "g").agg(F.sum("pos").alias("pos"),
+                                                             F.sum("neg").alias("neg"))
+    part = list(keys) or [F.lit(0)]                    # n + 1 rows per group
+    suffix = Window.partitionBy(*part).orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, 0)
+    tot = Window.partitionBy(*part)
+    t = dense.select(*keys, "g", F.sum("pos").over(suffix).alias("tp"),
                      F.sum("neg").over(suffix).alias("fp"), F.sum("pos").over(tot).alias("n_pos"))
     t = t.where(F.col("g") >= 1)                      # threshold index i = g - 1
     f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp")
@@ -119,17 +134,17 @@ def f1_optimal(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
                   F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     rec = F.when(F.col("n_pos") > 0, F.col("tp") / F.col("n_pos")).otherwise(0.0)
     arr = F.array(*[F.lit(v) for v in F1_THRESHOLDS])
-    t = t.select("g", f1.alias("f1"), prec.alias("precision"), rec.alias("recall"),
+    t = t.select(*keys, "g", f1.alias("f1"), prec.alias("precision"), rec.alias("recall"),
                  F.element_at(arr, F.col("g")).alias("threshold"))
     default_g = F1_THRESHOLDS.index(DEFAULT_F1_THRESHOLD) + 1
-    best = t.agg(F.max_by(F.struct("f1", "precision", "recall", "threshold"),
-                          F.struct(F.col("f1"), -F.col("g"))).alias("b"),
-                 F.max("f1").alias("mf1"),
-                 F.max_by(F.struct("precision", "recall"),
-                          (F.col("g") == default_g).cast("int")).alias("d"))
+    best = t.groupBy(*keys).agg(F.max_by(F.struct("f1", "precision", "recall", "threshold"),
+                                         F.struct(F.col("f1"), -F.col("g"))).alias("b"),
+                                F.max("f1").alias("mf1"),
+                                F.max_by(F.struct("precision", "recall"),
+                                         (F.col("g") == default_g).cast("int")).alias("d"))
     pos = F.col("mf1") > 0
     return best.select(
-        F.when(pos, F.col("b.f1")).otherwise(0.0).alias("f1"),
+        *keys, F.when(pos, F.col("b.f1")).otherwise(0.0).alias("f1"),
         F.when(pos, F.col("b.precision")).otherwise(F.col("d.precision")).alias("precision"),
         F.when(pos, F.col("b.recall")).otherwise(F.col("d.recall")).alias("recall"),
         F.when(pos, F.col("b.threshold")).otherwise(F.lit(DEFAULT_F1_THRESHOLD))
@@ -192,11 +207,9 @@ METRIC_NAMES = ("roc_auc", "pr_auc", "f1", "precision", "recall")
 
 def metric_row(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row: roc_auc, pr_auc, f1, precision, recall, optimal_threshold."""
-    a = roc_auc(df, y, p).withColumn("_j", F.lit(0))
-    b = average_precision(df, y, p).withColumn("_j", F.lit(0))
+    a = curve_metrics(df, y, p).withColumn("_j", F.lit(0))
     c = f1_optimal(df, y, p).withColumn("_j", F.lit(0))
-    # three one-row frames
-    return a.join(F.broadcast(b), "_j").join(F.broadcast(c), "_j").drop("_j")
+    return a.join(F.broadcast(c), "_j").drop("_j")            # two one-row frames
 
 
 def metrics_long(scored: DataFrame, models: dict[str, str], y: str = "y") -> DataFrame:
@@ -221,10 +234,9 @@ def best_model(long_metrics: DataFrame, by: str = "pr_auc") -> DataFrame:
 
 
 def metric_history(df: DataFrame, version: str, y: str = "y", p: str = "p") -> DataFrame:
-    """ROC-AUC / PR-AUC per model version and change from the previous."""
-    a = roc_auc(df, y, p, (version,))
-    b = average_precision(df, y, p, (version,))
-    h = a.join(b, version)
+    """The six metrics of every model version and the change of the two
+    areas from the version before."""
+    h = curve_metrics(df, y, p, (version,)).join(f1_optimal(df, y, p, (version,)), version)
     w = Window.partitionBy(F.lit(0)).orderBy(version)   # one row per version
     return h.withColumns({"roc_auc_delta": F.col("roc_auc") - F.lag("roc_auc").over(w),
                           "pr_auc_delta": F.col("pr_auc") - F.lag("pr_auc").over(w)})

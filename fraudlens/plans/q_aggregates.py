@@ -178,6 +178,18 @@ def a09_hist_by_class(spark, sf):
     return _r6_all(h)
 
 
+@query("a09_hist_log_amount_100", _hist_sql("ln(1 + TransactionAmt)", 100, None))
+def a09_hist_log_amount_100(spark, sf):
+    h = A.equal_width_histogram(V.txn_orders(spark, sf), F.log1p("TransactionAmt"), 100)
+    return _r6_all(h)
+
+
+@query("a09_hist_by_class_60", _hist_sql("TransactionAmt", 60, "isFraud"))
+def a09_hist_by_class_60(spark, sf):
+    h = A.equal_width_histogram(V.txn_orders(spark, sf), "TransactionAmt", 60, by="isFraud")
+    return _r6_all(h)
+
+
 EVF = S.with_ctes(S.TXN_EVENTS, S.EVENTS_FEATURES)
 ORF = S.with_ctes(S.TXN_ORDERS, S.ORDERS_FEATURES)
 

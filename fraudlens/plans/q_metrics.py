@@ -81,25 +81,24 @@ def m09_pr_auc(spark, sf):
                                                                 .alias("pr_auc"))
 
 
-def _f1_sql(p: str = "p") -> str:
+def _f1_sql(p: str = "p", tag: str = "", key: str | None = None) -> str:
+    """CTEs that end in ``f1row<tag>``: one row, or one per ``key``."""
     vals = ", ".join(f"({i}, {t!r})" for i, t in enumerate(M.F1_THRESHOLDS))
+    k, by = (f"{key}, ", f"PARTITION BY {key} ") if key else ("", "")
     return f""",
-th AS (SELECT * FROM (VALUES {vals}) t(i, thr)),
-m AS (SELECT i, thr,
+th{tag} AS (SELECT * FROM (VALUES {vals}) t(i, thr)),
+m{tag} AS (SELECT {k}i, thr,
              sum(CASE WHEN {p} >= thr AND y = 1 THEN 1 ELSE 0 END) AS tp,
-             sum(CASE WHEN {p} >= thr AND y = 0 THEN 1 ELSE 0 END) AS fp,
-             (SELECT sum(y) FROM scored) AS n_pos
-      FROM th, scored GROUP BY i, thr),
-f AS (SELECT *, CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + (n_pos - tp)) ELSE 0.0 END AS f1,
+             sum(CASE WHEN {p} >= thr AND y = 0 THEN 1 ELSE 0 END) AS fp, sum(y) AS n_pos
+      FROM th{tag}, scored GROUP BY {k}i, thr),
+f{tag} AS (SELECT *, CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + (n_pos - tp)) ELSE 0.0 END AS f1,
              CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS prec,
-             CASE WHEN n_pos > 0 THEN tp / n_pos ELSE 0.0 END AS rec FROM m),
-best AS (SELECT * FROM f WHERE f1 > 0 ORDER BY f1 DESC, i LIMIT 1),
-dflt AS (SELECT * FROM f WHERE thr = {M.DEFAULT_F1_THRESHOLD!r}),
-f1row AS (
-  SELECT coalesce((SELECT f1 FROM best), 0.0) AS f1,
-         coalesce((SELECT prec FROM best), (SELECT prec FROM dflt)) AS precision,
-         coalesce((SELECT rec FROM best), (SELECT rec FROM dflt)) AS recall,
-         coalesce((SELECT thr FROM best), {M.DEFAULT_F1_THRESHOLD!r}) AS optimal_threshold)"""
+             CASE WHEN n_pos > 0 THEN tp / n_pos ELSE 0.0 END AS rec FROM m{tag}),
+r{tag} AS (SELECT *, row_number() OVER ({by}ORDER BY f1 DESC,
+             CASE WHEN f1 > 0 THEN i WHEN thr = {M.DEFAULT_F1_THRESHOLD!r} THEN -1 ELSE i END) AS r
+      FROM f{tag}),
+f1row{tag} AS (
+  SELECT {k}f1, prec AS precision, rec AS recall, thr AS optimal_threshold FROM r{tag} WHERE r = 1)"""
 
 
 @query("m10_f1_optimal_threshold", SCORED + _f1_sql() + """
@@ -117,13 +116,15 @@ def _models_sql() -> str:
         parts.append(f"""
 SELECT '{name}' AS model,
        (SELECT round({AUC_EXPR}, 6) FROM cc_{col}) AS roc_auc,
-       (SELECT round({AP_EXPR}, 6) FROM cc_{col}) AS pr_auc""")
+       (SELECT round({AP_EXPR}, 6) FROM cc_{col}) AS pr_auc,
+       round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall
+FROM f1row_{col}""")
     ctes = []
     for col in ("p", "p_amount", "p_zscore"):
         c = _cum_sql(col).replace("g AS (", f"g_{col} AS (").replace("FROM g)", f"FROM g_{col})") \
                           .replace("c AS (", f"c_{col} AS (").replace("FROM c)", f"FROM c_{col})") \
                           .replace("cc AS (", f"cc_{col} AS (")
-        ctes.append(c)
+        ctes.append(c + _f1_sql(col, f"_{col}"))
     return SCORED + "".join(ctes) + "\nSELECT * FROM (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -134,10 +135,8 @@ MODELS = {"scorecard": "p", "amount_only": "p_amount", "zscore_only": "p_zscore"
 def a17_model_comparison(spark, sf):
     s = scored_orders(spark, sf)
     long = M.metrics_long(s, MODELS)
-    piv = A.pivot_metrics(long.where(F.col("metric").isin("roc_auc", "pr_auc")),
-                          metrics=("roc_auc", "pr_auc"))
-    return piv.select("model", r6(F.col("roc_auc")).alias("roc_auc"),
-                      r6(F.col("pr_auc")).alias("pr_auc"))
+    piv = A.pivot_metrics(long.where(F.col("metric").isin(*M.METRIC_NAMES)))
+    return piv.select("model", *[r6(F.col(m)).alias(m) for m in M.METRIC_NAMES])
 
 
 @query("m11_best_model", "SELECT model AS best_model, pr_auc FROM (" +
@@ -232,15 +231,22 @@ def m06_class_weights(spark, sf):
                     "fixed_weight")
 
 
-@query("m25_metric_history", SCORED + _cum_sql(keys="version") + f"""
-SELECT version, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc,
+_HISTORY = SCORED + _cum_sql(keys="version") + _f1_sql(key="version") + f""",
+h AS (SELECT a.*, f.f1, f.precision, f.recall, f.optimal_threshold
+      FROM (SELECT version, {AUC_EXPR} AS roc_auc, {AP_EXPR} AS pr_auc FROM cc GROUP BY version) a
+      JOIN f1row f USING (version))"""
+SIX_METRICS = (*M.METRIC_NAMES, "optimal_threshold")
+
+
+@query("m25_metric_history", _HISTORY + """
+SELECT version, """ + ", ".join(f"round({m}, 6) AS {m}" for m in SIX_METRICS) + """,
        round(roc_auc - lag(roc_auc) OVER (ORDER BY version), 6) AS roc_auc_delta,
        round(pr_auc - lag(pr_auc) OVER (ORDER BY version), 6) AS pr_auc_delta
-FROM (SELECT version, {AUC_EXPR} AS roc_auc, {AP_EXPR} AS pr_auc FROM cc GROUP BY version)""")
+FROM h""")
 def m25_metric_history(spark, sf):
     h = M.metric_history(scored_orders(spark, sf), "version")
     return h.select("version", *[r6(F.col(c)).alias(c) for c in
-                                 ("roc_auc", "pr_auc", "roc_auc_delta", "pr_auc_delta")])
+                                 (*SIX_METRICS, "roc_auc_delta", "pr_auc_delta")])
 
 
 # M01 / M02 ------------------------------------------------------------------
@@ -317,18 +323,15 @@ def x01_global_index(spark, sf):
 K04_VERSION = 1998
 
 
-@query("k04_model_metrics", SCORED + _cum_sql(keys="version") + f""",
-h AS (SELECT version, {AUC_EXPR} AS roc_auc, {AP_EXPR} AS pr_auc FROM cc GROUP BY version)
-SELECT version, metric, round(value, 6) AS value FROM (
-  SELECT version, 'roc_auc' AS metric, roc_auc AS value FROM h
-  UNION ALL SELECT version, 'pr_auc', pr_auc FROM h)
+@query("k04_model_metrics", _HISTORY + """
+SELECT version, metric, round(value, 6) AS value FROM (""" + " UNION ALL ".join(
+    f"SELECT version, '{m}' AS metric, {m} AS value FROM h" for m in SIX_METRICS) + f""")
 WHERE version = {K04_VERSION} ORDER BY metric""")
 def k04_model_metrics(spark, sf):
     """Stored metrics of one model version (the per-version history, M25)."""
     h = M.metric_history(scored_orders(spark, sf), "version")
-    long = h.select("version", F.explode(F.array(
-        F.struct(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")),
-        F.struct(F.lit("pr_auc").alias("metric"), F.col("pr_auc").alias("value")))).alias("m"))
+    long = h.select("version", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in SIX_METRICS])).alias("m"))
     return (long.where(F.col("version") == K04_VERSION)
                 .select("version", "m.metric", r6(F.col("m.value")).alias("value"))
                 .orderBy("metric"))

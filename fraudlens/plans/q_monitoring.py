@@ -8,7 +8,7 @@ from fraudlens.operators import monitoring as MO
 from fraudlens.plans import sql as S
 from fraudlens.plans.q_aggregates import _cum_hist_sql
 from fraudlens.plans.q_features import r6
-from fraudlens.plans.q_rules import RS, events_chain_sql, events_decided
+from fraudlens.plans.q_rules import RS, events_chain_sql, stored_decisions
 from fraudlens.plans.registry import query
 from fraudlens.sources import views as V
 
@@ -16,7 +16,7 @@ EV = events_chain_sql(RS)
 
 
 def decided_ts(spark, sf):
-    d = events_decided(spark, sf)
+    d = stored_decisions(spark, sf)
     return d.withColumn("ts", F.timestamp_seconds(F.lit(V.EVENTS_EPOCH) + F.col("TransactionDT")))
 
 

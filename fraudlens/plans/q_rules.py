@@ -1,6 +1,8 @@
 """Queries for the rule engine and decisions."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from fraudlens.operators import aggregations as A
@@ -10,6 +12,7 @@ from fraudlens.plans import sql as S
 from fraudlens.plans import sql_rules as SR
 from fraudlens.plans.q_aggregates import _cum_hist_sql
 from fraudlens.plans.registry import query
+from fraudlens.session import scratch_path
 from fraudlens.sources import views as V
 
 # Velocity limits low enough to fire on the driver's event rates
@@ -103,6 +106,21 @@ def orders_chain_sql(rs: R.RuleSet) -> str:
 # ---------------------------------------------------------------------------
 # Spark side
 # ---------------------------------------------------------------------------
+_STORED: dict[tuple, str] = {}
+
+
+def stored_decisions(spark, sf, rs: R.RuleSet | None = None):
+    """The decided events as a table, scored once per session: what reports,
+    alerts and lookups read, so their filters and columns reach the scan."""
+    rs = rs or R.load_rules()
+    key = (spark.sparkContext.applicationId, sf, json.dumps(rs.rules, sort_keys=True, default=str))
+    if key not in _STORED:
+        path = scratch_path(spark, "decisions")
+        events_decided(spark, sf, rs).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def events_decided(spark, sf, rs: R.RuleSet | None = None):
     txn = V.txn_events(spark, sf).withColumns(V.location_columns())
     return D.scoring_frame(txn, rs or R.load_rules(), cards=V.card_countries(spark, sf),

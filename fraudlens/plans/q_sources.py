@@ -9,7 +9,7 @@ from fraudlens.functions import features as fx
 from fraudlens.operators import rules as R
 from fraudlens.operators import store as ST
 from fraudlens.plans import sql as S
-from fraudlens.plans.q_rules import RS, events_chain_sql, events_decided
+from fraudlens.plans.q_rules import RS, events_chain_sql, stored_decisions
 from fraudlens.plans.registry import query
 from fraudlens.session import scratch_path
 from fraudlens.sources import io as IO
@@ -161,12 +161,47 @@ SELECT transaction_id,
          AS score_text
 FROM al""")
 def f15_alert_payload(spark, sf):
-    a = ST.alerts_table(events_decided(spark, sf))
+    a = ST.alerts_table(stored_decisions(spark, sf))
     s = F.col("fraud_score")
     return a.select("transaction_id", *[c.alias(n) for n, c in fx.alert_colours(s).items()],
                     fx.score_text(s).alias("score_text"))
 
 
+_SCORE_TEXT = """CAST(CAST(round_even(fraud_score * 10000, 0) AS BIGINT) // 10000 AS VARCHAR) || '.' ||
+  lpad(CAST(CAST(round_even(fraud_score * 10000, 0) AS BIGINT) % 10000 AS VARCHAR), 4, '0')"""
+
+
+@query("f15_alert_bodies", events_chain_sql(RS) + f"""
+SELECT CAST(TransactionID AS VARCHAR) AS transaction_id,
+       'Fraud alert: {ST.ALERT_TYPE_BLOCK}' AS slack_title, explanation AS slack_text,
+       {_SCORE_TEXT} AS slack_score, '{fx.PRODUCT}' AS slack_footer,
+       explanation AS discord_text,
+       CASE WHEN fraud_score >= {fx.ALERT_BLOCK_SCORE!r} THEN {0xFF0000}
+            WHEN fraud_score >= {fx.ALERT_REVIEW_SCORE!r} THEN {0xFF9900} ELSE {0x36A64F} END
+         AS discord_color, false AS discord_time_inline,
+       'MessageCard' AS teams_type, CAST(TransactionID AS VARCHAR) AS teams_id,
+       '{ST.ALERT_TYPE_BLOCK}' AS webhook_type, fraud_score AS webhook_score
+FROM decided WHERE decision = 'BLOCK'""")
+def f15_alert_bodies(spark, sf):
+    a = ST.alerts_table(stored_decisions(spark, sf))
+    bodies = fx.alert_payloads(F.col("alert_type"), F.col("message"), F.col("fraud_score"),
+                               F.col("transaction_id"), F.lit("2024-01-01T00:00:00+00:00"))
+    b = a.select("transaction_id", *[c.alias(n) for n, c in bodies.items()])
+    get = lambda body, path: F.get_json_object(body, path)
+    return b.select(
+        "transaction_id", get("slack", "$.attachments[0].title").alias("slack_title"),
+        get("slack", "$.attachments[0].text").alias("slack_text"),
+        get("slack", "$.attachments[0].fields[1].value").alias("slack_score"),
+        get("slack", "$.attachments[0].footer").alias("slack_footer"),
+        get("discord", "$.embeds[0].description").alias("discord_text"),
+        get("discord", "$.embeds[0].color").cast("int").alias("discord_color"),
+        get("discord", "$.embeds[0].fields[2].inline").cast("boolean").alias("discord_time_inline"),
+        get("teams", "$['@type']").alias("teams_type"),
+        get("teams", "$.sections[0].facts[0].value").alias("teams_id"),
+        get("webhook", "$.alert_type").alias("webhook_type"),
+        get("webhook", "$.fraud_score").cast("double").alias("webhook_score"))
+
+
 # S02 / S03 / S13 round trips --------------------------------------------------
 IDENTITY_SCHEMA = T.StructType([T.StructField("TransactionID", T.LongType()),
                                 T.StructField("id_01", T.DoubleType()),

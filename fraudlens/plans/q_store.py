@@ -9,7 +9,7 @@ from fraudlens.operators import rules as R
 from fraudlens.operators import store as ST
 from fraudlens.plans import sql as S
 from fraudlens.plans import sql_rules as SR
-from fraudlens.plans.q_rules import RS, RS_LOW, events_chain_sql, events_decided, rule_ids
+from fraudlens.plans.q_rules import RS, RS_LOW, events_chain_sql, stored_decisions, rule_ids
 from fraudlens.plans.registry import query
 from fraudlens.sources import views as V
 
@@ -20,13 +20,13 @@ LOOKUP_ID = 42
 
 
 def _preds(spark, sf):
-    return ST.predictions_table(events_decided(spark, sf), MODEL)
+    return ST.predictions_table(stored_decisions(spark, sf), MODEL)
 
 
 @query("s06_decision_sink", EV + """
 SELECT CAST(TransactionID AS VARCHAR) AS key, decision, fraud_score FROM decided""")
 def s06_decision_sink(spark, sf):
-    rec = D.scoring_record(events_decided(spark, sf))
+    rec = D.scoring_record(stored_decisions(spark, sf))
     msg = rec.select(F.col("transaction_id").alias("key"),
                      F.to_json(F.struct(*rec.columns)).alias("value"))
     return msg.select("key", F.get_json_object("value", "$.decision").alias("decision"),
@@ -40,7 +40,7 @@ SELECT '{ST.ALERT_TYPE_BLOCK}' AS alert_type, CAST(TransactionID AS VARCHAR) AS
        false AS delivered
 FROM decided WHERE decision = 'BLOCK'""")
 def s08_alerts(spark, sf):
-    a = ST.alerts_table(events_decided(spark, sf))
+    a = ST.alerts_table(stored_decisions(spark, sf))
     return a.drop("TransactionDT")
 
 
@@ -49,7 +49,7 @@ SELECT CAST(TransactionID AS VARCHAR) AS key, CAST(TransactionID AS VARCHAR) AS
        fraud_score, explanation AS message
 FROM decided WHERE decision = 'BLOCK'""")
 def s08_alert_messages(spark, sf):
-    m = ST.alert_message(ST.alerts_table(events_decided(spark, sf)))
+    m = ST.alert_message(ST.alerts_table(stored_decisions(spark, sf)))
     return m.select("key", F.get_json_object("value", "$.transaction_id").alias("transaction_id"),
                     F.get_json_object("value", "$.fraud_score").cast("double").alias("fraud_score"),
                     F.get_json_object("value", "$.message").alias("message"))
@@ -59,7 +59,7 @@ def s08_alert_messages(spark, sf):
 SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, TransactionDT, TransactionAmt,
        ProductCD, card1 FROM decided""")
 def s10_transactions_table(spark, sf):
-    return ST.transactions_table(events_decided(spark, sf)).drop("raw_features")
+    return ST.transactions_table(stored_decisions(spark, sf)).drop("raw_features")
 
 
 @query("s10_predictions_table", EV + f"""
@@ -76,7 +76,7 @@ def s10_predictions_table(spark, sf):
 @query("j06_prediction_transaction_join", EV + """
 SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, TransactionAmt, decision FROM decided""")
 def j06_prediction_transaction_join(spark, sf):
-    d = events_decided(spark, sf)
+    d = stored_decisions(spark, sf)
     t = ST.transactions_table(d)
     p = ST.predictions_table(d, MODEL)
     return t.join(p, "transaction_id").select("transaction_id", "TransactionAmt", "decision")
@@ -86,7 +86,7 @@ def j06_prediction_transaction_join(spark, sf):
 SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, 'FRAUD_BLOCKED' AS alert_type,
        TransactionAmt FROM decided WHERE decision = 'BLOCK'""")
 def j07_alert_transaction_join(spark, sf):
-    d = events_decided(spark, sf)
+    d = stored_decisions(spark, sf)
     a = ST.alerts_table(d).select("transaction_id", "alert_type")
     t = ST.transactions_table(d).select("transaction_id", "TransactionAmt")
     return a.join(t, "transaction_id", "left")
@@ -96,7 +96,7 @@ def j07_alert_transaction_join(spark, sf):
 SELECT 'prediction' AS entity_type, CAST(TransactionID AS VARCHAR) AS entity_id,
        'create' AS action, 'scoring_job' AS actor, decision FROM decided""")
 def u06_audit_records(spark, sf):
-    a = ST.audit_table(events_decided(spark, sf))
+    a = ST.audit_table(stored_decisions(spark, sf))
     return a.select("entity_type", "entity_id", "action", "actor",
                     F.get_json_object("after_state", "$.decision").alias("decision"))
 
@@ -119,7 +119,7 @@ def u05_insert_unique(spark, sf):
 
 def _rules_with_hits_spark(spark, sf, rs):
     rules = ST.with_hit_columns(R.rules_frame(spark, rs))
-    d = events_decided(spark, sf, rs).withColumn(
+    d = stored_decisions(spark, sf, rs).withColumn(
         "TransactionDT", F.col("TransactionDT").cast("long"))
     return ST.increment_hits(rules, d)
 
@@ -168,7 +168,7 @@ FROM decided d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l
   ON CAST(d.TransactionID AS VARCHAR) = CAST(l.doc_id AS VARCHAR)
 WHERE d.decision = 'BLOCK'""")
 def u04_mark_delivered(spark, sf):
-    alerts = ST.alerts_table(events_decided(spark, sf))
+    alerts = ST.alerts_table(stored_decisions(spark, sf))
     acks = V.read(spark, sf, "labels").select(F.col("doc_id").cast("string")
                                               .alias("transaction_id"))
     return ST.mark_delivered(alerts, acks).select("transaction_id", "delivered")
@@ -189,7 +189,7 @@ SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, TransactionDT, fraud_sc
 FROM decided WHERE decision = 'BLOCK'
 ORDER BY TransactionDT DESC, TransactionID DESC LIMIT 100""")
 def k02_recent_by_decision(spark, sf):
-    d = events_decided(spark, sf).where(F.col("decision") == "BLOCK")
+    d = stored_decisions(spark, sf).where(F.col("decision") == "BLOCK")
     return ST.most_recent(d, "TransactionDT", 100, "TransactionID").select(
         F.col("TransactionID").cast("string").alias("transaction_id"), "TransactionDT",
         "fraud_score")
@@ -201,7 +201,7 @@ FROM decided d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.Transaction
 WHERE d.decision = 'BLOCK' AND l.doc_id IS NULL
 ORDER BY d.TransactionDT, d.TransactionID LIMIT 50""")
 def k03_undelivered_alerts(spark, sf):
-    alerts = ST.alerts_table(events_decided(spark, sf))
+    alerts = ST.alerts_table(stored_decisions(spark, sf))
     acks = V.read(spark, sf, "labels").select(F.col("doc_id").cast("string")
                                               .alias("transaction_id"))
     a = ST.mark_delivered(alerts, acks).where(~F.col("delivered"))
@@ -221,7 +221,7 @@ def k05_enabled_rules(spark, sf):
 SELECT rule_id, count(*) AS hits FROM (SELECT unnest(_ids) AS rule_id FROM decided)
 GROUP BY rule_id ORDER BY hits DESC, rule_id LIMIT 10""")
 def k06_top10_rules(spark, sf):
-    return ST.top_rules_by_hits(events_decided(spark, sf, RS_LOW)).select("rule_id", "hits")
+    return ST.top_rules_by_hits(stored_decisions(spark, sf, RS_LOW)).select("rule_id", "hits")
 
 
 @query("k07_point_lookup", EV + f"""
