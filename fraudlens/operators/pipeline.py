@@ -7,6 +7,7 @@ sees the statistics of the training data instead of one-row aggregates.
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from fraudlens.functions import features as fx
 from fraudlens.operators import aggregations as A
 from fraudlens.operators import windows as W
 from fraudlens.operators.rank import grouped_quantiles
-from fraudlens.session import join_small
+from fraudlens.session import join_small, materialize
 
 # Fixed category columns of the transaction schema (encoded when present).
 CATEGORICAL_COLS = ["ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain",
@@ -189,6 +190,12 @@ def narrowed_types(df: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
+def with_history(txn: DataFrame, strategy: str = "bucketed") -> DataFrame:
+    """Row-history features over a whole table, to be taken before it is split
+    in time: a later row's first event is its card's first event of all."""
+    return W.sequence_features(txn, strategy=strategy) if "card1" in txn.columns else txn
+
+
 # M03 ------------------------------------------------------------------------
 @dataclass
 class FeatureStats:
@@ -201,9 +208,10 @@ class FeatureStats:
     @classmethod
     def fit(cls, train: DataFrame, strategy: str = "bucketed") -> "FeatureStats":
         rf = row_features(train)
-        cs = A.card_stats(rf) if "card1" in rf.columns else None
-        ps = A.product_stats(rf) if "ProductCD" in rf.columns else None
-        codes = fit_category_codes(rf)
+        # fitted once, read by every transform
+        cs = materialize(A.card_stats(rf), "table") if "card1" in rf.columns else None
+        ps = materialize(A.product_stats(rf), "table") if "ProductCD" in rf.columns else None
+        codes = materialize(fit_category_codes(rf), "table")
         stats = cls(cs, ps, codes, {}, [])
         full = stats._engineer(train, strategy)
         stats.medians = fit_medians(full)
@@ -216,10 +224,29 @@ class FeatureStats:
             out = A.with_card_aggregations(out, stats=self.card_stats)
         if self.product_stats is not None:
             out = A.with_product_aggregations(out, stats=self.product_stats)
-        if "card1" in out.columns:
-            out = W.sequence_features(out, strategy=strategy)
+        if "card_txn_rank" not in out.columns:
+            out = with_history(out, strategy)
         return apply_category_codes(out, self.codes)
 
+    def save(self, path: str) -> None:
+        """Every fitted table and value, for scoring in another session."""
+        for name in ("card_stats", "product_stats", "codes"):
+            if getattr(self, name) is not None:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        values = json.dumps({"medians": self.medians, "feature_cols": self.feature_cols,
+                             "tables": [n for n in ("card_stats", "product_stats", "codes")
+                                        if getattr(self, n) is not None]})
+        spark = self.codes.sparkSession
+        spark.createDataFrame([(values,)], "v string").coalesce(1) \
+             .write.mode("overwrite").text(f"{path}/values")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "FeatureStats":
+        v = json.loads(spark.read.text(f"{path}/values").first()[0])
+        tables = {n: spark.read.parquet(f"{path}/{n}") for n in v["tables"]}
+        return cls(tables.get("card_stats"), tables.get("product_stats"), tables["codes"],
+                   v["medians"], v["feature_cols"])
+
     def transform(self, df: DataFrame, strategy: str = "bucketed",
                   keep: tuple[str, ...] = ("TransactionID", "isFraud")) -> DataFrame:
         out = fill_medians(self._engineer(df, strategy), self.medians)

@@ -92,6 +92,13 @@ def test_knn_matches_brute_force(spark):
             assert got[(qid, rank)] == nid
 
 
+def test_knn_with_equal_vectors_keeps_k_per_cell(spark):
+    df = spark.range(600).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    out = ML.knn_within(df, "id", "v", 3, block_rows=200).collect()
+    assert len(out) == 1800 and all(r["distance"] == 0.0 for r in out)
+    assert sorted(r["neighbor_id"] for r in out if r["vec_id"] == 50) == [0, 1, 2]
+
+
 def test_oversample_invariants(spark):
     e = V.read(spark, SF_MED, "embeddings").select(
         "vec_id", "embedding", (F.col("label") == 0).cast("int").alias("y"))
