@@ -157,15 +157,6 @@ def predict_label(score: Column, threshold: float) -> Column:
 
 
 # D08 ------------------------------------------------------------------------
-def rule_inputs(df: DataFrame, strategy: str = "bucketed") -> DataFrame:
-    """W04-W06 computed for real (the rule file names them as inputs)."""
-    from fraudlens.operators import windows as W
-    out = W.velocity_counts(df, strategy=strategy)
-    if "TransactionAmt" in out.columns:
-        out = W.amount_vs_avg(out, strategy=strategy)
-    return out
-
-
 def scoring_features(txn: DataFrame, strategy: str = "bucketed",
                      cards: DataFrame | None = None, stages: bool | str = True) -> DataFrame:
     """Only what the scorecard and the rules read: row features, card

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fraudlens.operators.rank import prefix_sums
-from fraudlens.session import materialize
+from fraudlens.session import join_small
 
 # Fixed grids (numpy.linspace values, written out by rule at import).
 F1_THRESHOLDS = [float(x) for x in np.linspace(0.1, 0.9, 81)]
@@ -32,10 +32,9 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p", keys: tuple[str, ...
 
 def _with_cum(df: DataFrame, y: str, p: str, keys: tuple[str, ...]) -> DataFrame:
     """Per distinct score: pos, neg, and counts strictly above / below it."""
-    # one row per distinct score: small next to the rows, reused twice below
-    g = materialize(score_counts(df, y, p, keys))
-    asc = prefix_sums(g, "p", ["pos", "neg"], keys)
-    tot = g.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    # one row per distinct score, written once by the range step
+    asc = prefix_sums(score_counts(df, y, p, keys), "p", ["pos", "neg"], keys)
+    tot = asc.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if keys:
         j = asc.join(tot, list(keys), "left")
     else:   # one-row totals: broadcast hash join on a constant key
@@ -198,7 +197,8 @@ def weight_column(df: DataFrame, y: str = "y", balanced: bool = True) -> DataFra
     w = class_weights(df, y).select(F.col("label").alias("_l"),
                                     F.col("balanced_weight" if balanced else "fixed_weight")
                                      .alias("weight"))
-    return df.join(F.broadcast(w), F.col(y).cast("int") == F.col("_l"), "left").drop("_l")
+    out = join_small(df.withColumn("_l", F.col(y).cast("int")), w, ["_l"])
+    return out.select(*df.columns, "weight")
 
 
 # Summary / comparison (M08-M11, A17, M25) ------------------------------------

@@ -48,16 +48,6 @@ def row_features(df: DataFrame) -> DataFrame:
     return out
 
 
-def score_features(txn: DataFrame, strategy: str = "bucketed") -> DataFrame:
-    """Row features + card/product statistics + sequence features (no encoding)."""
-    df = row_features(txn)
-    df = A.with_card_aggregations(df)
-    df = A.with_product_aggregations(df)
-    if "card1" in df.columns:
-        df = W.sequence_features(df, strategy=strategy)
-    return df
-
-
 # M01 ------------------------------------------------------------------------
 def _cat_text(c: str) -> F.Column:
     # pandas astype(str) turns a missing value into the text "nan"

@@ -16,10 +16,6 @@ ALERT_TYPE_BLOCK = "FRAUD_BLOCKED"
 UNKNOWN = "UNKNOWN"
 
 
-def _ts_seconds(dt: str, epoch: int) -> Column:
-    return (F.lit(epoch) + F.col(dt)).cast("long")
-
-
 # S10 ------------------------------------------------------------------------
 def transactions_table(decided: DataFrame, raw_cols: list[str] | None = None) -> DataFrame:
     raw_cols = raw_cols or [c for c in ("TransactionDT", "TransactionAmt", "ProductCD", "card1")
@@ -157,8 +153,3 @@ def decision_detail(predictions: DataFrame) -> DataFrame:
          .alias("triggered_rules"),
         F.coalesce(F.col("explanation"), F.lit("")).alias("explanation"),
         F.col("model_version"))
-
-
-def rank_within(df: DataFrame, part: str, order: list[Column], n: int) -> DataFrame:
-    w = Window.partitionBy(part).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

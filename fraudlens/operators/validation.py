@@ -46,11 +46,6 @@ def validate(df: DataFrame) -> DataFrame:
     return out.withColumn("is_valid", F.size("violations") == 0)
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    v = validate(df)
-    return v.where("is_valid").drop("violations", "is_valid"), v.where(~F.col("is_valid"))
-
-
 def batch_bounds(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     return (df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("n"))
               .withColumn("within_bounds", F.col("n").between(MIN_BATCH, MAX_BATCH)))

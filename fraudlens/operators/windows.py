@@ -96,7 +96,7 @@ def per_card(fn):
 # ---------------------------------------------------------------------------
 @per_card
 def sequence_features(df: DataFrame, key: str = KEY, dt: str = DT, id_col: str = ID,
-                      strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
+                      strategy: str = "bucketed", bucket_seconds: int = 3600) -> DataFrame:
     """Adds card_txn_rank, card_prev_dt, time_since_last_txn, rapid_succession."""
     if strategy == "direct":
         w = Window.partitionBy(key).orderBy(dt, id_col)
@@ -200,7 +200,7 @@ def velocity_counts(df: DataFrame, key: str = KEY, dt: str = DT, failed: str = "
 @per_card
 def amount_vs_avg(df: DataFrame, key: str = KEY, dt: str = DT, amt: str = "TransactionAmt",
                   id_col: str = ID, window_seconds: int = AVG_WINDOW_SECONDS,
-                  strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
+                  strategy: str = "bucketed", bucket_seconds: int = 3600) -> DataFrame:
     """amount_vs_avg_ratio = amt / avg(amt over [t - window, t - 1]); 1.0 without history."""
     a = F.col(amt)
     # exact decimal sums: prefix differences then equal a direct window sum
@@ -267,7 +267,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def sequence_and_geo(df: DataFrame, cards: DataFrame | None, key: str = KEY, dt: str = DT,
                      id_col: str = ID, max_kmh: float = MAX_TRAVEL_KMH,
-                     strategy: str = "bucketed", bucket_seconds: int = 86400) -> DataFrame:
+                     strategy: str = "bucketed", bucket_seconds: int = 3600) -> DataFrame:
     """W01-W03 and W07-W09 from one (card, bucket) shuffle."""
     return geo_features(df, cards, key=key, dt=dt, id_col=id_col, max_kmh=max_kmh,
                         strategy=strategy, bucket_seconds=bucket_seconds, with_sequence=True)
@@ -276,7 +276,7 @@ def sequence_and_geo(df: DataFrame, cards: DataFrame | None, key: str = KEY, dt:
 @per_card
 def geo_features(loc: DataFrame, cards: DataFrame | None = None, key: str = KEY,
                  dt: str = DT, id_col: str = ID, max_kmh: float = MAX_TRAVEL_KMH,
-                 strategy: str = "bucketed", bucket_seconds: int = 86400,
+                 strategy: str = "bucketed", bucket_seconds: int = 3600,
                  with_sequence: bool = False) -> DataFrame:
     """loc: TransactionID, TransactionDT, card1, lat, lon, txn_country
     cards: card1, home_country (the card's issuing country); joined on card1.

@@ -288,12 +288,37 @@ def m02_median_fill(spark, sf):
     return P.fill_medians(m, P.fit_medians(m, ["id_01", "id_02"]))
 
 
-@query("m03_feature_matrix")
+_M03_DOUBLES = ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "log_amount", "card1_card_amt_mean",
+                "card1_card_amt_std", "card1_card_amt_min", "card1_card_amt_max",
+                "card1_card_amt_median", "card_amt_zscore", "card_amt_vs_max", "TransactionAmt"]
+
+
+@query("m03_feature_matrix", S.with_ctes(
+    S.TXN_EVENTS, S.IDENTITY, S.EVENTS_FEATURES, S.card_stats_sql("ev_feat", "cs"),
+    S.sequence_sql("cs", "sq")) + """,
+prod AS (SELECT ProductCD AS p, count(TransactionAmt) AS prod_txn_count,
+                avg(TransactionAmt) AS prod_amt_mean, avg(isFraud) AS prod_fraud_rate
+         FROM ev_feat GROUP BY ProductCD),
+j AS (SELECT sq.*, i.id_01, i.id_02, prod.* FROM sq LEFT JOIN identity i USING (TransactionID)
+      LEFT JOIN prod ON prod.p = sq.ProductCD)
+SELECT TransactionID, isFraud, card1, TransactionDT, C1, failed,
+       CAST(dense_rank() OVER (ORDER BY coalesce(ProductCD, 'nan')) - 1 AS INTEGER) AS ProductCD,
+       CAST(dense_rank() OVER (ORDER BY coalesce(P_emaildomain, 'nan')) - 1 AS INTEGER) AS P_emaildomain,
+       CAST(dense_rank() OVER (ORDER BY coalesce(R_emaildomain, 'nan')) - 1 AS INTEGER) AS R_emaildomain,
+       round(coalesce(id_01, (SELECT median(id_01) FROM j)), 6) AS id_01,
+       round(coalesce(id_02, (SELECT median(id_02) FROM j)), 6) AS id_02,
+       hour, day_of_week, day_of_month, month, is_weekend, is_night, amount_cents,
+       is_round_amount, amount_digits, P_email_suspicious, P_email_same_as_R, R_email_suspicious,
+       R_email_same_as_R, card1_card_txn_count, prod_txn_count,
+       round(prod_amt_mean, 6) AS prod_amt_mean, round(prod_fraud_rate, 6) AS prod_fraud_rate,
+       card_txn_rank, time_since_last_txn, rapid_succession,
+       """ + ", ".join(f"round({c}, 6) AS {c}" for c in _M03_DOUBLES) + """
+FROM j""")
 def m03_feature_matrix(spark, sf):
     """Training-mode feature matrix of the event transactions (+ identity)."""
     df = P.merge_identity(V.txn_events(spark, sf), V.identity(spark, sf))
     X, _ = P.build_feature_matrix(df)
-    return X
+    return X.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in X.dtypes])
 
 
 # K08 ------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from fraudlens.plans import sql as S
 from fraudlens.plans import sql_rules as SR
 from fraudlens.plans.q_aggregates import _cum_hist_sql
 from fraudlens.plans.registry import query
-from fraudlens.session import scratch_path
+from fraudlens.session import _SCRATCH, scratch_path
 from fraudlens.sources import views as V
 
 # Velocity limits low enough to fire on the driver's event rates
@@ -114,7 +114,7 @@ def stored_decisions(spark, sf, rs: R.RuleSet | None = None):
     alerts and lookups read, so their filters and columns reach the scan."""
     rs = rs or R.load_rules()
     key = (spark.sparkContext.applicationId, sf, json.dumps(rs.rules, sort_keys=True, default=str))
-    if key not in _STORED:
+    if _STORED.get(key) not in _SCRATCH:
         path = scratch_path(spark, "decisions")
         events_decided(spark, sf, rs).write.parquet(path)
         _STORED[key] = path
