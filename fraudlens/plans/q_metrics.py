@@ -305,20 +305,22 @@ SELECT TransactionID, isFraud, card1, TransactionDT, C1, failed,
        CAST(dense_rank() OVER (ORDER BY coalesce(ProductCD, 'nan')) - 1 AS INTEGER) AS ProductCD,
        CAST(dense_rank() OVER (ORDER BY coalesce(P_emaildomain, 'nan')) - 1 AS INTEGER) AS P_emaildomain,
        CAST(dense_rank() OVER (ORDER BY coalesce(R_emaildomain, 'nan')) - 1 AS INTEGER) AS R_emaildomain,
-       round(coalesce(id_01, (SELECT median(id_01) FROM j)), 6) AS id_01,
-       round(coalesce(id_02, (SELECT median(id_02) FROM j)), 6) AS id_02,
+       round(coalesce(id_01, (SELECT median(id_01) FROM j)) + 1e-9, 6) AS id_01,
+       round(coalesce(id_02, (SELECT median(id_02) FROM j)) + 1e-9, 6) AS id_02,
        hour, day_of_week, day_of_month, month, is_weekend, is_night, amount_cents,
        is_round_amount, amount_digits, P_email_suspicious, P_email_same_as_R, R_email_suspicious,
        R_email_same_as_R, card1_card_txn_count, prod_txn_count,
-       round(prod_amt_mean, 6) AS prod_amt_mean, round(prod_fraud_rate, 6) AS prod_fraud_rate,
+       round(prod_amt_mean + 1e-9, 6) AS prod_amt_mean, round(prod_fraud_rate + 1e-9, 6) AS prod_fraud_rate,
        card_txn_rank, time_since_last_txn, rapid_succession,
-       """ + ", ".join(f"round({c}, 6) AS {c}" for c in _M03_DOUBLES) + """
+       """ + ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in _M03_DOUBLES) + """
 FROM j""")
 def m03_feature_matrix(spark, sf):
-    """Training-mode feature matrix of the event transactions (+ identity)."""
+    """Training-mode feature matrix of the event transactions (+ identity).
+    Values are moved by 1e-9 before rounding: a mean of cents can end in an
+    exact half, which the order of a sum would round either way."""
     df = P.merge_identity(V.txn_events(spark, sf), V.identity(spark, sf))
     X, _ = P.build_feature_matrix(df)
-    return X.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in X.dtypes])
+    return X.select(*[r6(F.col(c) + 1e-9).alias(c) if t == "double" else F.col(c) for c, t in X.dtypes])
 
 
 # K08 ------------------------------------------------------------------------
