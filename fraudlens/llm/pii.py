@@ -7,13 +7,15 @@ word before it and the word after it, each with the token's shape, are its
 two lexical patterns. Spark scores the graph of patterns and instances:
 
 * a pattern's confidence is the mean score of its occurrences, smoothed by
-  ``SMOOTHING`` failures, and zero with fewer than ``SUPPORT`` seeds;
-* an instance that is no seed scores the mean confidence of its occurrences'
-  patterns;
+  ``SMOOTHING`` failures; it needs ``SUPPORT`` known instances;
+* seeds are known and score 1; an instance with a pattern of at least
+  ``CONFIDENT`` is known from then on, of the kind that most known instances
+  of its best pattern have, and scores that pattern's confidence; others
+  score 0;
 
-``ROUNDS`` times over. Tokens whose occurrence has a pattern of at least
-``CONFIDENT`` and that score at least half of that are new spans, of the kind
-most of the pattern's seeds have.
+``ROUNDS`` times over, so patterns found by known instances find further ones
+and no round loses what an earlier one found. An occurrence with a confident
+pattern of its own is a new span, wherever else its instance occurs.
 
 Tokens with digits are few, so the graph is small against the texts: texts
 are scanned in place and only tokens with their neighbours are shuffled.
@@ -154,43 +156,43 @@ def occurrences(scanned: DataFrame) -> DataFrame:
         F.concat(F.lit(">"), context(F.col("right")), F.lit(" "), as_shape).alias("after")).distinct()
 
 
-def confident_patterns(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pattern, confidence, kind) and (instance, score) after all rounds."""
+def confident_patterns(tokens: DataFrame) -> DataFrame:
+    """(pattern, confidence, kind) of the confident patterns after all rounds."""
     edges = (tokens.select("instance", "seed", F.explode(F.array("before", "after")).alias("pattern"))
              .groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"),
                                                  F.max("seed").alias("seed")))
     edges = written(edges, "pattern-edges")
-    score = written(edges.groupBy("instance").agg(F.max(F.col("seed").isNotNull().cast("int"))
-                    .alias("is_seed")).withColumn("score", F.col("is_seed").cast("double")), "instances")
-    for _ in range(ROUNDS):
-        weighed = edges.join(score, "instance")
+    seeds = written(edges.groupBy("instance").agg(F.max("seed").alias("kind"))
+                    .where(F.col("kind").isNotNull()).withColumn("score", F.lit(1.0)), "instances")
+    known = seeds
+    for i in range(ROUNDS):
+        weighed = edges.drop("seed").join(known, "instance", "left")
         n = F.col("n")
         pattern = (weighed.groupBy("pattern").agg(
-            (F.sum(n * F.col("score")) / (F.sum(n) + SMOOTHING)).alias("mean"),
-            F.sum("is_seed").alias("seeds"), F.mode("seed").alias("kind"))
-            .select("pattern", "kind", F.when(F.col("seeds") >= SUPPORT, F.col("mean"))
-                    .otherwise(0.0).alias("confidence")))
+            (F.sum(n * F.coalesce("score", F.lit(0.0))) / (F.sum(n) + SMOOTHING)).alias("confidence"),
+            F.count("kind").alias("support"), F.mode("kind").alias("kind"))
+            .where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT))
+            .select("pattern", "confidence", "kind"))
         pattern = written(pattern, "patterns")
-        score = written(
-            edges.join(pattern.select("pattern", "confidence"), "pattern")
-            .groupBy("instance").agg((F.sum(n * F.col("confidence")) / F.sum(n)).alias("mean"))
-            .join(score.select("instance", "is_seed"), "instance")
-            .select("instance", "is_seed", F.when(F.col("is_seed") == 1, 1.0)
-                    .otherwise(F.col("mean")).alias("score")), "instances")
-    return pattern.where(F.col("confidence") >= CONFIDENT), score
+        if i + 1 < ROUNDS:
+            accepted = (edges.join(pattern, "pattern").groupBy("instance")
+                        .agg(F.max(F.struct("confidence", "kind")).alias("best"))
+                        .join(seeds, "instance", "left_anti")
+                        .select("instance", "best.kind", F.col("best.confidence").alias("score")))
+            known = written(seeds.unionByName(accepted), "instances")
+    return pattern
 
 
 def discovered(tokens: DataFrame) -> DataFrame:
     """(d, th, more): the new spans of each text that has some."""
-    patterns, score = confident_patterns(tokens)
+    patterns = confident_patterns(tokens)
     unseen = tokens.where(F.col("seed").isNull() & (F.col("size") >= LEAST_TOKEN))
     hit = None
     for side in ("before", "after"):
         part = unseen.join(patterns, F.col(side) == F.col("pattern")).select(
-            "d", "th", "start", "end", "instance", "confidence", "kind")
+            "d", "th", "start", "end", "confidence", "kind")
         hit = part if hit is None else hit.unionByName(part)
-    return (hit.join(score.where(F.col("score") >= CONFIDENT / 2).select("instance"), "instance")
-            .groupBy("d", "th", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    return (hit.groupBy("d", "th", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
             .groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct(
                 "start", F.col("best.kind").alias("kind"), "end"))).alias("more")))
 

@@ -443,6 +443,31 @@ def test_pii_context_finds_unseen_identifiers(spark):
     assert pii.mask(docs).columns == docs.columns
 
 
+def wrong_cards(n):
+    """Card-like numbers that fail the checksum."""
+    return [c for c in (f"4{i:03}987612345670" for i in range(900)) if not plain_spans(c)][:n]
+
+
+def test_pii_known_instances_support_further_patterns(spark):
+    """An unseen number is found after 'card' although it occurs elsewhere too;
+    numbers found there make 'acct' a pattern, which finds another one."""
+    rnd = random.Random(11)
+    a_word = lambda: rnd.choice(VOCAB)
+    rows = [(i, f"{a_word()} card {luhn_card(rnd)} {a_word()}") for i in range(300)]
+    *unseen, last, alone = wrong_cards(10)
+    for i, number in enumerate(unseen):
+        rows.append((1000 + i, f"{a_word()} card {number} {a_word()}"))
+        rows += [(2000 + 10 * i + k, f"{a_word()} acct {number} closed") for k in range(4)]
+    rows += [(3000, f"{a_word()} acct {last} {a_word()}"), (3001, f"{a_word()} {alone} {a_word()}")]
+    rows += [(3010 + k, f"{a_word()} {unseen[0]} {a_word()}") for k in range(3)]
+    got = {r.doc_id: r.s for r in pii.find(hard(spark, rows)).select(
+        "doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    for doc, text in rows:
+        at = re.search("[0-9]+", text)
+        want = "" if 3000 < doc else f"card:{at.start()}:{at.end()}"
+        assert got[doc] == want, text
+
+
 def test_pii_mask_joins_overlaps(spark):
     rows = [(1, "call +12 345 678 901 now"), (2, None), (3, "x 4111 1111 1111 1111 y a@b.cd")]
     got = {r.doc_id: r.text for r in pii.mask(hard(spark, rows)).collect()}
