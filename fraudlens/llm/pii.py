@@ -2,16 +2,16 @@
 
 The base patterns find e-mail addresses, IP addresses, payment cards and
 phone numbers with exact rules; these spans always stay and are the seeds.
-Every identifier-like token (it has a digit or an ``@``) is an instance; the
-word before it and the word after it, each with the token's shape, are its
-two lexical patterns. Spark scores the graph of patterns and instances:
+Every identifier-like token (it has a digit or an ``@``), or run of spaced
+numbers, is an instance; the word before it and the word after it are its two
+lexical patterns. Its own shape only chooses among the kinds. Spark scores the graph of patterns and instances:
 
 * a pattern's confidence is the mean score of its occurrences, smoothed by
   ``SMOOTHING`` failures; it needs ``SUPPORT`` known instances;
 * seeds are known and score 1; an instance with a pattern of at least
-  ``CONFIDENT`` is known from then on, of the kind that most known instances
-  of its best pattern have, and scores that pattern's confidence; others
-  score 0;
+  ``CONFIDENT`` is known from then on, of the kind that its shape fits and
+  that most known instances of its best pattern have, and scores that
+  pattern's confidence; others score 0;
 
 ``ROUNDS`` times over, so patterns found by known instances find further ones
 and no round loses what an earlier one found. An occurrence with a confident
@@ -48,6 +48,10 @@ PATTERNS = {
 #: What a text must contain for a kind's pattern to be tried at all.
 GATES = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
 TOKEN = rf"(?<!{WORD_CLASS})[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD_CLASS}*+"
+#: An identifier without the punctuation around it (an area code in
+#: parentheses keeps them), and what is before it.
+CORE = r"(?s)(?:\((?=[0-9]+\).)|[\p{L}\p{N}+@])(?:.*[\p{L}\p{N}])?"
+LEAD = r"(?s)^(?:(?!\([0-9]+\).)[^\p{L}\p{N}+@])*"
 
 ROUNDS = 3
 SMOOTHING = 2.0
@@ -55,7 +59,6 @@ SUPPORT = 5
 CONFIDENT = 0.8
 #: A neighbouring word and a token's shape are told by this many code points.
 CONTEXT = 40
-LEAST_TOKEN = 6
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -127,40 +130,94 @@ def context(word: Column) -> Column:
         F.left(lower_ascii(core), F.lit(CONTEXT)))
 
 
+def elements(text: Column, base: Column) -> Column:
+    """The identifier-like parts of a text: tokens of one base span are one
+    part, and so are neighbouring tokens without letters and ``@`` that only
+    blanks part (a spaced number). Each with the base span's kind (null: none),
+    the texts around it and the tokens before and after."""
+    def joined(p, x):
+        plain = lambda t: ~t["match"].rlike(r"[\p{L}@]")
+        spaced = (p["owner"].isNull() & x["owner"].isNull() & x["before"].rlike(r"^\x20+$")
+                  & plain(p) & plain(x) & ~p["match"].rlike("[.,;:!?]$"))
+        return F.coalesce(p["owner"] == x["owner"], spaced)
+
+    def part(t, a, b):
+        first, last = F.get(t, a), F.get(t, b)
+        rest = F.transform(F.slice(t, a + 2, b - a), lambda x: F.concat(x["before"], x["match"]))
+        return F.struct(
+            first["start"].alias("start"), F.concat(first["match"], F.array_join(rest, "")).alias("match"),
+            first["owner"]["kind"].alias("seed"), first["before"].alias("before"),
+            last["after"].alias("after"), F.coalesce(F.get(t, a - 1)["match"], F.lit("")).alias("previous"),
+            F.coalesce(F.get(t, b + 1)["match"], F.lit("")).alias("next"))
+
+    def parts(t):
+        fresh = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | ~joined(
+            F.get(t, i - 1), F.get(t, i)))
+        return let(fresh, lambda s: F.transform(s, lambda a, k: part(
+            t, a, F.coalesce(F.get(s, k + 1), F.size(t)) - 1)))
+
+    owner = lambda b, x: F.get(F.filter(b, lambda s: (s["start"] < x["end"])
+                                        & (s["end"] > x["start"])), F.lit(0)).alias("owner")
+    fields = ("start", "end", "match", "before", "after")
+    return let(base, lambda b: let(F.transform(found(text, TOKEN), lambda x: F.struct(
+        *[x[c].alias(c) for c in fields], owner(b, cored(x)))), parts))
+
+
+def cored(x: Column) -> Column:
+    """(start, end) of a token without the punctuation around it."""
+    start = x["start"] + F.char_length(F.regexp_extract(x["match"], LEAD, 0))
+    return F.struct(start.alias("start"), (start + F.char_length(
+        F.regexp_extract(x["match"], CORE, 0))).alias("end"))
+
+
+def fitting(core: Column) -> Column:
+    """Which kinds an identifier's shape is like, in their order."""
+    digits = F.char_length(F.regexp_replace(core, "[^0-9]", ""))
+    ip = core.rlike(r"^[0-9]+(?:\.[0-9]+){3}$|^[0-9A-Fa-f]*(?::[0-9A-Fa-f]*){2,}$")
+    number = ~core.rlike(r"[\p{L}@]") & ~ip
+    return F.array(F.contains(core, F.lit("@")), ip, number & digits.between(12, 19),
+                   number & (digits <= 15))
+
+
+def kind_of(fits: Column, counts: Column) -> Column:
+    """The kind that the shape fits and, of those, that most known instances
+    of the pattern have."""
+    ranked = F.zip_with(fits, counts, lambda f, n: F.struct(f.alias("f"), n.alias("n")))
+    order = F.transform(ranked, lambda x, k: F.struct(x["f"].alias("f"), x["n"].alias("n"), (-k).alias("k")))
+    return -F.array_max(order)["k"]
+
+
 def occurrences(scanned: DataFrame) -> DataFrame:
-    """Tokens of (d, th, text, base): their span, instance, two patterns, and
-    the kind of the base span that they overlap (null: none)."""
+    """Parts of (d, th, text, base): their span, instance, two patterns, the
+    kind of the base span that they overlap (null: none) and fitting kinds."""
     last = F.regexp_extract(F.right(F.col("x.before"), F.lit(2 * CONTEXT)),
                             f"({WORD_CLASS}+){SPACE_CLASS}*$", 1)
     first = F.regexp_extract(F.left(F.col("x.after"), F.lit(2 * CONTEXT)),
                              f"^{SPACE_CLASS}*({WORD_CLASS}+)", 1)
     tokens = (scanned.where(F.col("text").rlike("[0-9@]"))
-              .select("d", "th", "base", found(F.col("text"), TOKEN).alias("t"))
-              .select("d", "th", "base", "t", F.posexplode("t").alias("i", "x")))
-    near = lambda word, i: F.when(word != "", word).otherwise(
-        F.coalesce(F.get("t", i)["match"], F.lit("")))
-    core = F.regexp_extract("x.match", r"[\p{L}\p{N}+@](?:.*[\p{L}\p{N}])?", 0)
-    lead = F.char_length(F.regexp_extract("x.match", r"^[^\p{L}\p{N}+@]*", 0))
+              .select("d", "th", F.explode(elements(F.col("text"), F.col("base"))).alias("x")))
+    near = lambda word, other: F.when(word != "", word).otherwise(F.col(other))
     trimmed = tokens.select(
-        "d", "th", "base", (F.col("x.start") + lead).alias("start"), core.alias("core"),
-        near(last, F.col("i") - 1).alias("left"), near(first, F.col("i") + 1).alias("right"))
+        "d", "th", "x.seed",
+        (F.col("x.start") + F.char_length(F.regexp_extract("x.match", LEAD, 0))).alias("start"),
+        F.regexp_extract("x.match", CORE, 0).alias("core"),
+        near(last, "x.previous").alias("left"), near(first, "x.next").alias("right"))
     placed = trimmed.where(F.col("core") != "").withColumn(
         "end", F.col("start") + F.char_length("core"))
-    seed = F.get(F.filter("base", lambda b: (b["start"] < F.col("end"))
-                          & (b["end"] > F.col("start"))), F.lit(0))["kind"]
-    as_shape = shape(F.col("core"))
     return placed.select(
-        "d", "th", "start", "end", seed.alias("seed"), F.sha2("core", 256).alias("instance"),
-        F.char_length("core").alias("size"),
-        F.concat(F.lit("<"), context(F.col("left")), F.lit(" "), as_shape).alias("before"),
-        F.concat(F.lit(">"), context(F.col("right")), F.lit(" "), as_shape).alias("after")).distinct()
+        "d", "th", "start", "end", "seed", F.sha2("core", 256).alias("instance"),
+        fitting(F.col("core")).alias("fits"),
+        F.concat(F.lit("<"), context(F.col("left"))).alias("before"),
+        F.concat(F.lit(">"), context(F.col("right"))).alias("after")).distinct()
 
 
 def confident_patterns(tokens: DataFrame) -> DataFrame:
-    """(pattern, confidence, kind) of the confident patterns after all rounds."""
-    edges = (tokens.select("instance", "seed", F.explode(F.array("before", "after")).alias("pattern"))
+    """(pattern, confidence, counts) of the confident patterns after all rounds;
+    counts are of known instances by kind."""
+    edges = (tokens.select("instance", "seed", "fits", F.explode(F.array("before", "after")).alias("pattern"))
              .groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"),
-                                                 F.max("seed").alias("seed")))
+                                                 F.max("seed").alias("seed"),
+                                                 F.max("fits").alias("fits")))
     edges = written(edges, "pattern-edges")
     seeds = written(edges.groupBy("instance").agg(F.max("seed").alias("kind"))
                     .where(F.col("kind").isNotNull()).withColumn("score", F.lit(1.0)), "instances")
@@ -170,15 +227,16 @@ def confident_patterns(tokens: DataFrame) -> DataFrame:
         n = F.col("n")
         pattern = (weighed.groupBy("pattern").agg(
             (F.sum(n * F.coalesce("score", F.lit(0.0))) / (F.sum(n) + SMOOTHING)).alias("confidence"),
-            F.count("kind").alias("support"), F.mode("kind").alias("kind"))
+            F.count("kind").alias("support"),
+            F.array(*[F.count_if(F.col("kind") == k) for k in range(len(KINDS))]).alias("counts"))
             .where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT))
-            .select("pattern", "confidence", "kind"))
+            .select("pattern", "confidence", "counts"))
         pattern = written(pattern, "patterns")
         if i + 1 < ROUNDS:
             accepted = (edges.join(pattern, "pattern").groupBy("instance")
-                        .agg(F.max(F.struct("confidence", "kind")).alias("best"))
+                        .agg(F.max(F.struct("confidence", "counts")).alias("best"), F.max("fits").alias("fits"))
                         .join(seeds, "instance", "left_anti")
-                        .select("instance", "best.kind", F.col("best.confidence").alias("score")))
+                        .select("instance", kind_of(F.col("fits"), F.col("best.counts")).alias("kind"), F.col("best.confidence").alias("score")))
             known = written(seeds.unionByName(accepted), "instances")
     return pattern
 
@@ -186,15 +244,15 @@ def confident_patterns(tokens: DataFrame) -> DataFrame:
 def discovered(tokens: DataFrame) -> DataFrame:
     """(d, th, more): the new spans of each text that has some."""
     patterns = confident_patterns(tokens)
-    unseen = tokens.where(F.col("seed").isNull() & (F.col("size") >= LEAST_TOKEN))
     hit = None
     for side in ("before", "after"):
-        part = unseen.join(patterns, F.col(side) == F.col("pattern")).select(
-            "d", "th", "start", "end", "confidence", "kind")
+        part = tokens.where(F.col("seed").isNull()).join(patterns, F.col(side) == F.col("pattern")).select(
+            "d", "th", "start", "end", "fits", "confidence", "counts")
         hit = part if hit is None else hit.unionByName(part)
-    return (hit.groupBy("d", "th", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
-            .groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct(
-                "start", F.col("best.kind").alias("kind"), "end"))).alias("more")))
+    return (hit.groupBy("d", "th", "start", "end", "fits")
+            .agg(F.max(F.struct("confidence", "counts")).alias("best"))
+            .withColumn("kind", kind_of(F.col("fits"), F.col("best.counts")))
+            .groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("more")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

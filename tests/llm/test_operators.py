@@ -468,6 +468,26 @@ def test_pii_known_instances_support_further_patterns(spark):
         assert got[doc] == want, text
 
 
+def test_pii_context_finds_other_shapes(spark):
+    """Identifiers of shapes that no seed has, and spaced ones as a whole."""
+    rnd = random.Random(12)
+    a_word = lambda: rnd.choice(VOCAB)
+    seeds = {"phone": lambda: f"+1 ({rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}",
+             "card": lambda: luhn_card(rnd), "email": lambda: f"{a_word()}@{a_word()}.org"}
+    rows = [(i, f"{a_word()} my{kind} {make()} {a_word()}")
+            for i, (kind, make) in enumerate(x for x in seeds.items() for _ in range(80))]
+    unseen = [("phone", "555-123-4567"), ("phone", "(974) 555-3436"), ("phone", "974 555 3436"),
+              ("phone", "55512"), ("card", "4111 1111 1111 1112"), ("email", "name@host")]
+    rows += [(1000 + i, f"{a_word()} my{kind} {what}, {a_word()}") for i, (kind, what) in enumerate(unseen)]
+    rows += [(2000 + i, f"{a_word()} {a_word()} {what}, {a_word()}") for i, (_, what) in enumerate(unseen)]
+    docs = hard(spark, rows)
+    got = {r.doc_id: r.s for r in pii.find(docs).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    for i, (kind, what) in enumerate(unseen):
+        at = rows[len(rows) - 2 * len(unseen) + i][1].index(what)
+        assert got[1000 + i] == f"{kind}:{at}:{at + len(what)}", what
+        assert got[2000 + i] == "", what
+
+
 def test_pii_mask_joins_overlaps(spark):
     rows = [(1, "call +12 345 678 901 now"), (2, None), (3, "x 4111 1111 1111 1111 y a@b.cd")]
     got = {r.doc_id: r.text for r in pii.mask(hard(spark, rows)).collect()}
