@@ -57,7 +57,7 @@ ROUNDS = 3
 SMOOTHING = 2.0
 SUPPORT = 5
 CONFIDENT = 0.8
-#: A neighbouring word and a token's shape are told by this many code points.
+#: Neighbouring words and shapes of more code points are told by a hash.
 CONTEXT = 40
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -120,14 +120,14 @@ def shape(token: Column) -> Column:
     s = F.regexp_replace(token, r"\p{L}+", "a")
     for pattern, mark in (("[0-9]{7,}", "L"), ("[0-9]{4,6}", "M"), ("[0-9]{1,3}", "S")):
         s = F.regexp_replace(s, pattern, mark)
-    return F.left(s, F.lit(CONTEXT))
+    return s
 
 
 def context(word: Column) -> Column:
     """A neighbouring word as a pattern sees it."""
     core = F.regexp_replace(word, r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}]+$", "")
-    return F.when(core.rlike("[0-9@]"), shape(core)).otherwise(
-        F.left(lower_ascii(core), F.lit(CONTEXT)))
+    return let(F.when(core.rlike("[0-9@]"), shape(core)).otherwise(lower_ascii(core)), lambda c: F.when(
+        F.char_length(c) > CONTEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c))
 
 
 def elements(text: Column, base: Column) -> Column:
@@ -190,10 +190,9 @@ def kind_of(fits: Column, counts: Column) -> Column:
 def occurrences(scanned: DataFrame) -> DataFrame:
     """Parts of (d, th, text, base): their span, instance, two patterns, the
     kind of the base span that they overlap (null: none) and fitting kinds."""
-    last = F.regexp_extract(F.right(F.col("x.before"), F.lit(2 * CONTEXT)),
-                            f"({WORD_CLASS}+){SPACE_CLASS}*$", 1)
-    first = F.regexp_extract(F.left(F.col("x.after"), F.lit(2 * CONTEXT)),
-                             f"^{SPACE_CLASS}*({WORD_CLASS}+)", 1)
+    first_word = f"^{SPACE_CLASS}*+({WORD_CLASS}++)"
+    last = F.reverse(F.regexp_extract(F.reverse("x.before"), first_word, 1))
+    first = F.regexp_extract("x.after", first_word, 1)
     tokens = (scanned.where(F.col("text").rlike("[0-9@]"))
               .select("d", "th", F.explode(elements(F.col("text"), F.col("base"))).alias("x")))
     near = lambda word, other: F.when(word != "", word).otherwise(F.col(other))

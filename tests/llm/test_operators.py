@@ -488,6 +488,22 @@ def test_pii_context_finds_other_shapes(spark):
         assert got[2000 + i] == "", what
 
 
+def test_pii_contexts_are_whole_words(spark):
+    """A word is a number's neighbour over any number of blanks, and long words
+    that differ late are different."""
+    rnd, stem, gap = random.Random(13), "w" * 45, " " * 100
+    rows = [(i, f"77-x {rnd.choice(VOCAB)} {word} {luhn_card(rnd)} {rnd.choice(VOCAB)}")
+            for i, word in enumerate(["card", stem + "one"] * 60)]
+    unseen = wrong_cards(3)
+    rows += [(1000 + i, f"{rnd.choice(VOCAB)} {lead}{number} {rnd.choice(VOCAB)}")
+             for i, (lead, number) in enumerate(zip([f"card{gap}", f"{stem}one\n", f"{stem}two "], unseen))]
+    got = {r.doc_id: r.s for r in pii.find(hard(spark, rows)).select(
+        "doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    for i, number in enumerate(unseen):
+        at = dict(rows)[1000 + i].index(number)
+        assert got[1000 + i] == ("" if i == 2 else f"card:{at}:{at + len(number)}")
+
+
 def test_pii_mask_joins_overlaps(spark):
     rows = [(1, "call +12 345 678 901 now"), (2, None), (3, "x 4111 1111 1111 1111 y a@b.cd")]
     got = {r.doc_id: r.text for r in pii.mask(hard(spark, rows)).collect()}
