@@ -4,7 +4,8 @@ The base patterns find e-mail addresses, IP addresses, payment cards and
 phone numbers with exact rules; these spans always stay and are the seeds.
 Every identifier-like token (it has a digit or an ``@``), or run of spaced
 numbers, is an instance; the word before it and the word after it are its two
-lexical patterns. Its own shape only chooses among the kinds. Spark scores the graph of patterns and instances:
+lexical patterns, whatever its shape, which chooses among the kinds. Each
+word with the shape is a pattern too, for words that other numbers share. Spark scores the graph of patterns and instances:
 
 * a pattern's confidence is the mean score of its occurrences, smoothed by
   ``SMOOTHING`` failures; it needs ``SUPPORT`` known instances;
@@ -188,7 +189,7 @@ def kind_of(fits: Column, counts: Column) -> Column:
 
 
 def occurrences(scanned: DataFrame) -> DataFrame:
-    """Parts of (d, th, text, base): their span, instance, two patterns, the
+    """Parts of (d, th, text, base): their span, instance, patterns, the
     kind of the base span that they overlap (null: none) and fitting kinds."""
     first_word = f"^{SPACE_CLASS}*+({WORD_CLASS}++)"
     last = F.reverse(F.regexp_extract(F.reverse("x.before"), first_word, 1))
@@ -203,17 +204,18 @@ def occurrences(scanned: DataFrame) -> DataFrame:
         near(last, "x.previous").alias("left"), near(first, "x.next").alias("right"))
     placed = trimmed.where(F.col("core") != "").withColumn(
         "end", F.col("start") + F.char_length("core"))
+    before, after = F.concat(F.lit("<"), context(F.col("left"))), F.concat(F.lit(">"), context(F.col("right")))
+    own = F.concat(F.lit(" "), F.sha2(shape(F.col("core")), 256))
     return placed.select(
         "d", "th", "start", "end", "seed", F.sha2("core", 256).alias("instance"),
         fitting(F.col("core")).alias("fits"),
-        F.concat(F.lit("<"), context(F.col("left"))).alias("before"),
-        F.concat(F.lit(">"), context(F.col("right"))).alias("after")).distinct()
+        F.array(before, after, F.concat(before, own), F.concat(after, own)).alias("patterns")).distinct()
 
 
 def confident_patterns(tokens: DataFrame) -> DataFrame:
     """(pattern, confidence, counts) of the confident patterns after all rounds;
     counts are of known instances by kind."""
-    edges = (tokens.select("instance", "seed", "fits", F.explode(F.array("before", "after")).alias("pattern"))
+    edges = (tokens.select("instance", "seed", "fits", F.explode("patterns").alias("pattern"))
              .groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"),
                                                  F.max("seed").alias("seed"),
                                                  F.max("fits").alias("fits")))
@@ -243,11 +245,9 @@ def confident_patterns(tokens: DataFrame) -> DataFrame:
 def discovered(tokens: DataFrame) -> DataFrame:
     """(d, th, more): the new spans of each text that has some."""
     patterns = confident_patterns(tokens)
-    hit = None
-    for side in ("before", "after"):
-        part = tokens.where(F.col("seed").isNull()).join(patterns, F.col(side) == F.col("pattern")).select(
-            "d", "th", "start", "end", "fits", "confidence", "counts")
-        hit = part if hit is None else hit.unionByName(part)
+    hit = (tokens.where(F.col("seed").isNull())
+           .select("d", "th", "start", "end", "fits", F.explode("patterns").alias("pattern"))
+           .join(patterns, "pattern"))
     return (hit.groupBy("d", "th", "start", "end", "fits")
             .agg(F.max(F.struct("confidence", "counts")).alias("best"))
             .withColumn("kind", kind_of(F.col("fits"), F.col("best.counts")))

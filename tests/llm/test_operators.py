@@ -488,6 +488,17 @@ def test_pii_context_finds_other_shapes(spark):
         assert got[2000 + i] == "", what
 
 
+def test_pii_shapes_tell_numbers_after_a_shared_word(spark):
+    """A word before cards and years alike is a pattern for card shapes only."""
+    rnd = random.Random(14)
+    a_word = lambda: rnd.choice(VOCAB)
+    rows = [(i, f"{a_word()} number {luhn_card(rnd) if i % 2 else 1900 + i} {a_word()}") for i in range(120)]
+    rows.append((1000, f"x number {wrong_cards(1)[0]} y"))
+    got = {r.doc_id: r.s for r in pii.find(hard(spark, rows)).select(
+        "doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert got[1000] == "card:9:25" and not any(got[i] for i in range(0, 120, 2))
+
+
 def test_pii_contexts_are_whole_words(spark):
     """A word is a number's neighbour over any number of blanks, and long words
     that differ late are different."""
