@@ -257,6 +257,27 @@ def test_tree_shap_additive_and_exact(spark, kind):
     assert ex.where("rank = 1").count() == X.count()
 
 
+def test_ml_jobs_are_whole_by_default(spark, tmpdir_path):
+    """500 rounds and 30 trials of the full space; training searches and explains."""
+    import inspect
+    from fraudlens.plans import q_ml
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert default(q_ml.m07_candidate_models, "boost_rounds") == 500
+    assert default(q_ml.m26_training_pipeline, "boost_rounds") == 500
+    assert default(q_ml.m26_training_pipeline, "n_trials") == 30
+    assert default(q_ml.m12_random_search, "n_trials") == 30
+    assert default(q_ml.m12_random_search, "space") is None
+    kind = "gradient_boosted_trees"
+    out = ML.run_training(V.txn_orders(spark, SF_SMALL), tmpdir_path, names=[kind],
+                          params={kind: {"maxIter": 2, "maxDepth": 2}}, oversampled=False, n_trials=2,
+                          search_space={"maxIter": [1, 2], "stepSize": [0.1], "maxDepth": [2]})
+    assert {r.stage for r in out.collect()} == {"selection", "search", "final"}
+    report = lambda name: spark.read.json(f"{tmpdir_path}/reports/{name}")
+    assert report("search").count() == 2 and report("local_explanations").count() > 0
+    assert 0 < report("dependence").select("feature").distinct().count() <= 5
+    assert 0 < report("global_importance").count() <= 30
+
+
 def test_stream_dedup_within_watermark(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "dup")
     os.makedirs(src)
