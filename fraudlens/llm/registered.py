@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlens.llm import bpe, fingerprint, line_dedup, near_dedup, packing, pii, quality, sharding, url_lists, warc
+from fraudlens.llm import (bpe, fingerprint, line_dedup, main_text, merkle, near_dedup, packing, pii, quality,
+                           sharding, spelling, url_lists, warc)
 from fraudlens.llm.common import load
 
 QUERIES = {}
@@ -183,3 +184,118 @@ FROM w""")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(load(spark, sf_dir, "pages"), payloads=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ------------------------------------------------------- 11 HTML extraction
+@register("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"),
+                      F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+# ------------------------------------------------------ 12 Merkle manifest
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}) || ':' || {column} END"
+
+
+def _crc32(value: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      range(strlen({value})), lambda k: list_transform(range(8), lambda j:
+        (('0x' || substr(hex({value}), 2 * k + 1, 2))::BIGINT >> j) & 1)))),
+      lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))))"""
+
+
+_TAMPERED = (f"CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 "
+             "THEN replace(text, chr(10), '') ELSE text END")
+
+
+@register("op12_merkle_manifest", f"""
+WITH RECURSIVE t AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS id_, CAST(n_chars AS VARCHAR) AS nc_, {_TAMPERED} AS text_,
+         coalesce('=' || source, '') AS g
+  FROM documents),
+d AS (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i,
+         sha256({" || ".join(_field(c) for c in ["id_", "source", "lang", "nc_", "text"])}) AS leaf,
+         sha256({" || ".join(_field(c) for c in ["id_", "source", "lang", "nc_", "text_"])}) AS seen
+  FROM t),
+nodes AS (
+  SELECT 0 AS lvl, g, i, leaf AS h FROM d
+  UNION ALL
+  SELECT lvl + 1, g, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM nodes) WHERE c > 1 GROUP BY lvl, g, i // 3),
+subs AS (SELECT g, max(lvl) AS height, arg_max(h, lvl) AS subroot FROM nodes GROUP BY g),
+tops AS (
+  SELECT 0 AS lvl, row_number() OVER (ORDER BY g) - 1 AS i, subroot AS h FROM subs
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS c FROM tops) WHERE c > 1 GROUP BY lvl, i // 3),
+top AS (SELECT max(lvl) AS height, arg_max(h, lvl) AS root FROM tops),
+steps AS (
+  SELECT doc_id, s, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (WHERE n.i < here), '') AS l,
+         coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (WHERE n.i > here), '') AS r
+  FROM (SELECT d.doc_id, d.g, unnest(range(height)) AS s, d.i FROM d JOIN subs USING (g)) x,
+       LATERAL (SELECT x.i // CAST(pow(3, x.s) AS BIGINT) AS here) a
+  JOIN nodes n ON n.g = x.g AND n.lvl = x.s AND n.i // 3 = a.here // 3
+  GROUP BY doc_id, s
+  UNION ALL
+  SELECT doc_id, base + s, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (WHERE n.i < here), ''),
+         coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (WHERE n.i > here), '')
+  FROM (SELECT d.doc_id, subs.height AS base, unnest(range(top.height)) AS s, tops.i
+        FROM d JOIN subs USING (g) JOIN tops ON tops.lvl = 0 AND tops.h = subs.subroot, top) x,
+       LATERAL (SELECT x.i // CAST(pow(3, x.s) AS BIGINT) AS here) a
+  JOIN tops n ON n.lvl = x.s AND n.i // 3 = a.here // 3
+  GROUP BY doc_id, base, s),
+proofs AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY s)) AS proof, count(*) AS n FROM steps GROUP BY doc_id),
+folds AS (
+  SELECT doc_id, 0 AS s, seen AS h FROM d
+  UNION ALL
+  SELECT f.doc_id, f.s + 1, sha256(l || h || r) FROM folds f JOIN steps USING (doc_id, s)),
+folded AS (SELECT doc_id, arg_max(h, s) AS folded_root FROM folds GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM d JOIN subs USING (g) JOIN folded USING (doc_id) LEFT JOIN proofs USING (doc_id), top""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    bare = F.when(key % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(load(spark, sf_dir, "documents"), {"text": bare})
+
+
+# --------------------------------------------------- 13 spelling variants
+@register("op13_spelling_variants", f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+  WHERE length(r) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT r, n, {_crc32("v")} AS h
+  FROM (SELECT r, n, CAST(doc_id AS VARCHAR) || ':' || r AS v FROM runs)),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 199 = 0
+                  THEN left(r, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2)
+                  ELSE r END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(length(word))) AS p FROM words),
+gaps AS (SELECT word, n, p, left(word, p) AS l, substr(word, p + 2) AS r FROM places),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM gaps a JOIN gaps b
+    ON a.p = b.p AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT g.word, g.n, w.word, w.n FROM gaps g JOIN words w ON w.word = g.l || g.r
+  UNION SELECT w.word, w.n, g.word, g.n FROM gaps g JOIN words w ON w.word = g.l || g.r),
+best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form,
+         CASE WHEN m >= 5 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS last_form, 0 AS k FROM forms
+  UNION ALL
+  SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.last_form WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(last_form, k) AS root FROM chain GROUP BY word)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN roots USING (word)""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents").select("doc_id", "text"))
