@@ -258,12 +258,13 @@ def test_tree_shap_additive_and_exact(spark, kind):
 
 
 def test_ml_jobs_are_whole_by_default(spark, tmpdir_path):
-    """500 rounds and 30 trials of the full space; training searches and explains."""
+    """500 rounds in the library, 30 trials; training searches and explains."""
     import inspect
     from fraudlens.plans import q_ml
     default = lambda f, name: inspect.signature(f).parameters[name].default
-    assert default(q_ml.m07_candidate_models, "boost_rounds") == 500
-    assert default(q_ml.m26_training_pipeline, "boost_rounds") == 500
+    assert ML.CANDIDATES["gradient_boosted_trees"]["maxIter"] == 500
+    assert default(q_ml.m07_candidate_models, "boost_rounds") == q_ml.BOOST_ROUNDS
+    assert default(q_ml.m26_training_pipeline, "boost_rounds") == q_ml.BOOST_ROUNDS
     assert default(q_ml.m26_training_pipeline, "n_trials") == 30
     assert default(q_ml.m12_random_search, "n_trials") == 30
     assert default(q_ml.m12_random_search, "space") is None
