@@ -40,6 +40,9 @@ ship(__name__)
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+#: Archive bytes of a reading task once there are more ranges than
+#: ``spark.sql.shuffle.partitions``.
+TASK_BYTES = 128 << 20
 #: Enough of a member to inflate the version line.
 PROBE = 512
 
@@ -59,18 +62,35 @@ def plan_records(pages: DataFrame, id_col: str, payload_col: str, min_revisit: i
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
                         payload.alias("payload"), F.sha1(payload).alias("payload_digest"))
     big = F.octet_length("payload") >= min_revisit
-    copied = (rows.where(big).groupBy("payload_digest", F.octet_length("payload").alias("size"))
-              .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
-              .where((F.col("n") > 1) & F.col("holder").isNotNull()).drop("n")
-              .withColumnRenamed("payload_digest", "digest"))
-    paired = rows.join(copied, (F.col("payload_digest") == F.col("digest"))
-                       & (F.octet_length("payload") == F.col("size")), "left")
+    # digests alone are shuffled; the rows meet the list of repeated ones, which
+    # is small where repeats are few and joined by digest where it is not
+    copied = written(rows.where(big).groupBy("payload_digest", F.octet_length("payload").alias("size"))
+                     .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
+                     .where((F.col("n") > 1) & F.col("holder").isNotNull()).drop("n")
+                     .withColumnRenamed("payload_digest", "digest"), "repeated")
+    paired = join_small(rows, copied, "payload_digest", "digest", "size")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
     return paired.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"),
                          F.octet_length("payload").cast("long").alias("payload_bytes"),
                          "payload_digest", refers.alias("refers_to"))
 
 
+#: Repeated digests up to which their list goes to every task (8 MB).
+SMALL_ROWS, SALTS = 100_000, 64
+
+
+def join_small(rows: DataFrame, copied: DataFrame, mine: str, digest: str, size: str) -> DataFrame:
+    """Rows left-joined to the counted list of repeated digests: broadcast up
+    to ``SMALL_ROWS``, so payloads stay where they are; beyond that by digest,
+    a digest's rows dealt over salts, as one body may be a third of the rows."""
+    same = (F.col(mine) == F.col(digest)) & (F.octet_length("payload") == F.col(size))
+    if copied.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(copied), same, "left")
+    salted = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("own_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, same & (F.col("own_salt") == F.col("salt")), "left")
+
+
 def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_to) -> bytes:
     """One WARC record as a gzip member."""
     name = lambda n: f"<urn:page:{'-' if n is None else n}>"
@@ -116,12 +136,17 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
 
 
 def splits(manifest: DataFrame, split_bytes: int) -> DataFrame:
-    """(path, start, end) of every byte range, dealt over tasks."""
+    """(path, start, end) of every byte range, dealt over as many tasks as there
+    are ranges, or as ``TASK_BYTES`` asks for if that is fewer. The number is
+    given, as Spark would put rows of a few bytes into one task."""
     cut = (manifest.where(F.col("bytes") > 0)
            .select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1,
                                                          F.lit(split_bytes).cast("long"))).alias("start"))
            .select("path", "start", F.least(F.col("start") + split_bytes, "bytes").alias("end")))
-    return cut.repartition("path", "start")
+    total, found = manifest.agg(F.sum("bytes"), F.sum(F.ceil(F.col("bytes") / split_bytes))).first()
+    least = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(int(found or 0), max(least, (total or 0) // TASK_BYTES)))
+    return cut.repartitionByRange(tasks, "path", "start")
 
 
 class Window:

@@ -174,17 +174,41 @@ def test_sharding_law_and_slots(spark):
             assert (r.size, r.text_crc32) == (len(data) + 8, zlib.crc32(data))
 
 
+def placed(spark, **trees):
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"))
+    return sharding.place(ids, F.col("doc_id"), trees).collect()
+
+
+def test_new_shard_takes_rows_only_into_itself(spark):
+    for n in (1, 5, 9, 24):
+        out = placed(spark, a=sharding.layout(n), b=sharding.grown(sharding.layout(n)))
+        assert all(r.b in (r.a, n) for r in out)
+        assert abs(sum(r.b == n for r in out) / len(out) - 1 / (n + 1)) < 0.02
+
+
 def test_sharding_moves_only_into_changed_subtrees(spark):
-    ids = spark.range(4000).select(F.col("id").alias("doc_id"))
-    for n in (5, 9, 24):           # a new shard in a new rack, region, or an old rack
-        out = sharding.place(ids, F.col("doc_id"), {"a": sharding.layout(n),
-                                                    "b": sharding.layout(n + 1)}).collect()
-        assert all(r.b in (r.a, n) for r in out) and any(r.b == n for r in out)
-    heavy = [sharding.Shard(s.region, s.rack, s.shard, 3.0 if s.shard == 2 else 1.0)
-             for s in sharding.layout(8)]
-    out = sharding.place(ids, F.col("doc_id"), {"a": sharding.layout(8), "b": heavy}).collect()
-    assert all(r.b in (r.a, 2) for r in out)
-    assert 0.2 < sum(r.b == 2 for r in out) / len(out) < 0.4        # 3 of 10 by weight
+    plain = sharding.layout(24)
+    heavy = [sharding.Shard(s.region, s.rack, s.shard, 5.0 if s.shard == 9 else 1.0) for s in plain]
+    region, rack = ({s.shard: getattr(s, level) for s in plain} for level in ("region", "rack"))
+    out = placed(spark, a=plain, b=heavy)
+    moved = [r for r in out if r.a != r.b]
+    # shard 9 is in rack 2 of region 1: all moves end in that region, those inside it in that rack,
+    # those inside the rack in that shard
+    assert moved and all(region[r.b] == 1 for r in moved)
+    assert all(rack[r.b] == 2 for r in moved if region[r.a] == 1)
+    assert all(r.b == 9 for r in moved if rack[r.a] == 2)
+    assert abs(sum(r.b == 9 for r in out) / len(out) - 5 / 28) < 0.03
+
+
+def test_descent_is_not_a_flat_draw(spark):
+    tree = sharding.layout(24)
+    flat = [sharding.Shard(0, 0, s.shard) for s in tree]
+    out = placed(spark, a=tree, b=flat)
+    assert sum(r.a == r.b for r in out) < 0.5 * len(out)
+
+
+def test_sharding_of_an_empty_table(spark):
+    assert sharding.shard_documents(hard(spark).limit(0)).count() == 0
 
 
 def test_gapless_rank_with_a_hot_group(spark):
@@ -575,6 +599,31 @@ def test_warc_round_trip(spark, split_bytes):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_reading_tasks_grow_with_ranges(spark, monkeypatch, tmp_path):
+    """With adaptive execution, ranges are not put into one task."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    used = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    folder = str(tmp_path)
+    manifest = warc.write_archives(warc.plan_records(pages.repartition(2), "page_id", "html", 1000), folder)
+    size = manifest.agg(F.sum("bytes")).first()[0]
+    few, many = (warc.read_archives(manifest, folder, size // n + 1) for n in (2, 8))
+    assert few.count() == many.count() == 300
+    assert used(few) >= 2 and used(many) >= 7
+
+
+def test_many_repeated_payloads(spark, monkeypatch):
+    """Beyond the size of a broadcast the list of repeats is joined by digest."""
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"),
+                                    F.repeat(F.concat(F.lit("x"), (F.col("id") % 7).cast("string")), 600).alias("html"))
+    small = sorted(tuple(r) for r in warc.plan_records(pages, "page_id", "html", 1000)
+                   .select("page_id", F.coalesce("refers_to", F.lit(-1))).collect())
+    monkeypatch.setattr(warc, "SMALL_ROWS", 1)
+    assert small == sorted(tuple(r) for r in warc.plan_records(pages, "page_id", "html", 1000)
+                           .select("page_id", F.coalesce("refers_to", F.lit(-1))).collect())
+    assert sum(r[1] == -1 for r in small) == 7
+
+
 def test_warc_members_are_whole_gzip_members(tmp_path):
     import gzip
     data = b"".join(warc.record(i, "u", b"x" * i * 50, i * 50, "0", None) for i in range(20))
