@@ -52,6 +52,7 @@ PARAGRAPHS = {"p", "pre", "blockquote", "figcaption"}
 #: Elements that end when another of their kind starts.
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"},
                "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}}
+ONE_P = ("p",)
 #: What a search for such an element to end does not leave.
 SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "aside", "main", "body", "nav", "header",
           "footer", "form", "blockquote", "td", "th"}
@@ -71,7 +72,9 @@ MAIN = set("""article articlebody content main story post entry text maincontent
 articlecontent storybody""".split())
 #: First words of names that tell what else a page has.
 STATES = {"has", "with", "without", "no", "is", "js"}
-#: Phrases of page furniture, for pages that declare no parts.
+#: Phrases of page furniture, for pages that declare no parts; told of blocks
+#: of at most ``PHRASE_WORDS`` words.
+PHRASE_WORDS = 30
 PHRASE = re.compile(
     r"©|\(c\) ?\d{4}|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|"
     r"\bsubscribe\b|\bnewsletter\b|\badvertis|\bsponsored\b|\b(?:sign|log) ?(?:in|up)\b|\bleave a (?:comment|reply)|"
@@ -128,12 +131,18 @@ class Scan:
         self.stack: list[tuple[str, str | None]] = []     # tag and the part it leads to
         self.at: dict[str, list[int]] = {}
         self.block_at: list[int] = []
+        self.scope_at: list[int] = []
         self.text: list[str] = []
         self.linked = 0
         self.any_main = False
 
     def last(self, tags) -> int:
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        last = -1
+        for t in tags:
+            held = self.at.get(t)
+            if held and held[-1] > last:
+                last = held[-1]
+        return last
 
     def part(self) -> str | None:
         return self.stack[-1][1] if self.stack else None
@@ -156,6 +165,8 @@ class Scan:
             self.at[tag].pop()
             if tag not in INLINE:
                 self.block_at.pop()
+                if tag in SCOPES:
+                    self.scope_at.pop()
 
     def end(self, tag: str) -> None:
         i = self.last([tag])
@@ -172,8 +183,10 @@ class Scan:
             # inline elements left open end with their block; a link may hold blocks
             while self.stack and self.stack[-1][0] in INLINE and self.stack[-1][0] != "a":
                 self.close_to(len(self.stack) - 1)
-            i = self.last(SELF_ENDING.get(tag, {"p"}))
-            if i > self.last(SCOPES - {tag}) or (i >= 0 and i == len(self.stack) - 1):
+            i = self.last(SELF_ENDING.get(tag, ONE_P))
+            # a cell is a scope that another cell ends
+            scopes = [k for k in self.scope_at[-2:] if k != i]
+            if i >= 0 and (not scopes or i > scopes[-1]):
                 self.close_to(i)
         if tag in VOID or tag in ("html", "body", "head"):
             return
@@ -183,6 +196,8 @@ class Scan:
         self.any_main = self.any_main or part == "m"
         if tag not in INLINE:
             self.block_at.append(len(self.stack))
+            if tag in SCOPES:
+                self.scope_at.append(len(self.stack))
         self.at.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, part))
 
@@ -238,16 +253,11 @@ def blocks(html: str) -> list[tuple[str, str, str, int, int]]:
     return [(text, kind, place[part], n, linked) for text, kind, part, n, linked in scan.out]
 
 
-def described(found: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
+def described(found: list[tuple[str, str, int, int, bool]]) -> list[tuple]:
     """Features of a page's blocks from (kind, place, words, linked, phrase)."""
-    n = len(found)
-    out = np.zeros((n, len(FEATURES)))
-    for i, (kind, place, words, linked, phrase) in enumerate(found):
-        out[i, 0], out[i, 1] = words, linked / max(1, words)
-        out[i, 6:] = KINDS[kind], PLACES[place], phrase
-    out[1:, 2:4] = out[:-1, 0:2]
-    out[:-1, 4:6] = out[1:, 0:2]
-    return out
+    sizes = [(0, 0.0), *[(words, linked / max(1, words)) for _, _, words, linked, _ in found], (0, 0.0)]
+    return [(*sizes[i + 1], *sizes[i], *sizes[i + 2], KINDS[kind], PLACES[place], phrase and words <= PHRASE_WORDS)
+            for i, (kind, place, words, _, phrase) in enumerate(found)]
 
 
 # ------------------------------------------------------------ training table
@@ -276,7 +286,7 @@ l.u.2.2 l.u.1.1 d.u.8.0 l.u.3.3 h.u.9.0+ p.u.30.0+ p.u.4.0+ p.u.22.0+ l.u.2.2 d.
 SCALES = (0.2, 0.5, 1, 2, 5)
 
 
-def labelled(examples: str = EXAMPLES) -> list[tuple[float, list[float]]]:
+def labelled(examples: str = EXAMPLES) -> list[tuple[float, tuple]]:
     rows = []
     for line in examples.strip().splitlines():
         for scale in SCALES if ".u." not in line else (1,):
@@ -286,7 +296,7 @@ def labelled(examples: str = EXAMPLES) -> list[tuple[float, list[float]]]:
                 words, linked = (math.ceil(int(n) * scale) for n in (words, rest.strip("!+")))
                 found.append((kind, place, words, linked, "!" in rest))
                 labels.append(float(rest.endswith("+")))
-            rows += zip(labels, described(found).tolist())
+            rows += zip(labels, described(found))
     return rows
 
 
@@ -295,7 +305,7 @@ def train(spark: SparkSession, examples: str = EXAMPLES, depth: int = 8) -> list
     the root first; feature is -1 in leaves."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.linalg import Vectors
-    table = spark.createDataFrame([(y, Vectors.dense(x)) for y, x in labelled(examples)],
+    table = spark.createDataFrame([(y, Vectors.dense([float(v) for v in x])) for y, x in labelled(examples)],
                                   ["label", "features"]).coalesce(1)
     model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=1).fit(table)
     path = scratch_path(spark, "block-tree")
@@ -321,12 +331,13 @@ def verdicts(tree: list[tuple], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def main_text(html: str | None, tree: list[tuple]) -> str:
-    found = blocks(html or "")
-    if not found:
-        return ""
-    x = described([(k, p, n, link, bool(PHRASE.search(t))) for t, k, p, n, link in found])
-    return "\n".join(b[0] for b, kept in zip(found, verdicts(tree, x)) if kept)
+def main_texts(pages: list[str | None], tree: list[tuple]) -> list[str]:
+    found = [blocks(html or "") for html in pages]
+    x = [row for page in found for row in described(
+        [(kind, place, n, linked, n <= PHRASE_WORDS and bool(PHRASE.search(text)))
+         for text, kind, place, n, linked in page])]
+    kept = iter(verdicts(tree, np.array(x, float).reshape(len(x), len(FEATURES))).tolist())
+    return ["\n".join([b[0] for b in page if next(kept)]) for page in found]
 
 
 def extract(pages: DataFrame, tree: list[tuple] | None = None, html: str = "html",
@@ -339,7 +350,7 @@ def extract(pages: DataFrame, tree: list[tuple] | None = None, html: str = "html
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, tree) for h in batch.column(len(kept)).to_pylist()]
+            texts = main_texts(batch.column(len(kept)).to_pylist(), tree)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())],
                                              names=batch.schema.names)
     return source.mapInArrow(run, shape)
