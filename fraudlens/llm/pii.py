@@ -64,27 +64,65 @@ CONTEXT = 40
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Matches as (start, end, match, before, after): code-point offsets and
-    the texts around, up to the neighbouring matches."""
-    kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+#: Numbers of a piece that a scan adds up one by one.
+PIECE = 64
 
-    def walk(around, matches):
-        n = F.size(matches)
-        rows = F.arrays_zip(F.slice(around, F.lit(1), n).alias("before"), matches.alias("match"),
-                            F.slice(around, F.lit(2), n).alias("after"))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-        def step(acc, x):
-            start = acc["at"] + F.char_length(x["before"])
-            end = start + F.char_length(x["match"])
-            row = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"),
-                           x["before"].alias("before"), x["after"].alias("after"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
-        return F.aggregate(rows, begin, step, lambda acc: acc["out"])
+def plus(a: Column, b: Column) -> Column:
+    return a + b
 
-    return let(F.split(text, pattern, -1), lambda around: let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: walk(around, m)))
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def held(names: list[str], body) -> Column:
+    """``body`` of columns that it uses inside lambdas: evaluated once, though
+    Spark may put a column's expression in its place."""
+    def bind(left, values):
+        return let(F.col(left[0]), lambda v: bind(left[1:], [*values, v])) if left else body(*values)
+    return bind(names, [])
+
+
+def steps(df: DataFrame, **columns: Column) -> DataFrame:
+    return df.withColumns(columns)
+
+
+def scan(df: DataFrame, numbers: list[str], op) -> DataFrame:
+    """Replaces each array of numbers by, for each number, ``op`` (a sum or a
+    maximum) of those before it, 0 for the first. An array that grows by a fold
+    is copied at each step, so arrays are cut into pieces, and the pieces'
+    totals into pieces again: the work is linear up to ten million numbers."""
+    def own(a):
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(a, begin, lambda acc, x: F.struct(
+            op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"])
+
+    def pieces(name):
+        def cut(a):
+            n = F.size(a)
+            return F.when(n > 0, F.transform(
+                F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), lambda i: F.transform(
+                    F.sequence(i * PIECE, F.least(i * PIECE + PIECE, n) - 1), lambda k: F.get(a, k)))
+                ).otherwise(F.array().cast("array<array<int>>"))
+        return held([name], cut)
+
+    def totals(a):
+        return F.transform(a, lambda c: F.aggregate(c, F.lit(0), op))
+
+    def joined(cut, starts):
+        return held([starts], lambda held_starts: F.flatten(F.transform(cut, lambda c, i: F.transform(
+            own(c), lambda x: op(x, F.get(held_starts, i))))))
+
+    low, sums, high, tops, mids = ([f"__{c}_{k}" for c in numbers] for k in ("low", "sums", "high", "tops", "mids"))
+    out = df.withColumns({x: pieces(c) for x, c in zip(low, numbers)})
+    out = out.withColumns({x: totals(F.col(c)) for x, c in zip(sums, low)})
+    out = out.withColumns({x: pieces(c) for x, c in zip(high, sums)})
+    out = out.withColumns({x: own(totals(F.col(c))) for x, c in zip(tops, high)})
+    out = out.withColumns({x: joined(F.col(c), t) for x, c, t in zip(mids, high, tops)})
+    out = out.withColumns({x: joined(F.col(c), m) for x, c, m in zip(numbers, low, mids)})
+    return out.drop(*low, *sums, *high, *tops, *mids)
 
 
 def holds(kind: str, match: Column) -> Column:
@@ -100,13 +138,28 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans of a text, by start, kind and end."""
+def with_base_spans(df: DataFrame) -> DataFrame:
+    """Adds ``base``: all base spans of ``text``, by start, kind and end."""
+    text, numbers = F.col("text"), [f"__at{i}" for i in range(len(KINDS))]
+    tried = {i: text.rlike(GATES[kind]) for i, kind in enumerate(KINDS)}
+    none = F.array().cast("array<string>")
+    out = df.withColumns({f"__m{i}": F.when(tried[i], F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)))
+                          .otherwise(none) for i, kind in enumerate(KINDS)})
+    out = out.withColumns({f"__gap{i}": F.when(F.size(f"__m{i}") > 0, F.transform(
+        F.split(text, PATTERNS[kind], -1), F.char_length)).otherwise(F.array().cast("array<int>"))
+        for i, kind in enumerate(KINDS)})
+    out = out.withColumns({f"__at{i}": held([f"__gap{i}"], lambda gap: F.transform(
+        f"__m{i}", lambda m, k: F.get(gap, k) + F.char_length(m))) for i in range(len(KINDS))})
+    out = scan(out, numbers, plus)
+
     def of_kind(i: int, kind: str) -> Column:
-        passed = F.filter(found(text, PATTERNS[kind]), lambda x: holds(kind, x["match"]))
-        spans = F.transform(passed, lambda x: F.struct(x["start"], F.lit(i).alias("kind"), x["end"]))
-        return F.when(text.rlike(GATES[kind]), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
-    return F.sort_array(F.concat(*[of_kind(i, kind) for i, kind in enumerate(KINDS)]))
+        placed = held([f"__at{i}", f"__gap{i}"], lambda at, gap: F.transform(f"__m{i}", lambda m, k: F.struct(
+            (F.get(at, k) + F.get(gap, k)).alias("start"), m.alias("match"))))
+        passed = F.filter(placed, lambda x: holds(kind, x["match"]))
+        return F.transform(passed, lambda x: F.struct(x["start"], F.lit(i).alias("kind"), (
+            x["start"] + F.char_length(x["match"])).alias("end"))).cast(SPAN)
+    out = out.withColumn("base", F.sort_array(F.concat(*[of_kind(i, kind) for i, kind in enumerate(KINDS)])))
+    return out.drop(*[f"__{x}{i}" for x in ("m", "gap", "at") for i in range(len(KINDS))])
 
 
 def listed(spans: Column) -> Column:
@@ -131,11 +184,12 @@ def context(word: Column) -> Column:
         F.char_length(c) > CONTEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c))
 
 
-def elements(text: Column, base: Column) -> Column:
-    """The identifier-like parts of a text: tokens of one base span are one
-    part, and so are neighbouring tokens without letters and ``@`` that only
-    blanks part (a spaced number). Each with the base span's kind (null: none),
-    the texts around it and the tokens before and after."""
+def with_elements(df: DataFrame) -> DataFrame:
+    """Replaces ``text`` and ``base`` by ``parts``, the identifier-like parts of
+    the text: tokens of one base span are one part, and so are neighbouring
+    tokens without letters and ``@`` that only blanks part (a spaced number).
+    Each with the base span's kind (null: none), the texts around it and the
+    tokens before and after."""
     def joined(p, x):
         plain = lambda t: ~t["match"].rlike(r"[\p{L}@]")
         spaced = (p["owner"].isNull() & x["owner"].isNull() & x["before"].rlike(r"^\x20+$")
@@ -151,17 +205,35 @@ def elements(text: Column, base: Column) -> Column:
             last["after"].alias("after"), F.coalesce(F.get(t, a - 1)["match"], F.lit("")).alias("previous"),
             F.coalesce(F.get(t, b + 1)["match"], F.lit("")).alias("next"))
 
-    def parts(t):
-        fresh = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | ~joined(
-            F.get(t, i - 1), F.get(t, i)))
-        return let(fresh, lambda s: F.transform(s, lambda a, k: part(
-            t, a, F.coalesce(F.get(s, k + 1), F.size(t)) - 1)))
-
-    owner = lambda b, x: F.get(F.filter(b, lambda s: (s["start"] < x["end"])
-                                        & (s["end"] > x["start"])), F.lit(0)).alias("owner")
-    fields = ("start", "end", "match", "before", "after")
-    return let(base, lambda b: let(F.transform(found(text, TOKEN), lambda x: F.struct(
-        *[x[c].alias(c) for c in fields], owner(b, cored(x)))), parts))
+    text, t, fields = F.col("text"), F.col("__t"), ("start", "end", "match", "before", "after")
+    out = steps(df, __m=F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+    out = steps(out, __around=F.split(text, TOKEN, -1)).drop("text")
+    out = steps(out, __at=held(["__around"], lambda around: F.transform(
+        "__m", lambda m, i: F.char_length(F.get(around, i)) + F.char_length(m))),
+                __ends=F.transform("base", lambda s: s["end"]))
+    out = scan(out, ["__at"], plus)
+    out = steps(out, __t=held(["__at", "__around"], lambda at, around: F.transform("__m", lambda m, i: F.struct(
+        (F.get(at, i) + F.char_length(F.get(around, i))).alias("start"), m.alias("match"),
+        F.get(around, i).alias("before"), F.get(around, i + 1).alias("after"))))).drop("__m", "__around")
+    out = steps(out, __cores=F.transform(t, cored), __at=F.col("__ends"))
+    out = scan(out, ["__at"], larger)
+    # the first span that ends after a part's start: the spans' running latest
+    # ends and the parts' starts are merged by one sort, and a part's place less
+    # its number is how many ends come first
+    latest = F.zip_with("__at", "__ends", lambda a, e: F.struct(F.greatest(a, e).alias("at"), F.lit(0).alias("part")))
+    starts = F.transform("__cores", lambda c: F.struct(c["start"].alias("at"), F.lit(1).alias("part")))
+    out = steps(out, __sorted=F.sort_array(F.concat(latest, starts)))
+    out = steps(out, __sorted=F.filter(F.transform("__sorted", lambda m, k: F.struct(
+        m["part"].alias("part"), k.alias("k"))), lambda m: m["part"] == 1))
+    out = steps(out, __at=held(["base"], lambda base: F.transform("__sorted", lambda m, i: F.get(base, m["k"] - i))))
+    out = steps(out, __t=held(["__at", "__cores"], lambda at, cores: F.transform(t, lambda x, i: F.struct(
+        *[x[c].alias(c) for c in fields if c != "end"], F.when(
+            F.get(at, i)["start"] < F.get(cores, i)["end"], F.get(at, i)).alias("owner")))))
+    out = steps(out.drop("__cores", "__at", "__sorted", "__ends", "base"), __fresh=held(["__t"], lambda t: F.when(
+        F.size(t) > 0, F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | ~joined(
+            F.get(t, i - 1), F.get(t, i))))))
+    return steps(out, parts=held(["__t", "__fresh"], lambda t, fresh: F.transform(fresh, lambda a, k: part(
+        t, a, F.coalesce(F.get(fresh, k + 1), F.size(t)) - 1)))).drop("__t", "__fresh")
 
 
 def cored(x: Column) -> Column:
@@ -195,7 +267,9 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     last = F.reverse(F.regexp_extract(F.reverse("x.before"), first_word, 1))
     first = F.regexp_extract("x.after", first_word, 1)
     tokens = (scanned.where(F.col("text").rlike("[0-9@]"))
-              .select("d", "th", F.explode(elements(F.col("text"), F.col("base"))).alias("x")))
+              .transform(with_elements)
+              # outer: a filter on the parts would be pushed into all the steps that make them
+              .select("d", "th", F.explode_outer("parts").alias("x")))
     near = lambda word, other: F.when(word != "", word).otherwise(F.col(other))
     trimmed = tokens.select(
         "d", "th", "x.seed",
@@ -258,7 +332,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(d, th, doc_id, base, spans) per row; spans are base and discovered."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     scanned = docs.select(*identity(id_col, text_col), F.col(id_col).alias("doc_id"),
-                          text.alias("text")).withColumn("base", base_spans(F.col("text")))
+                          text.alias("text")).transform(with_base_spans)
     tokens = written(occurrences(scanned.select("d", "th", "text", "base")), "tokens")
     more = discovered(tokens)
     return (scanned.drop("text").join(more, ["d", "th"], "left")
@@ -267,20 +341,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             .drop("more"))
 
 
-def masked(text: Column, spans: Column) -> Column:
+def masked(text: Column, spans: Column, sofar: Column) -> Column:
     """The text with each span (of overlapping ones, their union) replaced by
-    its kind in angle brackets."""
+    the kind of the first in angle brackets; ``sofar`` has for each span the
+    latest end before it. Pieces are cut from the text at four bytes a code
+    point, where an offset needs no search."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        added = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-                         F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(fresh, added).otherwise(acc["out"]).alias("out"))
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    def cut(wide, begin, end):
+        return F.decode(F.substring(wide, begin * 4 + 1, (end - begin) * 4), "UTF-32")
+
+    def pieces(wide):
+        fresh = F.filter(F.zip_with(spans, sofar, lambda s, e: F.struct(
+            s["start"].alias("start"), s["kind"].alias("kind"), e.alias("e"))), lambda x: x["start"] >= x["e"])
+        shown = F.transform(fresh, lambda x: F.concat(cut(wide, x["e"], x["start"]), F.get(names, x["kind"])))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(shown, ""), cut(wide, last, F.char_length(text)))
+
+    return let(F.encode(text, "UTF-32"), pieces)
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,6 +367,9 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
              .select("d", "th", F.col("spans").alias("__spans")).dropDuplicates(["d", "th"]))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     text = F.col("__row")[text_col]
-    new = F.when(F.col("__spans").isNull(), text).otherwise(masked(text, F.col("__spans")))
-    return (docs.select(row, *identity(id_col, text_col)).join(spans, ["d", "th"], "left")
+    new = F.when(F.col("__spans").isNull(), text).otherwise(
+        masked(text, F.col("__spans"), F.col("__sofar")))
+    paired = docs.select(row, *identity(id_col, text_col)).join(spans, ["d", "th"], "left")
+    ends = F.transform(F.coalesce("__spans", F.array().cast(SPAN)), lambda s: s["end"])
+    return (scan(paired.withColumn("__sofar", ends), ["__sofar"], larger)
             .select(*[(new if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns]))

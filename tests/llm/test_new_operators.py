@@ -331,3 +331,32 @@ def test_chains_end(spark):
     rows = [(k, (w + " ") * 5 ** (k + 1)) for k, w in enumerate(words)]
     got = {r[0]: r for r in check_variants(spark, rows)}
     assert len({r[5] for r in got.values()}) <= 2
+
+
+# --------------------------------------- 8 personal data in texts full of it
+def test_texts_full_of_matches_are_scanned_in_linear_time(spark):
+    """100,000 matches in one text: as the plain patterns, and within seconds."""
+    from fraudlens.llm import pii
+    parts = [f"u{i}@ex{i % 97}.com" if i % 3 else f"10.0.{i % 256}.{i % 99}é" for i in range(100_000)]
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+
+    def masked(text):
+        return pattern.sub(lambda m: "<email>" if "@" in m[0] else "<ip>", text)
+    text = " ".join(parts)
+    comma = ",".join(parts[:20_000])
+    df = spark.createDataFrame([(1, text), (2, comma), (3, ""), (4, None)], "doc_id long, text string").repartition(2)
+    start = time.time()
+    got = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert time.time() - start < 120
+    assert got == {1: masked(text), 2: masked(comma), 3: "", 4: None}
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 4096, 4097, 9000])
+def test_running_sums_and_maxima(spark, n):
+    from fraudlens.llm import pii
+    rnd = random.Random(n)
+    numbers = [rnd.randrange(1000) for _ in range(n)]
+    df = spark.createDataFrame([(numbers, numbers)], "a array<int>, b array<int>")
+    row = pii.scan(pii.scan(df, ["a"], pii.plus), ["b"], pii.larger).first()
+    assert row.a == [sum(numbers[:k]) for k in range(n)]
+    assert row.b == [max([0, *numbers[:k]]) for k in range(n)]
