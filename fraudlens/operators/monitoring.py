@@ -5,6 +5,7 @@ dedup), so the batch twin is the oracle-checked copy of the stream job.
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,6 +69,51 @@ def sustained(windows: DataFrame, flag: str, start: str, step_seconds: int,
                               F.col("run_start") + F.lit(hold_seconds)).alias("fired_at"))
 
 
+def sustained_stream(windows: DataFrame, flag: str, start: str, step_seconds: int,
+                     hold_seconds: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The fired runs of ``sustained`` as a live stream: (keys, run_start,
+    fired_at), once per run, in the batch in which it has lasted long enough.
+
+    ``windows`` is an append-mode window aggregate, which passes each window on
+    once, when the watermark has passed its end, and never an earlier one
+    later. The state of a key is the run that is open: its start, its last
+    window, its length. A window without the flag, or one left out because
+    nothing fell into it, ends the run. Needs the RocksDB state store."""
+    from pyspark.sql.streaming import StatefulProcessor
+    need, names = hold_seconds // step_seconds, list(keys) or ["_key"]
+    rows = windows if keys else windows.withColumn("_key", F.lit(0))
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in names],
+                        "run_start long, fired_at long"])
+
+    class OpenRun(StatefulProcessor):
+        def init(self, handle):
+            self.run = handle.getValueState("run", "first long, last long, n long")
+
+        def handleInputRows(self, key, batches, timers):
+            first, last, n = self.run.get() if self.run.exists() else (0, 0, 0)
+            found = pd.concat([b[[start, flag]] for b in batches])     # one row per window
+            fired = []
+            for at, on in sorted(zip(found[start].tolist(), found[flag].tolist())):
+                if not on:
+                    n = 0
+                    continue
+                if n and at - last == step_seconds:
+                    n += 1
+                else:
+                    first, n = at, 1
+                last = at
+                if n == need + 1:
+                    fired.append((*key, first, first + hold_seconds))
+            self.run.update((first, last, n))
+            yield pd.DataFrame(fired, columns=[*names, "run_start", "fired_at"])
+
+        def close(self):
+            pass
+
+    out = rows.groupBy(*names).transformWithStateInPandas(OpenRun(), schema, "Append", "None")
+    return out if keys else out.drop("_key")
+
+
 # T07 ------------------------------------------------------------------------
 def throughput(df: DataFrame, ts: str = "ts", size: str = "1 minute", seconds: int = 60
                ) -> DataFrame:

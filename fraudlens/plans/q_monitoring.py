@@ -10,6 +10,7 @@ from fraudlens.plans.q_aggregates import _cum_hist_sql
 from fraudlens.plans.q_features import r6
 from fraudlens.plans.q_rules import RS, events_chain_sql, stored_decisions
 from fraudlens.plans.registry import query
+from fraudlens.session import scratch_path
 from fraudlens.sources import views as V
 
 EV = events_chain_sql(RS)
@@ -52,6 +53,32 @@ def t06_sustained_block_alert(spark, sf):
                     F.col("fired_at").cast("long").alias("fired_at"))
 
 
+@query("t06_stream_sustained_alert", _block_share_sql() + f""",
+al AS (SELECT window_start FROM bs WHERE n_block / n > {MO.BLOCK_SHARE_LIMIT!r}),
+isl AS (SELECT window_start, window_start // 30 - row_number() OVER (ORDER BY window_start) AS g
+        FROM al)
+SELECT min(window_start) AS run_start, min(window_start) + 120 AS fired_at
+FROM isl GROUP BY g HAVING count(*) > 4""")
+def t06_stream_sustained_alert(spark, sf):
+    """The alert as one streaming query over the decisions: sliding-window
+    share, then the keyed state of the open run. A last row an hour after the
+    others moves the watermark past every window of the events."""
+    source, out = scratch_path(spark, "decisions"), scratch_path(spark, "alerts")
+    d = decided_ts(spark, sf).select("ts", "decision")
+    closing = d.agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts")).select(
+        "ts", F.lit("ALLOW").alias("decision")).where("ts is not null")
+    d.unionByName(closing).write.parquet(source)
+    live = spark.readStream.schema("ts timestamp, decision string").parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    shares = MO.block_share(live.withWatermark("ts", MO.DEFAULT_WATERMARK))
+    running = (MO.sustained_stream(shares, "alert", "window_start", 30, 120).writeStream.format("parquet")
+     .option("checkpointLocation", scratch_path(spark, "alerts-ck")).option("path", out)
+     .outputMode("append").trigger(availableNow=True).start())
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    running.awaitTermination()
+    return spark.read.schema("run_start long, fired_at long").parquet(out)
+
+
 REQ = S.with_ctes(S.REQUESTS)
 
 
