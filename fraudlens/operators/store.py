@@ -75,17 +75,46 @@ def insert_unique(existing: DataFrame | None, new: DataFrame, key: str, order: s
 
     ``min_by`` is a partial aggregate, so a key repeated many times is reduced
     map-side instead of being collected into one task."""
-    cols = [c for c in new.columns if c != key]
-    first = (new.groupBy(key)
-                .agg(F.min_by(F.struct(*cols), F.struct(F.col(order), *[F.col(c) for c in cols]))
-                      .alias("_r"))
-                .select(key, "_r.*"))
+    first = first_per_key(new, key, order)
     if existing is None:
         return first
     fresh = first.join(existing.select(key), key, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
+BUCKETS = 64
+
+
+def first_per_key(new: DataFrame, key: str, order: str) -> DataFrame:
+    cols = [c for c in new.columns if c != key]
+    return (new.groupBy(key)
+               .agg(F.min_by(F.struct(*cols), F.struct(F.col(order), *[F.col(c) for c in cols]))
+                     .alias("_r"))
+               .select(key, "_r.*"))
+
+
+def unstored(new: DataFrame, table: str, key: str, order: str) -> DataFrame:
+    """The first new row per key that the bucketed table does not hold."""
+    first, spark = first_per_key(new, key, order), new.sparkSession
+    if not spark.catalog.tableExists(table):
+        return first
+    return first.join(spark.table(table).select(key).hint("merge"), key, "left_anti")
+
+
+def append_unique(new: DataFrame, table: str, key: str, order: str, path: str,
+                  buckets: int = BUCKETS) -> None:
+    """S10 / U05 on a table that stays: rows whose key is not stored yet are
+    appended to a table bucketed and sorted by key at ``path`` (shared storage).
+
+    Only the new rows are shuffled, into the table's buckets; the stored rows
+    are neither moved nor rewritten and only their keys are read. Appending the
+    same rows again, as a replayed batch does, adds nothing. One writer at a
+    time; choose ``buckets`` for the table's final size."""
+    fresh = unstored(new, table, key, order)
+    (fresh.repartition(buckets, key).write.format("parquet").mode("append")
+          .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
+
+
 # U02 ------------------------------------------------------------------------
 RULE_COLUMNS = ["name", "description", "category", "severity", "action", "enabled"]
 

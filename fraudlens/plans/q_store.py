@@ -117,6 +117,27 @@ def u05_insert_unique(spark, sf):
     return ST.insert_unique(existing, new, "transaction_id", "TransactionDT")
 
 
+@query("u05_append_unique", S.with_ctes(S.TXN_EVENTS, S.TXN_ORDERS) + """,
+ex AS (SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, TransactionDT, TransactionAmt
+       FROM txn_orders),
+nw AS (SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, TransactionDT, TransactionAmt
+       FROM txn_events)
+SELECT * FROM ex
+UNION ALL
+SELECT * FROM nw WHERE transaction_id NOT IN (SELECT transaction_id FROM ex)""")
+def u05_append_unique(spark, sf):
+    """Orders, then events, then both again, appended to one bucketed table."""
+    from fraudlens.session import scratch_path
+    cols = [F.col("TransactionID").cast("string").alias("transaction_id"), "TransactionDT",
+            "TransactionAmt"]
+    orders, events = V.txn_orders(spark, sf).select(*cols), V.txn_events(spark, sf).select(*cols)
+    path = scratch_path(spark, "unique_ids")
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    for batch in (orders, events, orders.unionByName(events)):
+        ST.append_unique(batch, table, "transaction_id", "TransactionDT", path, buckets=8)
+    return spark.table(table)
+
+
 def _rules_with_hits_spark(spark, sf, rs):
     rules = ST.with_hit_columns(R.rules_frame(spark, rs))
     d = stored_decisions(spark, sf, rs).withColumn(

@@ -3,8 +3,8 @@
 * ``transaction_source``: JSON messages from Kafka (when the connector is on
   the classpath) or from a file directory (tests).
 * ``score_stream``: one streaming plan: messages are parsed and validated
-  (T02), repeats of an id are dropped, every history-dependent input comes
-  from one keyed state per card (T04), and a ``foreachBatch`` sink evaluates
+  (T02), repeats of an id are dropped by a state keyed by id (T03), every
+  history-dependent input comes from one keyed state per card (T04), and a ``foreachBatch`` sink evaluates
   the rules as they are at that moment (R11) and writes decisions, alerts,
   predictions and dead letters. Decisions do not depend on how messages fall
   into batches. Each sink is keyed by the batch id, so a replayed batch
@@ -37,6 +37,7 @@ from fraudlens.operators import rules as R
 from fraudlens.operators import store as ST
 from fraudlens.operators import windows as W
 from fraudlens.sources import io as IO
+from fraudlens.streaming import retries as RT
 
 STATE_HORIZON = max([*W.VELOCITY_WINDOWS.values(), *W.FAILED_WINDOWS.values()])
 DAY = 86400
@@ -287,28 +288,60 @@ def _start(frame: DataFrame, run, checkpoint: str, available_now: bool):
     return w.start()
 
 
+def unique_ids(events: DataFrame, key: str = "TransactionID", within: str | None = None,
+               ts: str = "ts") -> DataFrame:
+    """The first message of each id (any one of those in the same
+    micro-batch), whatever its card and however much later the repeats come.
+    The state has every id of the stream's life,
+    spread by id; keep it in a state store on disk. ``within`` forgets ids that
+    long after their time stamp instead, where repeats cannot come later."""
+    if within is not None and events.isStreaming:
+        stamped = events.withColumn(ts, F.timestamp_seconds("TransactionDT"))
+        return MO.dedup_transactions(stamped, key, ts, within).drop(ts)
+    return events.dropDuplicates([key])
+
+
 def score_stream(raw: DataFrame, schema: T.StructType, out_dir: str, checkpoint: str,
                  rules=R.load_rules, topic: str = "txn-events", card_stats: DataFrame | None = None,
-                 card: dict = D.SCORECARD, available_now: bool = True):
-    """Messages to all four sinks. ``rules`` is called for every
-    micro-batch, so an edited rule file holds from the next one on (R11)."""
+                 card: dict = D.SCORECARD, available_now: bool = True,
+                 unique_within: str | None = None, attempt: RT.Attempt | None = None,
+                 max_retries: int = RT.MAX_RETRIES):
+    """Messages to all four sinks, one decision per id. ``rules`` is
+    called for every micro-batch, so an edited rule file holds from the next
+    one on (R11). With ``attempt`` failing rows are tried again (see
+    ``retries``; ledger under ``out_dir``) and given up as dead letters; the
+    query's ``sink`` then serves ``retries.drain`` once an available-now stream
+    has ended."""
     good, dead = IO.route_messages(raw, schema, topic)
-    scored = scored_stream(good, card_stats, card, None if available_now else EXPIRY_MS)
+    scored = scored_stream(unique_ids(good, within=unique_within), card_stats, card,
+                           None if available_now else EXPIRY_MS)
     letter = F.struct(*dead.columns)
-    both = scored.withColumn("_dead", F.lit(None).cast(dead.select(letter.alias("x")).schema["x"].dataType)) \
+    none = F.lit(None).cast(dead.select(letter.alias("x")).schema["x"].dataType)
+    both = scored.withColumn("_dead", none) \
         .unionByName(dead.select(letter.alias("_dead")), allowMissingColumns=True)
 
     def run(batch: DataFrame, epoch_id: int):
+        if "_dead" not in batch.columns:   # pending rows that are drained
+            batch = batch.withColumn("_dead", none)
         rows = batch.persist()             # read by four sinks; lost blocks are recomputed
         try:
             live = rows.where(F.col("_dead").isNull()).drop("_dead")
+            letters = rows.where(F.col("_dead").isNotNull()).select("_dead.*")
+            if attempt is not None:
+                live, lost = RT.settle(live, attempt, out_dir, epoch_id, max_retries=max_retries)
+                value = F.to_json(F.struct(*[f.name for f in schema.fields]))
+                letters = letters.unionByName(lost.select(
+                    F.lit(topic).alias("original_topic"), value.alias("original_value"),
+                    F.concat(F.lit("failed: "), F.col(RT.ERROR)).alias("failure_reason"),
+                    F.current_timestamp().alias("failed_at")))
             decided = D.decide(R.evaluate(live, rules()))
             _write_sinks(decided, out_dir, epoch_id, card)
-            rows.where(F.col("_dead").isNotNull()).select("_dead.*") \
-                .write.mode("overwrite").parquet(f"{out_dir}/dead_letter/batch_id={epoch_id}")
+            letters.write.mode("overwrite").parquet(f"{out_dir}/dead_letter/batch_id={epoch_id}")
         finally:
             rows.unpersist()
-    return _start(both, run, checkpoint, available_now)
+    query = _start(both, run, checkpoint, available_now)
+    query.sink = run
+    return query
 
 
 def write_decisions(decided: DataFrame, out_dir: str, checkpoint: str,
