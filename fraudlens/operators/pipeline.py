@@ -124,6 +124,30 @@ def fit_medians(df: DataFrame, cols: list[str] | None = None) -> dict:
     return {cols[r["c"]]: r["q0"] for r in grouped_quantiles(stacked, ("c",), "v", [0.5]).collect()}
 
 
+SKETCH_K = 4096            # rank error of a merged sketch is some 0.1 %
+
+
+def median_sketches(df: DataFrame, cols: list[str], period: F.Column, k: int = SKETCH_K) -> DataFrame:
+    """(period, column, sketch): mergeable quantile sketches per period and
+    column, a bounded number of bytes each; store them and add new periods.
+    Nulls and NaN are left out."""
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    stacked = df.select(period.alias("period"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in cols])).alias("s"))
+    return (stacked.where(F.col("s.v").isNotNull()).groupBy("period", F.col("s.column").alias("column"))
+                   .agg(F.kll_sketch_agg_double("s.v", k).alias("sketch")))
+
+
+def sketch_medians(sketches: DataFrame, k: int = SKETCH_K) -> dict:
+    """M02 as an explicit choice for wide or growing data: medians of a training
+    window from the stored sketches of its periods, without its rows. They are
+    values of the data of nearly the middle rank; ``fit_medians`` is exact and
+    the default."""
+    merged = sketches.groupBy("column").agg(F.kll_merge_agg_double("sketch", k).alias("s"))
+    rows = merged.select("column", F.kll_sketch_get_quantile_double("s", F.lit(0.5)).alias("m"))
+    return {r["column"]: r["m"] for r in rows.collect()}            # one row per column
+
+
 def fill_medians(df: DataFrame, medians: dict) -> DataFrame:
     vals = {c: v for c, v in medians.items() if c in df.columns}
     cols = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in vals.items()}
@@ -180,6 +204,14 @@ def narrowed_types(df: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """V06 applied: every numeric column cast to its narrowest type; all other
+    columns stay. Doubles that become floats keep 24 bits; computing stays in
+    double before this step (DV1)."""
+    chosen = {r["column_name"]: r["chosen_type"] for r in narrowed_types(df).collect()}   # per column
+    return df.withColumns({c: F.col(c).cast(t) for c, t in chosen.items()}) if chosen else df
+
+
 def with_history(txn: DataFrame, strategy: str = "bucketed") -> DataFrame:
     """Row-history features over a whole table, to be taken before it is split
     in time: a later row's first event is its card's first event of all."""

@@ -35,7 +35,8 @@ def logistic(intercept: float, weights: list[float]) -> Predict:
     w = np.asarray(weights, dtype=float)
 
     def predict(x: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-(intercept + x @ w)))
+        with np.errstate(over="ignore"):            # a margin far below 0 is probability 0
+            return 1.0 / (1.0 + np.exp(-(intercept + x @ w)))
     return predict
 
 

@@ -241,6 +241,19 @@ def v06_type_narrowing(spark, sf):
     return P.narrowed_types(V.txn_orders(spark, sf))
 
 
+_NARROW_INTS, _NARROW_DOUBLES = ["TransactionDT", "card1", "isFraud"], ["TransactionAmt", "addr1", "addr2"]
+
+
+@query("v06_narrowed_values", S.with_ctes(S.TXN_ORDERS) + "\nSELECT TransactionID, " + ", ".join(
+    [f"CAST({c} AS BIGINT) AS {c}" for c in _NARROW_INTS]
+    + [f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in _NARROW_DOUBLES]) + " FROM txn_orders")
+def v06_narrowed_values(spark, sf):
+    """The values after the casts, widened again to be compared."""
+    n = P.narrow(V.txn_orders(spark, sf))
+    return n.select(F.col("TransactionID").cast("long"), *[F.col(c).cast("long") for c in _NARROW_INTS],
+                    *[F.col(c).cast("double") for c in _NARROW_DOUBLES])
+
+
 ORDERS_DTYPES = ("TransactionID:bigint,TransactionDT:bigint,TransactionAmt:double,"
                  "ProductCD:string,card1:bigint,card4:string,card6:string,addr1:double,"
                  "addr2:double,isFraud:int")

@@ -288,6 +288,22 @@ def m02_median_fill(spark, sf):
     return P.fill_medians(m, P.fit_medians(m, ["id_01", "id_02"]))
 
 
+@query("m02_sketch_median_rank", S.with_ctes(S.TXN_EVENTS) + """
+SELECT unnest(['TransactionAmt', 'TransactionDT']) AS "column", count(*) AS n, true AS near_middle
+FROM txn_events""")
+def m02_sketch_median_rank(spark, sf):
+    """Whether medians of merged daily sketches lie within 1 % of the middle
+    rank of all rows."""
+    t = V.txn_events(spark, sf).select("TransactionAmt", "TransactionDT")
+    cols = ["TransactionAmt", "TransactionDT"]
+    med = P.sketch_medians(P.median_sketches(t, cols, F.floor(F.col("TransactionDT") / 86400)))
+    parts = [t.agg(F.lit(c).alias("column"), F.count(c).alias("n"),
+                   F.avg((F.col(c) < med[c]).cast("double")).alias("below"),
+                   F.avg((F.col(c) <= med[c]).cast("double")).alias("upto")) for c in cols]
+    return parts[0].unionByName(parts[1]).select(
+        "column", "n", ((F.col("below") <= 0.51) & (F.col("upto") >= 0.49)).alias("near_middle"))
+
+
 _M03_DOUBLES = ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "log_amount", "card1_card_amt_mean",
                 "card1_card_amt_std", "card1_card_amt_min", "card1_card_amt_max",
                 "card1_card_amt_median", "card_amt_zscore", "card_amt_vs_max", "TransactionAmt"]

@@ -231,6 +231,13 @@ def k03_undelivered_alerts(spark, sf):
                                                                  "TransactionDT")
 
 
+@query("s14_rules_loaded", EV_LOW + ",\n" + _rules_sql(RS) + """
+SELECT rule_id, name, category, severity, action, enabled FROM rules_t""")
+def s14_rules_loaded(spark, sf):
+    """The rule file as it is parsed now, as a table."""
+    return R.rules_frame(spark, R.load_rules()).drop("description")
+
+
 @query("k05_enabled_rules", EV_LOW + ",\n" + _rules_sql(RS_LOW) + """
 SELECT rule_id, hit_count FROM rules_h WHERE enabled ORDER BY rule_id""")
 def k05_enabled_rules(spark, sf):
