@@ -18,12 +18,6 @@ AMT = "TransactionAmt"
 EPS = 1e-8
 
 
-def _median(c: Column, exact: bool) -> Column:
-    # exact: Spark's percentile keeps a value->count map per group, merged
-    # map-side; approx: bounded-memory GK sketch for very wide / hot groups.
-    return F.median(c) if exact else F.percentile_approx(c, 0.5, 10000).cast("double")
-
-
 def grouped_median(df: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
     """Exact per-group median without holding a group in one task."""
     known = df.where(F.col(key).isNotNull())
@@ -39,17 +33,14 @@ def _join_groups(left: DataFrame, right: DataFrame, label: str) -> DataFrame:
 # A01 ------------------------------------------------------------------------
 def card_stats(df: DataFrame, key: str = "card1", amt: str = AMT,
                median: str = "distributed") -> DataFrame:
-    """median: "distributed" (exact, skew-safe, see grouped_median),
-    "percentile" (exact, one value map per group), "approx" (sketch) or
-    "none" (not computed, for consumers that only read the moments)."""
+    """median: "distributed" (exact, skew-safe, see grouped_median) or "none"
+    (not computed, for consumers that only read the moments)."""
     a = F.col(amt)
     aggs = [F.count(a).alias(f"{key}_card_txn_count"),
             F.avg(a).alias(f"{key}_card_amt_mean"),
             F.stddev_samp(a).alias(f"{key}_card_amt_std"),
             F.min(a).alias(f"{key}_card_amt_min"),
             F.max(a).alias(f"{key}_card_amt_max")]
-    if median in ("percentile", "approx"):
-        aggs.append(_median(a, median == "percentile").alias(f"{key}_card_amt_median"))
     stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
     if median == "distributed":
         med = grouped_median(df, key, amt, f"{key}_card_amt_median")

@@ -251,6 +251,9 @@ def stateful_features(events: DataFrame, card_stats: DataFrame | None = None,
     df = P.row_features(events)
     if card_stats is not None:
         df = A.with_card_aggregations(df, key, stats=card_stats)
+    if "txn_country" in df.columns and "home_country" in df.columns:          # W09
+        df = df.withColumn("country_mismatch", F.coalesce(
+            F.col("txn_country") != F.col("home_country"), F.lit(False)))
     return with_card_state(df, key, expiry_ms=expiry_ms)
 
 
