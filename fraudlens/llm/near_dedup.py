@@ -14,11 +14,22 @@ chance below 1e-7, so:
 
 Lists of one value would emit a pair many times over, and a list of thousands
 of near copies all its pairs. Instead, lists with the same least member (by
-hash) are merged into one group, and a group is dealt into cells of at most
-two blocks of about ``BLOCK`` members, so no task holds a group. Within a cell
+hash) are merged into one group, and a group is dealt into cells of about
+``BLOCK`` members or two such blocks, so no task holds a group. Within a cell
 collisions are counted on the signatures, pairs with enough of them are
 confirmed on the full sets, pairs that are already connected are skipped, and
 only links that join two parts leave the cell: fewer rows than members.
+
+A group of several blocks goes through rounds. In each, a block meets itself
+and the group's pivots (some ``PIVOTS`` members drawn anew and the member with
+most links so far); links are contracted; a group that is one part by then is
+finished, and of the others only the members outside the largest part are
+dealt again. Once that no longer halves them, or one block of a group is left,
+the pairs still apart are compared in full: blocks of the rest with each other
+and with those of the largest part. Near copies of one text are joined by the
+rounds, so that their set rows grow with the members; texts that collide but
+are no copies are compared pair by pair.
+
 Components come from contracting links in Spark, each round written to the
 shared folder. No step drops or caps documents, lists or candidates.
 
@@ -40,7 +51,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudlens.llm.common import LEAST_ID, UPPER, identity, ship, written
@@ -49,6 +60,7 @@ ship(__name__)
 
 COORDINATES = 64
 BLOCK = 512
+PIVOTS = 64
 #: Chance that a pair exactly at the limit shows too few matches.
 MISS = 1e-7
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -146,30 +158,78 @@ def groups(nodes: DataFrame, matches: int) -> DataFrame:
     return prefix.join(lists, "key").select("grp", "nid").distinct()
 
 
-def cells(members: DataFrame) -> DataFrame:
-    """(grp, lo, hi, blk, nid): members dealt to pairs of blocks."""
-    # groups of more than one block: a table of its own, so that the join below
-    # is broadcast if it is small and can be split at a hot group if it is not
-    many = written(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-                   .select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("many")), "blocks")
-    own = F.pmod(F.xxhash64("nid", "grp"), F.col("blocks")).cast("int")
-    return (members.join(many, "grp", "left").withColumn("blocks", F.coalesce("many", F.lit(1)))
-            .select("grp", "nid", own.alias("blk"), "blocks")
-            .select("grp", "nid", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+def many_blocks(members: DataFrame) -> DataFrame:
+    """(grp, n) of the groups of more than one block: a table of its own, so
+    that joins with it are broadcast if it is small and can be split at a hot
+    group if it is not."""
+    return written(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+                   .where(F.col("n") > BLOCK), "blocks")
+
+
+def blocks(n) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def stars(rest: DataFrame, turn: int) -> DataFrame:
+    """(grp, lo, hi, blk, nid, root): the members outside the largest part
+    dealt to blocks, and pivots of the whole group to every block."""
+    count = blocks(F.col("rest"))
+    drawn = F.pmod(F.xxhash64("nid", "grp", F.lit(f"pivot {turn}")), F.ceil(F.col("n") / PIVOTS)) == 0
+    pivot = drawn | F.col("nid").eqNullSafe(F.col("hub"))
+    own = F.pmod(F.xxhash64("nid", "grp", F.lit(turn)), count).cast("int")
+    at = F.when(pivot, F.sequence(F.lit(0), count - 1)).when(~F.col("inner"), F.array(own))
+    return (rest.select("grp", "nid", "root", F.explode(at).alias("lo"))
+            .select("grp", "lo", F.col("lo").alias("hi"), F.lit(0).alias("blk"), "nid", "root"))
+
+
+def pairs(rest: DataFrame) -> DataFrame:
+    """(grp, lo, hi, blk, nid, root): blocks of the members outside the largest
+    part meet each other and the blocks of the largest part."""
+    few, most = blocks(F.col("rest")), blocks(F.col("n") - F.col("rest"))
+    draw = lambda count: F.pmod(F.xxhash64("nid", "grp"), count).cast("int")
+    own = F.when(F.col("inner"), few + draw(most)).otherwise(draw(few))
+    other = F.when(F.col("inner"), F.sequence(F.lit(0), few - 1)) \
+             .otherwise(F.sequence(F.lit(0), few + most - 1))
+    return (rest.select("grp", "nid", "root", own.alias("blk"), F.explode(other).alias("other"))
             .select("grp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
-                    "blk", "nid"))
+                    "blk", "nid", "root"))
+
+
+def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(grp, nid, root, inner, n, rest): members of the groups that are not one
+    part yet, whether they are in the group's largest part, and how many the
+    group has in all and outside that part."""
+    placed = written(members.join(roots, "nid", "left")
+                     .select("grp", "nid", F.coalesce("root", "nid").alias("root")), "placed")
+    parts = placed.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_groups = (parts.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+                   .where(F.col("top.n") < F.col("n"))
+                   .select("grp", "n", (F.col("n") - F.col("top.n")).alias("rest"),
+                           F.col("top.root").alias("main")))
+    return written(placed.join(written(open_groups, "open"), "grp")
+                   .select("grp", "nid", "root", (F.col("root") == F.col("main")).alias("inner"),
+                           "n", "rest"), "apart")
+
+
+def hubs(links: DataFrame) -> DataFrame:
+    """(grp, hub): the member with most links of a group."""
+    ends = links.select("grp", F.explode(F.array("na", "nb")).alias("nid"))
+    return (ends.groupBy("grp", "nid").agg(F.count(F.lit(1)).alias("n")).groupBy("grp")
+            .agg(F.max(F.struct("n", "nid")).alias("top")).select("grp", F.col("top.nid").alias("hub")))
 
 
 def linker(num: int, den: int, matches: int):
-    """Task function: the links of a cell that join two of its parts."""
+    """Task function: the links of a cell that join two of its parts, as roots
+    of those parts (a, b) and as members (na, nb)."""
     def link(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values(["blk", "nid"], kind="stable")
-        ids, blk = cell["nid"].to_numpy(), cell["blk"].to_numpy()
+        ids, blk, root = (cell[c].to_numpy() for c in ("nid", "blk", "root"))
         sign = np.frombuffer(b"".join(cell["sign"]), np.int32).reshape(len(ids), COORDINATES)
         sets = [np.frombuffer(x, np.uint64) for x in cell["items"]]
         sizes = np.array([len(x) for x in sets])
         across = cell["lo"].iat[0] != cell["hi"].iat[0]
-        part = np.arange(len(ids))                 # part of each member, by its least index
+        _, first, which = np.unique(root, return_index=True, return_inverse=True)
+        part = first[which]                        # part of each member, by its least index
         a_out, b_out = [], []
         for a in range(len(ids) - 1):
             b = np.arange(a + 1, len(ids))
@@ -187,12 +247,15 @@ def linker(num: int, den: int, matches: int):
             both = np.add.reduceat((sets[a][at] == flat).astype(np.int64), starts)
             for x in b[den * both >= num * (sizes[b] + sizes[a] - both)]:
                 if part[x] != part[a]:
-                    a_out.append(ids[a])
-                    b_out.append(ids[x])
+                    a_out.append(a)
+                    b_out.append(x)
                     lo, hi = sorted((part[a], part[x]))
                     part[part == hi] = lo
-        return pd.DataFrame({"a": np.minimum(a_out, b_out).astype("int64"),
-                             "b": np.maximum(a_out, b_out).astype("int64")})
+        one, two = np.array(a_out, np.int64), np.array(b_out, np.int64)
+        return pd.DataFrame({"grp": np.full(len(one), cell["grp"].iat[0]),
+                             "na": ids[one], "nb": ids[two],
+                             "a": np.minimum(root[one], root[two]),
+                             "b": np.maximum(root[one], root[two])})
     return link
 
 
@@ -219,6 +282,50 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def compared(cells: DataFrame, sets: DataFrame, num: int, den: int, matches: int) -> DataFrame:
+    """(grp, na, nb, a, b): the links found in the cells."""
+    found = (cells.join(sets, "nid").groupBy("grp", "lo", "hi")
+             .applyInPandas(linker(num, den, matches), "grp long, na long, nb long, a long, b long"))
+    return written(found, "found")
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots of the nodes after links between their roots."""
+    more = components(links).select(F.col("nid").alias("from"), F.col("root").alias("to"))
+    known = roots.join(more, F.col("root") == F.col("from"), "left") \
+                 .select("nid", F.coalesce("to", "root").alias("root"))
+    fresh = more.join(roots, F.col("from") == F.col("nid"), "left_anti").select("from", "to")
+    return written(known.union(fresh), "roots")
+
+
+def linked_parts(members: DataFrame, sets: DataFrame, num: int, den: int, matches: int) -> DataFrame:
+    """(nid, root) of all linked nodes, by the rounds of the module's text."""
+    many = many_blocks(members)
+    rest = (members.join(many, "grp", "left")
+            .select("grp", "nid", F.col("nid").alias("root"), F.lit(False).alias("inner"),
+                    F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("n", F.lit(1)).alias("rest"),
+                    F.lit(None).cast("long").alias("hub")))
+    links = compared(stars(rest, 0), sets, num, den, matches)
+    roots = components(links)
+    if many.isEmpty():
+        return roots
+    large = written(members.join(many.select("grp"), "grp"), "large")
+    turn, before, top = 1, large.count(), hubs(links.join(many.select("grp"), "grp", "left_semi"))
+    while True:
+        rest = apart(large, roots)
+        outside = rest.where(~F.col("inner"))
+        left = outside.where(F.col("rest") > BLOCK).count()
+        if left == 0 or turn > 1 and 2 * left > before:
+            break
+        star = stars(rest.where(F.col("rest") > BLOCK).join(written(top, "hubs"), "grp", "left"), turn)
+        links = compared(star, sets, num, den, matches)
+        roots, top = joined(roots, links), hubs(links)
+        turn, before = turn + 1, left
+    if outside.isEmpty():
+        return roots
+    return joined(roots, compared(pairs(rest), sets, num, den, matches))
+
+
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id, kept and group
@@ -240,9 +347,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
     sets = (full_sets(texts, id_col, text_col, width).dropDuplicates(["node"])
             .join(wanted.select("node", "nid"), "node").select("nid", "items", "sign"))
     sets = written(sets, "sets")
-    links = (cells(members).join(sets, "nid").groupBy("grp", "lo", "hi")
-             .applyInPandas(linker(num, den, matches), "a long, b long"))
-    roots = components(links)
+    roots = linked_parts(members, sets, num, den, matches)
 
     named = roots.join(nodes.select("nid", "first_id"), "nid")
     component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

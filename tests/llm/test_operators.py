@@ -102,6 +102,7 @@ def test_near_dedup_group_larger_than_a_block(spark, monkeypatch):
     """Near copies whose group is dealt over many cells: a chain of edits, so
     components need links that cross blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
     rnd, rows = random.Random(1), []
     words = [rnd.choice(VOCAB) for _ in range(150)]
     for i in range(60):
@@ -113,6 +114,58 @@ def test_near_dedup_group_larger_than_a_block(spark, monkeypatch):
         linked_components(rows, 85, 100, 3)
 
 
+def edited_copies(n, edits, seed=3):
+    """One text of 200 words and copies of it with words replaced."""
+    rnd = random.Random(seed)
+    base = [f"word{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        words = list(base)
+        for k in rnd.sample(range(200), edits):
+            words[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [1, 4])
+def test_near_dedup_set_rows_grow_with_the_members(spark, monkeypatch, edits):
+    """A hot group of 4 and of 16 blocks: sets dealt to cells grow as the
+    members do. With 4 edits two copies are mostly linked by the original alone."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 4)
+    compared, dealt = near_dedup.compared, {}
+    for n in (128, 512):
+        seen = []
+
+        def counted(cells, *rest):
+            seen.append(cells.count())
+            return compared(cells, *rest)
+        monkeypatch.setattr(near_dedup, "compared", counted)
+        rows = edited_copies(n, edits)
+        out = near_dedup.near_duplicates(hard(spark, rows), 85, 100, 3).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == \
+            linked_components(rows, 85, 100, 3)
+        dealt[n] = sum(seen)
+    assert dealt[512] < 7 * dealt[128], dealt
+
+
+def test_near_dedup_families_that_collide(spark, monkeypatch):
+    """Several originals that share most of their words: members of one group
+    that stay apart are compared in full."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    rnd, rows = random.Random(5), []
+    for family in range(6):
+        for _ in range(12):
+            words = [f"word{k}" for k in range(160)] + [f"family{family}word{k}" for k in range(25)]
+            words[rnd.randrange(160)] = f"edit{len(rows)}"
+            rows.append((len(rows), " ".join(words)))
+    for num in (85, 70):
+        out = near_dedup.near_duplicates(hard(spark, rows), num, 100, 3).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == \
+            linked_components(rows, num, 100, 3)
+
+
 def test_least_matches_bounds_the_miss():
     for s in (0.8, 0.85, 0.95):
         t = near_dedup.least_matches(s)
