@@ -10,7 +10,7 @@ from fraudlens.plans.q_aggregates import _cum_hist_sql
 from fraudlens.plans.q_features import r6
 from fraudlens.plans.q_rules import RS, events_chain_sql, stored_decisions
 from fraudlens.plans.registry import query
-from fraudlens.session import scratch_path
+from fraudlens.session import rocksdb, scratch_path
 from fraudlens.sources import views as V
 
 EV = events_chain_sql(RS)
@@ -69,12 +69,11 @@ def t06_stream_sustained_alert(spark, sf):
         "ts", F.lit("ALLOW").alias("decision")).where("ts is not null")
     d.unionByName(closing).write.parquet(source)
     live = spark.readStream.schema("ts timestamp, decision string").parquet(source)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     shares = MO.block_share(live.withWatermark("ts", MO.DEFAULT_WATERMARK))
-    running = (MO.sustained_stream(shares, "alert", "window_start", 30, 120).writeStream.format("parquet")
-     .option("checkpointLocation", scratch_path(spark, "alerts-ck")).option("path", out)
-     .outputMode("append").trigger(availableNow=True).start())
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with rocksdb(spark):
+        running = (MO.sustained_stream(shares, "alert", "window_start", 30, 120).writeStream
+                   .format("parquet").option("checkpointLocation", scratch_path(spark, "alerts-ck"))
+                   .option("path", out).outputMode("append").trigger(availableNow=True).start())
     running.awaitTermination()
     return spark.read.schema("run_start long, fired_at long").parquet(out)
 

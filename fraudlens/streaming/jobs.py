@@ -22,6 +22,7 @@ that has another within the hour. A continuous stream forgets cards after
 
 A card's messages of one micro-batch are sorted together in one task; the
 trigger's limit (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``) bounds them.
+With ``maps`` a card's batch passes in slices of hours instead (``card_maps``).
 """
 from __future__ import annotations
 
@@ -119,125 +120,145 @@ def _daily_average(days, amounts, keys0, sums0, counts0):
     return mean, keys, sums, counts
 
 
+NEW_CARD = ([], [], [], [], [], 0, 0, None, None, None, [], [], [])
+
+
+def advance(held: tuple, batch: pd.DataFrame, names: dict[str, bool], late_seconds: int,
+            more: bool = False) -> tuple[tuple, pd.DataFrame | None]:
+    """What a card's state holds (a ``CARD_STATE`` row) after these events, and
+    the events with ``STATE_COLUMNS`` (None if all are repeats). ``names``:
+    which optional columns the rows have. With ``more`` later slices of the
+    same batch follow, which need what lies before them."""
+    (ids, times, failed, lats, lons, n_seen, intl_seen, last_dt, last_lat, last_lon,
+     day_keys, day_sums, day_counts) = held
+    # an id that the state holds, or a second one in the batch, is a repeat
+    batch = batch.sort_values(["TransactionDT", "TransactionID"], kind="stable") \
+                 .drop_duplicates("TransactionID")
+    batch = batch[~batch["TransactionID"].isin(ids)].reset_index(drop=True)
+    m = len(batch)
+    if not m:
+        return held, None
+    bt = batch["TransactionDT"].to_numpy(dtype=np.int64)
+    column = lambda c: batch[c].to_numpy(dtype=float) if names[c] else np.full(m, np.nan)
+    bf = batch["failed"].fillna(False).to_numpy(dtype=np.int64)
+    all_t = np.concatenate([np.asarray(times, np.int64), bt])
+    order = np.argsort(all_t, kind="stable")
+    take = lambda old, new, kind: np.concatenate([np.asarray(old, kind), new])[order]
+    all_i = take(ids, batch["TransactionID"].to_numpy(dtype=np.int64), np.int64)
+    all_f = take(failed, bf, np.int64)
+    all_lat = take([_place(v) for v in lats], column("lat"), float)
+    all_lon = take([_place(v) for v in lons], column("lon"), float)
+    all_t = all_t[order]
+    spot = np.empty(len(order), np.int64)
+    spot[order] = np.arange(len(order))
+    spot = spot[len(times):]                              # place of each batch row
+    out = {}
+    hi = np.searchsorted(all_t, bt, side="right")
+    cum_f = np.concatenate([[0], np.cumsum(all_f)])
+    for name, n in W.VELOCITY_WINDOWS.items():
+        out[name] = hi - np.searchsorted(all_t, bt - n, side="right")
+    for name, n in W.FAILED_WINDOWS.items():
+        out[name] = cum_f[hi] - cum_f[np.searchsorted(all_t, bt - n, side="right")]
+    out["is_late"] = bt < last_dt - late_seconds if last_dt is not None else np.zeros(m, bool)
+    # previous event: the one before in time; else the card's latest, if earlier
+    inside = spot > 0
+    before = np.maximum(spot - 1, 0)
+    older = ~inside & (last_dt is not None and last_dt <= bt)
+    has_prev = inside | older
+    prev = np.where(inside, all_t[before], last_dt if last_dt is not None else 0)
+    gap = np.where(has_prev, bt - prev, -1)
+    out["card_txn_rank"] = n_seen + np.arange(1, m + 1)
+    out["card_prev_dt"] = pd.array(prev, dtype="Int64")
+    out["card_prev_dt"][~has_prev] = pd.NA
+    out["time_since_last_txn"] = gap
+    out["rapid_succession"] = ((gap > 0) & (gap < 60)).astype(np.int32)
+    mean, keys, sums, counts = _daily_average(
+        bt // DAY, batch["TransactionAmt"].to_numpy(dtype=float) if names["TransactionAmt"]
+        else np.zeros(m), np.asarray(day_keys, np.int64), day_sums, day_counts)
+    if names["TransactionAmt"]:
+        with np.errstate(invalid="ignore"):
+            out["amount_vs_avg_ratio"] = np.where(
+                np.isnan(mean), 1.0, batch["TransactionAmt"].to_numpy(dtype=float) / mean)
+    else:
+        out["amount_vs_avg_ratio"] = np.ones(m)
+    out["first_international"] = out["impossible_travel"] = np.zeros(m, bool)
+    if names["txn_country"] and names["home_country"]:
+        intl = (batch["txn_country"] != batch["home_country"]).fillna(False).to_numpy()
+        out["first_international"] = intl & (intl_seen + np.cumsum(intl) - intl == 0)
+        intl_seen = int(intl_seen + intl.sum())
+    if names["lat"] and names["lon"]:
+        plat = np.where(inside, all_lat[before], _place(last_lat))
+        plon = np.where(inside, all_lon[before], _place(last_lon))
+        r = np.pi / 180
+        h = np.sin((column("lat") - plat) * r / 2) ** 2 + np.cos(plat * r) \
+            * np.cos(column("lat") * r) * np.sin((column("lon") - plon) * r / 2) ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            km = 2 * W.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+            speed = np.where(gap > 0, km / (gap / 3600.0), np.where(km > 0, np.inf, 0.0))
+        out["impossible_travel"] = has_prev & (np.nan_to_num(speed, nan=0.0) > W.MAX_TRAVEL_KMH)
+    if last_dt is None or all_t[-1] >= last_dt:
+        last_dt, last_lat, last_lon = int(all_t[-1]), float(all_lat[-1]), float(all_lon[-1])
+    anchor = _confirmed(all_t)
+    keep = all_t > anchor - STATE_HORIZON
+    kept = keys >= anchor // DAY - AVG_DAYS
+    if more:
+        keep |= all_t > bt[-1] - STATE_HORIZON
+        kept |= keys >= bt[-1] // DAY - AVG_DAYS
+    held = (all_i[keep].tolist(), all_t[keep].tolist(), all_f[keep].tolist(),
+            all_lat[keep].tolist(), all_lon[keep].tolist(), int(n_seen + m), intl_seen,
+            last_dt, last_lat, last_lon, keys[kept].tolist(), sums[kept].tolist(),
+            counts[kept].astype(int).tolist())
+    return held, batch.assign(**{name: out[name] for name, _ in STATE_COLUMNS})
+
+
 def _card_state_fn(names: dict[str, bool], late_seconds: int, expiry_ms: int | None):
-    """``names``: which optional columns the rows have."""
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            (ids, times, failed, lats, lons, n_seen, intl_seen, last_dt, last_lat, last_lon,
-             day_keys, day_sums, day_counts) = state.get
-        else:
-            ids, times, failed, lats, lons, n_seen, intl_seen = [], [], [], [], [], 0, 0
-            last_dt = last_lat = last_lon = None
-            day_keys, day_sums, day_counts = [], [], []
-        # an id that the state holds, or a second one in the batch, is a repeat
-        batch = batch.sort_values(["TransactionDT", "TransactionID"], kind="stable") \
-                     .drop_duplicates("TransactionID")
-        batch = batch[~batch["TransactionID"].isin(ids)].reset_index(drop=True)
-        m = len(batch)
-        if not m:
-            if state.exists and expiry_ms is not None:
-                state.setTimeoutDuration(expiry_ms)
-            return
-        bt = batch["TransactionDT"].to_numpy(dtype=np.int64)
-        column = lambda c: batch[c].to_numpy(dtype=float) if names[c] else np.full(m, np.nan)
-        bf = batch["failed"].fillna(False).to_numpy(dtype=np.int64)
-        all_t = np.concatenate([np.asarray(times, np.int64), bt])
-        order = np.argsort(all_t, kind="stable")
-        take = lambda old, new, kind: np.concatenate([np.asarray(old, kind), new])[order]
-        all_i = take(ids, batch["TransactionID"].to_numpy(dtype=np.int64), np.int64)
-        all_f = take(failed, bf, np.int64)
-        all_lat = take([_place(v) for v in lats], column("lat"), float)
-        all_lon = take([_place(v) for v in lons], column("lon"), float)
-        all_t = all_t[order]
-        spot = np.empty(len(order), np.int64)
-        spot[order] = np.arange(len(order))
-        spot = spot[len(times):]                              # place of each batch row
-        out = {}
-        hi = np.searchsorted(all_t, bt, side="right")
-        cum_f = np.concatenate([[0], np.cumsum(all_f)])
-        for name, n in W.VELOCITY_WINDOWS.items():
-            out[name] = hi - np.searchsorted(all_t, bt - n, side="right")
-        for name, n in W.FAILED_WINDOWS.items():
-            out[name] = cum_f[hi] - cum_f[np.searchsorted(all_t, bt - n, side="right")]
-        out["is_late"] = bt < last_dt - late_seconds if last_dt is not None else np.zeros(m, bool)
-        # previous event: the one before in time; else the card's latest, if earlier
-        inside = spot > 0
-        before = np.maximum(spot - 1, 0)
-        older = ~inside & (last_dt is not None and last_dt <= bt)
-        has_prev = inside | older
-        prev = np.where(inside, all_t[before], last_dt if last_dt is not None else 0)
-        gap = np.where(has_prev, bt - prev, -1)
-        out["card_txn_rank"] = n_seen + np.arange(1, m + 1)
-        out["card_prev_dt"] = pd.array(prev, dtype="Int64")
-        out["card_prev_dt"][~has_prev] = pd.NA
-        out["time_since_last_txn"] = gap
-        out["rapid_succession"] = ((gap > 0) & (gap < 60)).astype(np.int32)
-        mean, keys, sums, counts = _daily_average(
-            bt // DAY, batch["TransactionAmt"].to_numpy(dtype=float) if names["TransactionAmt"]
-            else np.zeros(m), np.asarray(day_keys, np.int64), day_sums, day_counts)
-        if names["TransactionAmt"]:
-            with np.errstate(invalid="ignore"):
-                out["amount_vs_avg_ratio"] = np.where(
-                    np.isnan(mean), 1.0, batch["TransactionAmt"].to_numpy(dtype=float) / mean)
-        else:
-            out["amount_vs_avg_ratio"] = np.ones(m)
-        out["first_international"] = out["impossible_travel"] = np.zeros(m, bool)
-        if names["txn_country"] and names["home_country"]:
-            intl = (batch["txn_country"] != batch["home_country"]).fillna(False).to_numpy()
-            out["first_international"] = intl & (intl_seen + np.cumsum(intl) - intl == 0)
-            intl_seen = int(intl_seen + intl.sum())
-        if names["lat"] and names["lon"]:
-            plat = np.where(inside, all_lat[before], _place(last_lat))
-            plon = np.where(inside, all_lon[before], _place(last_lon))
-            r = np.pi / 180
-            h = np.sin((column("lat") - plat) * r / 2) ** 2 + np.cos(plat * r) \
-                * np.cos(column("lat") * r) * np.sin((column("lon") - plon) * r / 2) ** 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                km = 2 * W.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
-                speed = np.where(gap > 0, km / (gap / 3600.0), np.where(km > 0, np.inf, 0.0))
-            out["impossible_travel"] = has_prev & (np.nan_to_num(speed, nan=0.0) > W.MAX_TRAVEL_KMH)
-        if last_dt is None or all_t[-1] >= last_dt:
-            last_dt, last_lat, last_lon = int(all_t[-1]), float(all_lat[-1]), float(all_lon[-1])
-        anchor = _confirmed(all_t)
-        keep = all_t > anchor - STATE_HORIZON
-        kept = keys >= anchor // DAY - AVG_DAYS
-        state.update((all_i[keep].tolist(), all_t[keep].tolist(), all_f[keep].tolist(),
-                      all_lat[keep].tolist(), all_lon[keep].tolist(), int(n_seen + m), intl_seen,
-                      last_dt, last_lat, last_lon, keys[kept].tolist(), sums[kept].tolist(),
-                      counts[kept].astype(int).tolist()))
-        if expiry_ms is not None:
+        held, rows = advance(state.get if state.exists else NEW_CARD,
+                             pd.concat(list(pdfs), ignore_index=True), names, late_seconds)
+        if rows is not None:
+            state.update(held)
+        if state.exists and expiry_ms is not None:
             state.setTimeoutDuration(expiry_ms)
-        yield batch.assign(**{name: out[name] for name, _ in STATE_COLUMNS})
+        if rows is not None:
+            yield rows
     return fn
 
 
 def with_card_state(events: DataFrame, key: str = "card1", late_seconds: int = LATE_SECONDS,
-                    expiry_ms: int | None = None) -> DataFrame:
+                    expiry_ms: int | None = None, maps: bool = False) -> DataFrame:
     """Streaming (or batch) rows with ``STATE_COLUMNS`` from keyed state; rows
     without a card get neutral values beside it. ``expiry_ms`` forgets idle
     cards; it suits streams that run on, since Spark then never runs out of
-    batches and an available-now trigger would not end."""
+    batches and an available-now trigger would not end. ``maps`` keeps the
+    state as maps of minutes and days and takes a card's batch in slices (see
+    ``card_maps``; streams only, needs the RocksDB state store)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     if "failed" not in events.columns:
         events = events.withColumn("failed", F.lit(False))
     names = {c: c in events.columns for c in ("lat", "lon", "txn_country", "home_country",
                                               "TransactionAmt")}
     schema = T.StructType(list(events.schema.fields) + [T.StructField(n, t) for n, t in STATE_COLUMNS])
-    known = (events.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(
-        _card_state_fn(names, late_seconds, expiry_ms), schema, CARD_STATE, "append",
-        GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.ProcessingTimeTimeout))
+    cards = events.where(F.col(key).isNotNull()).groupBy(key)
+    if maps:
+        from fraudlens.streaming.card_maps import CardMaps
+        known = cards.transformWithStateInPandas(
+            CardMaps(names, late_seconds, expiry_ms), schema, "Append",
+            "None" if expiry_ms is None else "ProcessingTime")
+    else:
+        known = cards.applyInPandasWithState(
+            _card_state_fn(names, late_seconds, expiry_ms), schema, CARD_STATE, "append",
+            GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
     rows = events.where(F.col(key).isNull()).withColumn("is_late", F.lit(False))
     return W.with_anonymous(known, rows)
 
 
-def card_velocity(events: DataFrame, key: str = "card1") -> DataFrame:
+def card_velocity(events: DataFrame, key: str = "card1", maps: bool = False) -> DataFrame:
     """Per-card velocity counts from keyed state."""
     cols = ["TransactionID", key, "TransactionDT", *[c for c in ("failed",) if c in events.columns]]
-    return with_card_state(events.select(*cols), key).select(
+    return with_card_state(events.select(*cols), key, maps=maps).select(
         "TransactionID", *W.VELOCITY_WINDOWS, *W.FAILED_WINDOWS)
 
 
