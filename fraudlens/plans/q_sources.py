@@ -11,7 +11,7 @@ from fraudlens.operators import store as ST
 from fraudlens.plans import sql as S
 from fraudlens.plans.q_rules import RS, events_chain_sql, stored_decisions
 from fraudlens.plans.registry import query
-from fraudlens.session import scratch_path
+from fraudlens.session import materialize, scratch_path
 from fraudlens.sources import io as IO
 from fraudlens.sources import views as V
 
@@ -54,6 +54,37 @@ def s07_message_envelope(spark, sf):
     return IO.envelope(msgs, key="msg_key")
 
 
+@query("s07_given_envelope", S.with_ctes(S.TXN_EVENTS) + """
+SELECT CASE WHEN TransactionID % 5 <> 0 THEN CAST(TransactionID AS VARCHAR) END AS key,
+       CASE WHEN TransactionID % 3 <> 0 THEN 'm' || TransactionID END AS message_id,
+       CASE WHEN TransactionID % 7 <> 0 THEN TransactionDT END AS produced_at,
+       true AS complete, 1::BIGINT AS n_same_id
+FROM txn_events""")
+def s07_given_envelope(spark, sf):
+    """Keys, ids and times that messages bring are kept; where one is absent it
+    is made (shown as null here) and made ids are all different."""
+    i = F.col("TransactionID")
+    t = V.txn_events(spark, sf).select(*EVENT_MESSAGE_SCHEMA.fieldNames())
+    msgs = IO.encode_json(t.withColumns({
+        "msg_key": F.when(i % 5 != 0, i),
+        "message_id": F.when(i % 3 != 0, F.concat(F.lit("m"), i)),
+        "produced_at": F.when(i % 7 != 0, F.timestamp_seconds("TransactionDT"))}),
+        cols=EVENT_MESSAGE_SCHEMA.fieldNames())
+    made = IO.envelope(msgs, key="msg_key")
+    made = materialize(made.withColumn("i", F.get_json_object("value", "$.TransactionID").cast("long")),
+                       "table")           # drawn once
+    same = made.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_same_id"))
+    uuid = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+    complete = (((F.col("i") % 5 != 0) | F.col("key").rlike(uuid))
+                & ((F.col("i") % 3 != 0) | F.col("message_id").rlike(uuid))
+                & F.col("produced_at").isNotNull())
+    return made.join(same, "message_id").select(
+        F.when(F.col("i") % 5 != 0, F.col("key")).alias("key"),
+        F.when(F.col("i") % 3 != 0, F.col("message_id")).alias("message_id"),
+        F.when(F.col("i") % 7 != 0, F.unix_seconds("produced_at")).alias("produced_at"),
+        complete.alias("complete"), "n_same_id")
+
+
 def _raw_topic(spark, sf):
     """Messages on one topic: event transactions as JSON plus raw page bodies
     that are not JSON at all (poison messages)."""
