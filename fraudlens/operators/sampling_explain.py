@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudlens.operators.explain import DECREASES, INCREASES
+from fraudlens.session import dealt
 
 BACKGROUND = 100
 MAX_COALITIONS = 2048
 CHUNK = 64                      # rows scored at once
+LEAST_ROWS, MOST_ROWS = 500, 50_000      # rows of a task
 Predict = Callable[[np.ndarray], np.ndarray]      # (n, features) -> n probabilities
 
 
@@ -37,6 +39,7 @@ def logistic(intercept: float, weights: list[float]) -> Predict:
     def predict(x: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):            # a margin far below 0 is probability 0
             return 1.0 / (1.0 + np.exp(-(intercept + x @ w)))
+    predict.linear = (intercept, w)
     return predict
 
 
@@ -106,9 +109,16 @@ def shapley(x: np.ndarray, background: np.ndarray, predict: Predict, z: np.ndarr
     if m == 1:
         return (p - base)[:, None], p, base
     v = np.empty((len(x), len(z)))
-    for n, s in enumerate(z):
-        mixed = x[:, None, :] * s + background[None, :, :] * (1.0 - s)
-        v[:, n] = predict(mixed.reshape(-1, m)).reshape(len(x), -1).mean(axis=1)
+    if hasattr(predict, "linear"):      # a mixed row's margin is the sum of its two sides'
+        intercept, w = predict.linear
+        own, other = (x * w) @ z.T, (background * w) @ (1.0 - z).T
+        with np.errstate(over="ignore"):
+            for n in range(len(x)):
+                v[n] = (1.0 / (1.0 + np.exp(-(intercept + own[n] + other)))).mean(axis=0)
+    else:
+        for n, s in enumerate(z):
+            mixed = x[:, None, :] * s + background[None, :, :] * (1.0 - s)
+            v[:, n] = predict(mixed.reshape(-1, m)).reshape(len(x), -1).mean(axis=1)
     total = p - base
     head = (v - base - total[:, None] * z[:, -1]) @ a.T
     return np.column_stack([head, total - head.sum(axis=1)]), p, base
@@ -142,7 +152,8 @@ def explain(df: DataFrame, features: list[str], predict: Predict, background: np
                     "base_value": base, "shap_sum": phi.sum(axis=1)[i],
                     "predicted_probability": p[i]})
     id_type = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("_id"), F.array(*[_value(df, f) for f in features]).alias("_x")) \
+    given = df.select(F.col(id_col).alias("_id"), F.array(*[_value(df, f) for f in features]).alias("_x"))
+    out = dealt(given, LEAST_ROWS, MOST_ROWS) \
         .mapInPandas(fn, f"_id {id_type}, rank int, feature string, value double, shap_value double, "
                          "base_value double, shap_sum double, predicted_probability double")
     return out.withColumnRenamed("_id", id_col).withColumn(
