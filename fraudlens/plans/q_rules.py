@@ -14,6 +14,7 @@ from fraudlens.plans.q_aggregates import _cum_hist_sql
 from fraudlens.plans.registry import query
 from fraudlens.session import _SCRATCH, scratch_path
 from fraudlens.sources import views as V
+from fraudlens.sources.io import path_exists
 
 # Velocity limits low enough to fire on the driver's event rates
 # (they peak at about 2 per minute and 3 per hour at sf 0.01).
@@ -111,10 +112,11 @@ _STORED: dict[tuple, str] = {}
 
 def stored_decisions(spark, sf, rs: R.RuleSet | None = None):
     """The decided events as a table, scored once per session: what reports,
-    alerts and lookups read, so their filters and columns reach the scan."""
+    alerts and lookups read, so their filters and columns reach the scan. They
+    are scored again where the shared folder has been emptied meanwhile."""
     rs = rs or R.load_rules()
     key = (spark.sparkContext.applicationId, sf, json.dumps(rs.rules, sort_keys=True, default=str))
-    if _STORED.get(key) not in _SCRATCH:
+    if _STORED.get(key) not in _SCRATCH or not path_exists(spark, f"{_STORED[key]}/_SUCCESS"):
         path = scratch_path(spark, "decisions")
         events_decided(spark, sf, rs).write.parquet(path)
         _STORED[key] = path
