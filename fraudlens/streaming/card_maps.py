@@ -3,18 +3,20 @@ entry per event minute and per day instead of one value with thirteen arrays.
 
 * A micro-batch reads a card's entries and writes back only the minutes and
   days that it changed, so a card with a long month does not rewrite it.
-* A card's rows come in Arrow chunks. One chunk is handled as it is. If there
-  are more, every chunk is first put aside in the state store by hour, and the
-  hours are then handled in time order, so the worker holds an hour of events
-  and the hour before it, not the card's whole batch. Results are those of the
-  whole batch in time order; a repeat of an id is told within an hour
-  (``jobs.unique_ids`` tells it for the stream's life).
+* A card's rows come in Arrow chunks. Up to two chunks (a card whose rows lie
+  across two of them) are handled as they are. If there are more, every chunk
+  is first put aside in the state store by hour, and the hours are then handled
+  in time order, as many at once as have a chunk's rows, so the worker holds a
+  chunk or an hour of events and the hour before it, not the card's whole
+  batch. Results are those of the whole batch in time order; a repeat of an id
+  is told within an hour (``jobs.unique_ids`` tells it for the stream's life).
 * With ``expiry_ms`` every entry has a time to live: idle cards are forgotten
   by the store, without a timer per card.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -61,9 +63,11 @@ class CardMaps(StatefulProcessor):
         self.aside = handle.getMapState("aside", "hour long, part int", "rows binary", self.expiry_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        minutes = {int(k[0]): tuple(list(x) for x in v) for k, v in self.minutes.iterator()}
-        days = {int(k[0]): (float(v[0]), int(v[1])) for k, v in self.days.iterator()}
-        held = self.held(minutes, days)
+        minutes, days, held = {}, {}, J.NEW_CARD
+        if self.card.exists():      # it is written with every entry and expires last
+            minutes = {int(k[0]): tuple(list(x) for x in v) for k, v in self.minutes.iterator()}
+            days = {int(k[0]): (float(v[0]), int(v[1])) for k, v in self.days.iterator()}
+            held = self.held(minutes, days)
         for chunk, more in self.slices(rows):
             held, out = J.advance(held, chunk, self.names, self.late_seconds, more)
             if out is not None:
@@ -71,8 +75,6 @@ class CardMaps(StatefulProcessor):
         self.store(held, minutes, days)
 
     def held(self, minutes: dict, days: dict) -> tuple:
-        if not self.card.exists():
-            return J.NEW_CARD
         events = [sum((minutes[m][i] for m in sorted(minutes)), []) for i in range(5)]
         order = sorted(days)
         return (*events, *self.card.get(), order, [days[d][0] for d in order],
@@ -96,31 +98,34 @@ class CardMaps(StatefulProcessor):
 
     def slices(self, chunks: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
         """The card's rows in time order and whether more follow."""
-        first = next(chunks)
-        second = next(chunks, None)
-        if second is None:
-            yield first, False
+        head = list(islice(chunks, 3))
+        if len(head) < 3:
+            yield (head[0] if len(head) == 1 else pd.concat(head, ignore_index=True)), False
             return
-        parts: dict[int, int] = {}
-        for chunk in self.chain(first, second, chunks):
+        parts: dict[int, list[int]] = {}
+        most = 0
+        for chunk in chain(head, chunks):
+            most = max(most, len(chunk))
             for hour, rows in chunk.groupby(chunk["TransactionDT"] // HOUR):
-                part = parts.get(int(hour), 0)
-                self.aside.updateValue((int(hour), part), (packed(rows),))
-                parts[int(hour)] = part + 1
-        order = sorted(parts)
-        for hour in order:
-            keys = [(hour, part) for part in range(parts[hour])]
+                sizes = parts.setdefault(int(hour), [])
+                self.aside.updateValue((int(hour), len(sizes)), (packed(rows),))
+                sizes.append(len(rows))
+        slices: list[list[int]] = []
+        room = 0
+        for hour in sorted(parts):
+            n = sum(parts[hour])
+            if n > room:
+                slices.append([])
+                room = most
+            slices[-1].append(hour)
+            room -= n
+        for hours in slices:
+            keys = [(hour, part) for hour in hours for part in range(len(parts[hour]))]
             rows = pd.concat([unpacked(bytes(self.aside.getValue(k)[0])) for k in keys],
                              ignore_index=True)
             for k in keys:
                 self.aside.removeKey(k)
-            yield rows, hour != order[-1]
-
-    @staticmethod
-    def chain(first, second, rest):
-        yield first
-        yield second
-        yield from rest
+            yield rows, hours is not slices[-1]
 
     def close(self) -> None:
         pass

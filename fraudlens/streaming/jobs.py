@@ -112,7 +112,7 @@ def _daily_average(days, amounts, keys0, sums0, counts0):
     cs, cn = np.concatenate([[0.0], np.cumsum(sums)]), np.concatenate([[0.0], np.cumsum(counts)])
     lo, hi = np.searchsorted(keys, days - AVG_DAYS), np.searchsorted(keys, days)
     earlier_s = pd.Series(amounts).groupby(at).cumsum().to_numpy() - amounts
-    earlier_n = pd.Series(np.ones(len(days))).groupby(at).cumsum().to_numpy() - 1.0
+    earlier_n = np.arange(len(days)) - np.searchsorted(days, days)
     s = cs[hi] - cs[lo] + start_s[row] + earlier_s
     n = cn[hi] - cn[lo] + start_n[row] + earlier_n
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -132,15 +132,20 @@ def advance(held: tuple, batch: pd.DataFrame, names: dict[str, bool], late_secon
     (ids, times, failed, lats, lons, n_seen, intl_seen, last_dt, last_lat, last_lon,
      day_keys, day_sums, day_counts) = held
     # an id that the state holds, or a second one in the batch, is a repeat
-    batch = batch.sort_values(["TransactionDT", "TransactionID"], kind="stable") \
-                 .drop_duplicates("TransactionID")
-    batch = batch[~batch["TransactionID"].isin(ids)].reset_index(drop=True)
-    m = len(batch)
+    row_ids = batch["TransactionID"].to_numpy()
+    rows = np.lexsort((row_ids, batch["TransactionDT"].to_numpy()))
+    rows = rows[np.sort(np.unique(row_ids[rows], return_index=True)[1])]
+    if len(ids):
+        rows = rows[~np.isin(row_ids[rows], ids)]
+    m = len(rows)
     if not m:
         return held, None
+    batch = batch.take(rows)
+    batch.index = pd.RangeIndex(m)
     bt = batch["TransactionDT"].to_numpy(dtype=np.int64)
     column = lambda c: batch[c].to_numpy(dtype=float) if names[c] else np.full(m, np.nan)
-    bf = batch["failed"].fillna(False).to_numpy(dtype=np.int64)
+    bf = batch["failed"]
+    bf = (bf if bf.dtype == bool else bf.eq(True)).to_numpy(dtype=np.int64)
     all_t = np.concatenate([np.asarray(times, np.int64), bt])
     order = np.argsort(all_t, kind="stable")
     take = lambda old, new, kind: np.concatenate([np.asarray(old, kind), new])[order]
@@ -168,18 +173,17 @@ def advance(held: tuple, batch: pd.DataFrame, names: dict[str, bool], late_secon
     prev = np.where(inside, all_t[before], last_dt if last_dt is not None else 0)
     gap = np.where(has_prev, bt - prev, -1)
     out["card_txn_rank"] = n_seen + np.arange(1, m + 1)
-    out["card_prev_dt"] = pd.array(prev, dtype="Int64")
-    out["card_prev_dt"][~has_prev] = pd.NA
+    out["card_prev_dt"] = pd.arrays.IntegerArray(prev.astype(np.int64), ~has_prev)
     out["time_since_last_txn"] = gap
     out["rapid_succession"] = ((gap > 0) & (gap < 60)).astype(np.int32)
-    mean, keys, sums, counts = _daily_average(
-        bt // DAY, batch["TransactionAmt"].to_numpy(dtype=float) if names["TransactionAmt"]
-        else np.zeros(m), np.asarray(day_keys, np.int64), day_sums, day_counts)
+    keys, sums, counts = (np.asarray(x, kind) for x, kind in
+                          ((day_keys, np.int64), (day_sums, float), (day_counts, float)))
     if names["TransactionAmt"]:
+        amounts = batch["TransactionAmt"].to_numpy(dtype=float)
+        mean, keys, sums, counts = _daily_average(bt // DAY, amounts, keys, sums, counts)
         with np.errstate(invalid="ignore"):
-            out["amount_vs_avg_ratio"] = np.where(
-                np.isnan(mean), 1.0, batch["TransactionAmt"].to_numpy(dtype=float) / mean)
-    else:
+            out["amount_vs_avg_ratio"] = np.where(np.isnan(mean), 1.0, amounts / mean)
+    else:                                                 # no amounts, no daily totals
         out["amount_vs_avg_ratio"] = np.ones(m)
     out["first_international"] = out["impossible_travel"] = np.zeros(m, bool)
     if names["txn_country"] and names["home_country"]:
@@ -208,7 +212,8 @@ def advance(held: tuple, batch: pd.DataFrame, names: dict[str, bool], late_secon
             all_lat[keep].tolist(), all_lon[keep].tolist(), int(n_seen + m), intl_seen,
             last_dt, last_lat, last_lon, keys[kept].tolist(), sums[kept].tolist(),
             counts[kept].astype(int).tolist())
-    return held, batch.assign(**{name: out[name] for name, _ in STATE_COLUMNS})
+    added = pd.DataFrame({name: out[name] for name, _ in STATE_COLUMNS}, copy=False)
+    return held, pd.concat([batch, added], axis=1)
 
 
 def _card_state_fn(names: dict[str, bool], late_seconds: int, expiry_ms: int | None):
@@ -265,17 +270,18 @@ def card_velocity(events: DataFrame, key: str = "card1", maps: bool = False) ->
 # T01 + T04: one stateful scoring query -----------------------------------------
 def stateful_features(events: DataFrame, card_stats: DataFrame | None = None,
                       key: str = "card1", expiry_ms: int | None = None) -> DataFrame:
-    """Row features, a stream-static join to fitted card statistics, and the
-    card's state for every history-dependent input (T04)."""
+    """The card's state for every history-dependent input (T04), row features
+    and a stream-static join to fitted card statistics. The state comes first:
+    the message's own columns are all that it needs and that pass through it."""
     from fraudlens.operators import aggregations as A
     from fraudlens.operators import pipeline as P
-    df = P.row_features(events)
+    df = P.row_features(with_card_state(events, key, expiry_ms=expiry_ms))
     if card_stats is not None:
         df = A.with_card_aggregations(df, key, stats=card_stats)
     if "txn_country" in df.columns and "home_country" in df.columns:          # W09
         df = df.withColumn("country_mismatch", F.coalesce(
             F.col("txn_country") != F.col("home_country"), F.lit(False)))
-    return with_card_state(df, key, expiry_ms=expiry_ms)
+    return df
 
 
 def scored_stream(events: DataFrame, card_stats: DataFrame | None = None,

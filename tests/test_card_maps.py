@@ -109,3 +109,73 @@ def test_velocity_without_optional_columns(spark, tmpdir_path):
     rows = _rows(spark, tmpdir_path, [events[:10], events[10:]], True, schema)
     assert [rows[i]["card_txn_count_1min"] for i in (0, 2, 4, 19)] == [1, 2, 2, 2]
     assert rows[19]["card_txn_count_1hour"] == 10
+
+
+class _Calls(dict):
+    """A map state that counts what is asked of it."""
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self[k] = v
+
+    def getValue(self, k):
+        self.calls += 1
+        return self[k]
+
+    def removeKey(self, k):
+        self.calls += 1
+        del self[k]
+
+    def iterator(self):
+        self.calls += 1
+        return iter(self.items())
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+def _card_maps():
+    from fraudlens.streaming.card_maps import CardMaps
+    maps = CardMaps({c: False for c in ("lat", "lon", "txn_country", "home_country", "TransactionAmt")},
+                    600, None)
+    maps.card, maps.minutes, maps.days, maps.aside = _Value(), _Calls(), _Calls(), _Calls()
+    return maps
+
+
+def _month(n):
+    import pandas as pd
+    step = 30 * 86400 // n
+    return pd.DataFrame({"TransactionID": range(n), "TransactionDT": [step * i for i in range(n)],
+                         "card1": 1, "failed": False})
+
+
+def test_a_month_of_a_card_across_two_chunks_is_one_slice():
+    """No hour is put aside, no day without amounts is stored, a new card's maps are not read."""
+    maps, rows = _card_maps(), _month(60)
+    out = list(maps.handleInputRows((1,), iter([rows.iloc[:20], rows.iloc[20:]]), None))
+    assert [len(x) for x in out] == [60]
+    assert maps.aside.calls == maps.days.calls == 0 and maps.minutes.calls == 1
+
+
+def test_sparse_hours_are_handled_together():
+    """Slices of a chunk's rows at most, not one per hour, with the whole batch's counts."""
+    maps, rows = _card_maps(), _month(3000)
+    out = list(maps.handleInputRows((1,), iter([rows.iloc[k:k + 1000] for k in (1000, 0, 2000)]), None))
+    assert len(out) <= 4 and sum(len(x) for x in out) == 3000 and not maps.aside
+    assert [r for x in out for r in x["card_txn_rank"]] == list(range(1, 3001))
+    whole = J.advance(J.NEW_CARD, rows, maps.names, 600)[1]
+    assert [r for x in out for r in x["card_txn_count_1hour"]] == list(whole["card_txn_count_1hour"])
