@@ -89,7 +89,7 @@ def j07_alert_transaction_join(spark, sf):
     d = stored_decisions(spark, sf)
     a = ST.alerts_table(d).select("transaction_id", "alert_type")
     t = ST.transactions_table(d).select("transaction_id", "TransactionAmt")
-    return a.join(t, "transaction_id", "left")
+    return a.join(t.hint("merge"), "transaction_id", "left")      # t: every event, not broadcast
 
 
 @query("u06_audit_records", EV + """
