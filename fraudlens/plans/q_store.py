@@ -79,7 +79,8 @@ def j06_prediction_transaction_join(spark, sf):
     d = stored_decisions(spark, sf)
     t = ST.transactions_table(d)
     p = ST.predictions_table(d, MODEL)
-    return t.join(p, "transaction_id").select("transaction_id", "TransactionAmt", "decision")
+    # both sides grow with the events; their compressed files look small enough to broadcast
+    return t.join(p.hint("merge"), "transaction_id").select("transaction_id", "TransactionAmt", "decision")
 
 
 @query("j07_alert_transaction_join", EV + """

@@ -30,6 +30,12 @@ def rows_of(df):
     return [tuple(r) for r in df.collect()]
 
 
+def test_predictions_with_their_transactions(spark, stored):
+    got = rows_of(Q.j06_prediction_transaction_join(spark, stored))
+    assert sorted(got, key=lambda r: int(r[0])) == [
+        (str(i), i / 4, "BLOCK" if i % 10 == 0 else "ALLOW") for i in range(ROWS)]
+
+
 def test_alerts_with_their_transactions(spark, stored):
     got = rows_of(Q.j07_alert_transaction_join(spark, stored))
     assert sorted(got, key=lambda r: int(r[0])) == [
