@@ -64,7 +64,8 @@ def alert_message(alerts: DataFrame) -> DataFrame:
 def mark_delivered(alerts: DataFrame, delivered_ids: DataFrame, key: str = "transaction_id"
                    ) -> DataFrame:
     d = delivered_ids.select(F.col(key).alias("_d")).distinct().withColumn("_hit", F.lit(True))
-    j = alerts.join(d, F.col(key) == F.col("_d"), "left")
+    # as many acknowledgements as alerts: not broadcast, however small their files look
+    j = alerts.join(d.hint("merge"), F.col(key) == F.col("_d"), "left")
     return j.withColumn("delivered", F.col("delivered") | F.coalesce(F.col("_hit"), F.lit(False))) \
             .drop("_d", "_hit")
 

@@ -40,3 +40,8 @@ def test_alerts_with_their_transactions(spark, stored):
     got = rows_of(Q.j07_alert_transaction_join(spark, stored))
     assert sorted(got, key=lambda r: int(r[0])) == [
         (str(i), "FRAUD_BLOCKED", i / 4) for i in range(0, ROWS, 10)]
+
+
+def test_undelivered_alerts(spark, stored):
+    got = rows_of(Q.k03_undelivered_alerts(spark, stored))
+    assert got == [(str(i), i) for i in range(10, ROWS, 20)][:50]
