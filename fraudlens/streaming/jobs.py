@@ -111,8 +111,9 @@ def _daily_average(days, amounts, keys0, sums0, counts0):
     np.add.at(counts, row, 1.0)
     cs, cn = np.concatenate([[0.0], np.cumsum(sums)]), np.concatenate([[0.0], np.cumsum(counts)])
     lo, hi = np.searchsorted(keys, days - AVG_DAYS), np.searchsorted(keys, days)
-    earlier_s = pd.Series(amounts).groupby(at).cumsum().to_numpy() - amounts
-    earlier_n = np.arange(len(days)) - np.searchsorted(days, days)
+    first = np.searchsorted(days, own)                    # rows are in time order
+    earlier_s = np.concatenate([np.cumsum(x) for x in np.split(amounts, first[1:])]) - amounts
+    earlier_n = np.arange(len(days)) - first[at]
     s = cs[hi] - cs[lo] + start_s[row] + earlier_s
     n = cn[hi] - cn[lo] + start_n[row] + earlier_n
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -140,12 +141,11 @@ def advance(held: tuple, batch: pd.DataFrame, names: dict[str, bool], late_secon
     m = len(rows)
     if not m:
         return held, None
-    batch = batch.take(rows)
-    batch.index = pd.RangeIndex(m)
+    batch = {c: batch[c].array.take(rows) for c in batch.columns}
     bt = batch["TransactionDT"].to_numpy(dtype=np.int64)
-    column = lambda c: batch[c].to_numpy(dtype=float) if names[c] else np.full(m, np.nan)
+    column = lambda c: pd.Series(batch[c]).to_numpy(dtype=float) if names[c] else np.full(m, np.nan)
     bf = batch["failed"]
-    bf = (bf if bf.dtype == bool else bf.eq(True)).to_numpy(dtype=np.int64)
+    bf = bf.to_numpy(dtype=np.int64) if bf.dtype == bool else pd.Series(bf).eq(True).to_numpy(dtype=np.int64)
     all_t = np.concatenate([np.asarray(times, np.int64), bt])
     order = np.argsort(all_t, kind="stable")
     take = lambda old, new, kind: np.concatenate([np.asarray(old, kind), new])[order]
@@ -179,7 +179,7 @@ def advance(held: tuple, batch: pd.DataFrame, names: dict[str, bool], late_secon
     keys, sums, counts = (np.asarray(x, kind) for x, kind in
                           ((day_keys, np.int64), (day_sums, float), (day_counts, float)))
     if names["TransactionAmt"]:
-        amounts = batch["TransactionAmt"].to_numpy(dtype=float)
+        amounts = column("TransactionAmt")
         mean, keys, sums, counts = _daily_average(bt // DAY, amounts, keys, sums, counts)
         with np.errstate(invalid="ignore"):
             out["amount_vs_avg_ratio"] = np.where(np.isnan(mean), 1.0, amounts / mean)
@@ -187,7 +187,7 @@ def advance(held: tuple, batch: pd.DataFrame, names: dict[str, bool], late_secon
         out["amount_vs_avg_ratio"] = np.ones(m)
     out["first_international"] = out["impossible_travel"] = np.zeros(m, bool)
     if names["txn_country"] and names["home_country"]:
-        intl = (batch["txn_country"] != batch["home_country"]).fillna(False).to_numpy()
+        intl = (pd.Series(batch["txn_country"]) != pd.Series(batch["home_country"])).fillna(False).to_numpy()
         out["first_international"] = intl & (intl_seen + np.cumsum(intl) - intl == 0)
         intl_seen = int(intl_seen + intl.sum())
     if names["lat"] and names["lon"]:
@@ -212,12 +212,21 @@ def advance(held: tuple, batch: pd.DataFrame, names: dict[str, bool], late_secon
             all_lat[keep].tolist(), all_lon[keep].tolist(), int(n_seen + m), intl_seen,
             last_dt, last_lat, last_lon, keys[kept].tolist(), sums[kept].tolist(),
             counts[kept].astype(int).tolist())
-    added = pd.DataFrame({name: out[name] for name, _ in STATE_COLUMNS}, copy=False)
-    return held, pd.concat([batch, added], axis=1)
+    return held, pd.DataFrame({**batch, **{name: out[name] for name, _ in STATE_COLUMNS}}, copy=False)
+
+
+#: Groups that the rows without a card of a micro-batch are dealt to.
+ANONYMOUS = 1024
 
 
 def _card_state_fn(names: dict[str, bool], late_seconds: int, expiry_ms: int | None):
+    unknown = dict.fromkeys(n for n, _ in STATE_COLUMNS)
+
     def fn(key, pdfs, state):
+        if pd.isna(key[0]):                 # nobody's history: no state, values follow
+            for pdf in pdfs:
+                yield pdf.assign(**unknown)
+            return
         if state.hasTimedOut:
             state.remove()
             return
@@ -245,19 +254,23 @@ def with_card_state(events: DataFrame, key: str = "card1", late_seconds: int = L
         events = events.withColumn("failed", F.lit(False))
     names = {c: c in events.columns for c in ("lat", "lon", "txn_country", "home_country",
                                               "TransactionAmt")}
-    schema = T.StructType(list(events.schema.fields) + [T.StructField(n, t) for n, t in STATE_COLUMNS])
-    cards = events.where(F.col(key).isNotNull()).groupBy(key)
+    def state_schema(rows: DataFrame) -> T.StructType:
+        return T.StructType(list(rows.schema.fields) + [T.StructField(n, t) for n, t in STATE_COLUMNS])
     if maps:
         from fraudlens.streaming.card_maps import CardMaps
-        known = cards.transformWithStateInPandas(
-            CardMaps(names, late_seconds, expiry_ms), schema, "Append",
+        known = events.where(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(
+            CardMaps(names, late_seconds, expiry_ms), state_schema(events), "Append",
             "None" if expiry_ms is None else "ProcessingTime")
-    else:
-        known = cards.applyInPandasWithState(
-            _card_state_fn(names, late_seconds, expiry_ms), schema, CARD_STATE, "append",
-            GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-    rows = events.where(F.col(key).isNull()).withColumn("is_late", F.lit(False))
-    return W.with_anonymous(known, rows)
+        rows = events.where(F.col(key).isNull()).withColumn("is_late", F.lit(False))
+        return W.with_anonymous(known, rows)
+    # rows without a card pass in the same step, dealt out by id: a branch of
+    # their own would read, parse and look up all events again
+    dealt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64("TransactionID"), F.lit(ANONYMOUS)))
+    events = events.withColumn("_dealt", dealt)
+    known = events.groupBy(key, "_dealt").applyInPandasWithState(
+        _card_state_fn(names, late_seconds, expiry_ms), state_schema(events), CARD_STATE, "append",
+        GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return W.neutral_without(known.drop("_dealt"), key, STATE_COLUMNS)
 
 
 def card_velocity(events: DataFrame, key: str = "card1", maps: bool = False) -> DataFrame:
