@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -366,7 +367,8 @@ def score_stream(raw: DataFrame, schema: T.StructType, out_dir: str, checkpoint:
     def run(batch: DataFrame, epoch_id: int):
         if "_dead" not in batch.columns:   # pending rows that are drained
             batch = batch.withColumn("_dead", none)
-        rows = batch.persist()             # read by four sinks; lost blocks are recomputed
+        # read by four sinks; on disk, since dead letters may be most of it
+        rows = batch.persist(StorageLevel.DISK_ONLY)
         try:
             live = rows.where(F.col("_dead").isNull()).drop("_dead")
             letters = rows.where(F.col("_dead").isNotNull()).select("_dead.*")
